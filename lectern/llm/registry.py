@@ -6,10 +6,47 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import bpe
+from lectern.llm import bpe, host_rules, mixing, pii, urls
 from lectern.llm.shared import documents
 
+#: Rules of the URL query.
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, replicated to source shares that go as the square root of their size."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    return mixing.replicate(docs, temperature=0.5, size=1.0, seed=42).select("doc_id", "source", "text", "n_copies", "copy")
+
+
+OP2_SQL = """
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, sqrt(n) * (SELECT sum(n) FROM n) / (SELECT sum(sqrt(n)) FROM n) / n AS rate FROM n),
+c AS (SELECT source, list_transform(range(0, 120), lambda k: list_sum(list_transform(range(0, k + 1),
+        lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1))))) AS cdf FROM r),
+u AS (SELECT doc_id, source, text,
+        (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':1:draw42'), 1, 13))::BIGINT + 0.5) / 4503599627370496 AS u
+      FROM documents),
+d AS (SELECT doc_id, u.source, text, len(list_filter(cdf, lambda x: x <= u))::BIGINT AS n_copies
+      FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, source, text, n_copies, unnest(range(1, n_copies + 1))::BIGINT AS copy FROM d WHERE n_copies > 0
+"""
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded."""
@@ -17,7 +54,79 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: the rules', else its host's reputation."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level_sql(level: str, prior: str) -> str:
+    """CTEs of one level: its prior weight, and its units' shrunk rates."""
+    return f"""
+w_{level} AS (SELECT CASE WHEN count(*) = 0 THEN 1000.0 WHEN coalesce(var_samp(bad / n), 0) - avg(bad / n) * (1 - avg(bad / n)) * avg(1.0 / n) <= 0 THEN 1000.0
+    ELSE least(1000.0, greatest(2.0, avg(bad / n) * (1 - avg(bad / n)) / (coalesce(var_samp(bad / n), 0) - avg(bad / n) * (1 - avg(bad / n)) * avg(1.0 / n)) - 1)) END AS w
+    FROM {level}s WHERE n > 0),
+r_{level} AS (SELECT u.*, (u.bad + (SELECT w FROM w_{level}) * {prior}) / (u.n + (SELECT w FROM w_{level})) AS of_{level} FROM {level}s u"""
+
+
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(instr(url, '://') > 0, false) AS has,
+    regexp_extract(url, '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
+q AS (SELECT page_id,
+    CASE WHEN has THEN translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN has THEN regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM p),
+rules(verdict, rule) AS (VALUES {", ".join(f"('{v}', '{r}')" for v, r in URL_RULES)}),
+split AS (SELECT verdict, rule, split_part(rule, '/', 1) AS rh, substr(rule, instr(rule, '/')) AS rp FROM rules),
+m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS rv FROM q, split
+    WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+j AS (SELECT q.*, m.rule, m.rv FROM q LEFT JOIN m USING (page_id)),
+hosts AS (SELECT host, split_part(host, '.', -1) AS suffix,
+    CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain,
+    count(rv)::DOUBLE AS n, count(*) FILTER (rv = 'block')::DOUBLE AS bad FROM j GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixs AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+{_level_sql("suffix", "(SELECT sum(bad) / greatest(sum(n), 1) FROM suffixs)").lstrip()}),
+{_level_sql("domain", "s.of_suffix").lstrip()} JOIN r_suffix s USING (suffix)),
+{_level_sql("host", "d.of_domain").lstrip()} JOIN r_domain d USING (domain))
+SELECT page_id, j.host, path, rule, coalesce(rv, CASE WHEN of_host - 1.645 * sqrt(of_host * (1 - of_host) / (n + (SELECT w FROM w_host) + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN r_host h ON j.host = h.host
+"""
+
+
+def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document by its own rules and its source's failure rate."""
+    judged = host_rules.judge(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP10_SQL = r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ \t\n\x0B\f\r]')) AS ls FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM t WHERE len(ws) >= 8),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 7], ' ')) AS k FROM g),
+p AS (SELECT DISTINCT doc_id, i + unnest(range(0, 8)) AS at FROM h WHERE k > 1),
+c AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+f AS (SELECT t.doc_id, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM f),
+a AS (SELECT *, (base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines) AS failed FROM b),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (failed)::DOUBLE AS bad FROM a WHERE source IS NOT NULL GROUP BY source),
+s AS (SELECT sum(bad) / sum(n) AS mean, coalesce(var_samp(bad / n), 0) - avg(bad / n) * (1 - avg(bad / n)) * avg(1 / n) AS spread FROM hosts),
+w AS (SELECT mean, CASE WHEN spread <= 0 THEN 10000.0 ELSE least(10000.0, greatest(2.0, mean * (1 - mean) / spread - 1)) END AS w FROM s),
+r AS (SELECT source, n, w, (bad + w * mean) / (n + w) AS post FROM hosts, w),
+v AS (SELECT source, post - 2.326 * sqrt(post * (1 - post) / (n + w + 1)) > 0.5 AS rejected FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
+FROM a LEFT JOIN v USING (source)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix": op2_mix,
+    "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
+    "op9_urls": op9_urls,
+    "op10_host_rules": op10_host_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op9_urls": OP9_SQL, "op10_host_rules": OP10_SQL}
