@@ -225,7 +225,7 @@ def _pattern_counts(found: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
     return [(r["kind"], tuple(r[n] for n in LABELERS), r["count"]) for r in rows]
 
 
-def detect(df: DataFrame, text: str = "text", params: Params | None = None) -> DataFrame:
+def detect(df: DataFrame, text: str = "text", params: Params | None = None, base: str = "base", spans: str = "spans") -> DataFrame:
     """df with base and spans: arrays of (kind, s, e), by kind as in KINDS, then start.
 
     ``base`` holds what the base patterns are certain of; ``spans`` also what
@@ -234,7 +234,7 @@ def detect(df: DataFrame, text: str = "text", params: Params | None = None) -> D
     table gives an empty table; columns named like an output are replaced.
     """
     p = params or Params()
-    keep = [c for c in df.columns if c not in ("base", "spans", "_raw", "_found")]
+    keep = [c for c in df.columns if c not in (base, spans, "_raw", "_found", "_both")]
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     x = df.withColumn("_raw", raw_matches(value, p.reach)).withColumn("_found", base_and_candidates(F.col("_raw")))
     _, weights, bias = fit(_pattern_counts(x.select("_found")), p)
@@ -256,7 +256,7 @@ def detect(df: DataFrame, text: str = "text", params: Params | None = None) -> D
         return F.struct(bare(f["base"]).alias("base"), bare(F.concat(*[of(k) for k in KINDS])).alias("spans"))
 
     x = x.withColumn("_both", let(F.col("_found"), both))
-    return x.select(*[F.col(f"`{c}`") for c in keep], F.col("_both.base").alias("base"), F.col("_both.spans").alias("spans"))
+    return x.select(*[F.col(f"`{c}`") for c in keep], F.col("_both.base").alias(base), F.col("_both.spans").alias(spans))
 
 
 def listed(spans: Column) -> Column:
@@ -269,7 +269,7 @@ def redact(df: DataFrame, text: str = "text", params: Params | None = None) -> D
 
     A null text stays null; all other columns stay as they are.
     """
-    x = detect(df, text, params)
+    x = detect(df, text, params, "_base", "_spans")
     value = F.col(f"`{text}`")
 
     def cut(spans: Column) -> Column:
@@ -282,6 +282,6 @@ def redact(df: DataFrame, text: str = "text", params: Params | None = None) -> D
         end = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(value, a["at"] + 1, F.length(value)))
         return F.aggregate(spans, zero, step, end)
 
-    in_order = F.array_sort(F.col("spans"), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"]))
-    out = F.when(value.isNull() | (F.size("spans") == 0), value).otherwise(let(in_order, cut))
+    in_order = F.array_sort(F.col("_spans"), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"]))
+    out = F.when(value.isNull() | (F.size("_spans") == 0), value).otherwise(let(in_order, cut))
     return x.withColumn("_out", out).select(*[F.col("_out").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, host_rules, mixing, pii, urls
+from lectern.llm import bpe, host_rules, langid, mixing, pii, quality, urls
 from lectern.llm.shared import documents
 
 #: Rules of the URL query.
@@ -21,6 +21,14 @@ URL_RULES = [
 ]
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt from those that aren't held out."""
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4))
+    docs = documents(spark, sf_dir).withColumn("held_out", fold == 2)
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, replicated to source shares that go as the square root of their size."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
@@ -41,6 +49,15 @@ SELECT doc_id, source, text, n_copies, unnest(range(1, n_copies + 1))::BIGINT AS
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that aren't held out."""
+    held_out = lambda: F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality.fit(docs, labels.where(~held_out()))
+    return quality.score(docs.withColumn("held_out", held_out()), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the base spans, and all spans."""
     found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"))
@@ -123,7 +140,9 @@ FROM a LEFT JOIN v USING (source)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op2_mix": op2_mix,
+    "op4_quality": op4_quality,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_urls": op9_urls,
