@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, host_rules, langid, mixing, pii, quality, urls
+from lectern.llm import bpe, host_rules, langid, mixing, pii, quality, simhash, urls
 from lectern.llm.shared import documents
 
 #: Rules of the URL query.
@@ -58,6 +58,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.withColumn("held_out", held_out()), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest document that it is linked to."""
+    found = simhash.cluster(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the base spans, and all spans."""
     found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"))
@@ -143,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_mix": op2_mix,
     "op4_quality": op4_quality,
+    "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_urls": op9_urls,
