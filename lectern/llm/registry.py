@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, host_rules, langid, mixing, pii, quality, simhash, urls
+from lectern.llm import bpe, host_rules, langid, mih, mixing, pii, quality, repeats, simhash, urls
 from lectern.llm.shared import documents
 
 #: Rules of the URL query.
@@ -49,6 +49,11 @@ SELECT doc_id, source, text, n_copies, unnest(range(1, n_copies + 1))::BIGINT AS
 """
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once 100-byte passages that occur earlier are removed."""
+    return repeats.remove(documents(spark, sf_dir).select("doc_id", "text"), digests=True)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels that aren't held out."""
     held_out = lambda: F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
@@ -58,6 +63,24 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.withColumn("held_out", held_out()), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest others, by sign codes, of every vector whose id is divisible by 50."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    coded = mih.sign_codes(rows, "embedding").select("id", "code")
+    found = mih.search(coded, coded.where("id % 50 = 0"), k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+OP5_SQL = """
+WITH d AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, i.vec_id,
+    len(list_filter(range(1, 65), lambda k: (coalesce(q.embedding[k], 0) > 0) <> (coalesce(i.embedding[k], 0) > 0)))::INTEGER AS distance
+    FROM d q JOIN d i ON q.vec_id % 50 = 0 AND q.vec_id <> i.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank, vec_id, distance
+FROM p QUALIFY rank <= 10
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest document that it is linked to."""
     found = simhash.cluster(documents(spark, sf_dir).select("doc_id", "text"))
@@ -148,11 +171,13 @@ FROM a LEFT JOIN v USING (source)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_mix": op2_mix,
+    "op3_repeats": op3_repeats,
     "op4_quality": op4_quality,
+    "op5_topk": op5_topk,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_urls": op9_urls,
     "op10_host_rules": op10_host_rules,
 }
-ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op9_urls": OP9_SQL, "op10_host_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op5_topk": OP5_SQL, "op9_urls": OP9_SQL, "op10_host_rules": OP10_SQL}

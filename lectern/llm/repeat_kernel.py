@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes that are worked on at a time; longer texts are cut, windows overlap.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 U64 = np.uint64
 
