@@ -164,10 +164,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
         held = df.sparkSession.sparkContext.broadcast(f.read())
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else [ids, decoded]
     kinds = ["bigint", "string", "string"] if digests else ["array<int>", "binary"]
-    keep = [c for c in df.columns if c not in made and not (digests and c == text)]
-    base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]] + [f"`{c}` {k}" for c, k in zip(made, kinds, strict=True)])
-    names = [*keep, *made]
+    keep = [c for c in df.columns if c not in made and c != text]
+    base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))  # the text comes last
+    n_keep = len(keep) + (not digests)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:n_keep]] + [f"`{c}` {k}" for c, k in zip(made, kinds, strict=True)])
+    names = [*base.columns[:n_keep], *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held.value, pattern)
@@ -184,6 +185,6 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
                 for held_column, x in zip(out, row, strict=True):
                     held_column.append(x)
             types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], names=names)
 
     return base.mapInArrow(run, schema)

@@ -162,10 +162,10 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     """
     made = ["lang_pred", "score", "ambiguous"]
     keep = [c for c in df.columns if c not in made]
-    value = F.col(f"`{text}`")
-    base = df.select(*[F.col(f"`{c}`") for c in keep], value.alias("_text"))
+    base = df.select(*[F.col(f"`{c}`") for c in keep])
+    place = keep.index(text)
     held = df.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
     names = [*keep, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 todo.clear()
                 x.clear()
 
-            for i, raw in enumerate(raw_texts(batch.column(batch.num_columns - 1))):
+            for i, raw in enumerate(raw_texts(batch.column(place))):
                 if m and _has_letter(raw):
                     todo.append(i)
                     x.append(features(count(raw)))
@@ -194,6 +194,6 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                         settle()
             if x:
                 settle()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score), pa.array(unclear)], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score), pa.array(unclear)], names=names)
 
     return base.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "ambiguous boolean"]))

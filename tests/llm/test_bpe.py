@@ -72,5 +72,6 @@ def test_query(spark, sf_dir, whole):
 def test_nulls_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([(1, None, 5), (None, "", 6), (1, None, 5)], "doc_id long, text string, ids int")
     rows = bpe.encode(df, PATH, public_tokenizers.PATTERN).collect()
+    assert {r.text for r in rows} == {None, ""}
     assert len(rows) == 3 and all(r.ids == [] and bytes(r.decoded) == b"" for r in rows)
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
