@@ -68,9 +68,11 @@ def _spans(text: Column, kind: str, pattern: str, gate: Column, before: str = ""
     """Array of (kind, s, e, t, ctx) of the leftmost matches that don't overlap.
 
     The text is taken apart into gaps and matches, whose lengths add up to
-    the positions (code points, end exclusive).
+    the positions (code points, end exclusive).  Each gap has to begin where
+    the last match ended, else a text's tail would be searched from each of
+    its characters.
     """
-    whole = rf"(?s)(.*?{before})({pattern})"
+    whole = rf"(?s)\G(.*?{before})({pattern})"
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(whole), F.lit(1)).alias("g"), F.regexp_extract_all(text, F.lit(whole), F.lit(2)).alias("m"))
     kind_of = "array<struct<kind:string,s:int,e:int,t:string,ctx:string>>"
     nothing = F.array().cast(kind_of)
