@@ -16,8 +16,9 @@ def tiers(journals: DataFrame, top: int = 50) -> DataFrame:
     """Journals (issn, sjr_score, best_tier) with a tier: S for the ``top`` scores, else the best tier."""
     score = sjr_number(F.col("sjr_score"))
     # the top scores are a top-k, not a sort of all journals
-    best = journals.withColumn("score", score).orderBy(F.col("score").desc(), "issn").limit(top).select("issn", F.lit(True).alias("_top"))
-    x = journals.join(F.broadcast(best), "issn", "left")
+    scored = journals.withColumn("score", score)
+    best = scored.orderBy(F.col("score").desc(), "issn").limit(top).select("issn", F.lit(True).alias("_top"))
+    x = scored.join(F.broadcast(best), "issn", "left")
     return x.withColumn("tier", F.when(F.col("_top"), "S").when(F.col("best_tier") == "unknown", "Grey").otherwise(F.col("best_tier"))).drop("_top")
 
 

@@ -24,17 +24,9 @@ def metrics(sjr: DataFrame, qualis: DataFrame, jql: DataFrame) -> DataFrame:
     return x.withColumn("title", title).withColumn("best_tier", tier)
 
 
-def name_index(sjr: DataFrame, jql: DataFrame) -> DataFrame:
-    """(name, issn, system, pos): lower-cased titles, the last line of each system wins.
-
-    ``first_pos`` is where a name first appeared, the place that ties are
-    broken by.
-    """
-    def index(df: DataFrame, system: int) -> DataFrame:
-        named = df.where(F.trim("title") != "").select(F.lower(F.trim("title")).alias("name"), "issn", "pos")
-        return named.groupBy("name").agg(F.max_by("issn", "pos").alias("issn"), F.min("pos").alias("first_pos")).withColumn("system", F.lit(system))
-
-    return index(sjr, 0).unionByName(index(jql, 1))
+def name_index(sjr_names: DataFrame, jql_names: DataFrame) -> DataFrame:
+    """(name, issn, first_pos, system): both systems' names; ties go to the first system, then the first place."""
+    return sjr_names.withColumn("system", F.lit(0)).unionByName(jql_names.withColumn("system", F.lit(1)))
 
 
 def by_issn(queries: DataFrame, table: DataFrame) -> DataFrame:
@@ -83,13 +75,12 @@ def by_partial_name(queries: DataFrame, titles: DataFrame, least: int = 10) -> D
     return met.groupBy("qid", "q").agg(F.min_by("issn", "pos").alias("issn"))
 
 
-def rank(queries: DataFrame, sjr: DataFrame, qualis: DataFrame, jql: DataFrame) -> DataFrame:
+def rank(queries: DataFrame, table: DataFrame, names: DataFrame) -> DataFrame:
     """Rankings of (qid, q) queries by ISSN, else exact name, else similar name, with match_kind.
 
-    A query that nothing fits has match_kind ``none`` and tier ``unknown``.
+    ``table`` is metrics(), ``names`` name_index().  A query that nothing
+    fits has match_kind ``none`` and tier ``unknown``.
     """
-    table = metrics(sjr, qualis, jql)
-    names = name_index(sjr, jql)
     first = by_issn(queries, table).select("qid", "q", "issn", F.lit("issn").alias("match_kind"))
     left = queries.join(first, "qid", "left_anti")
     second = by_name(left, names).withColumn("match_kind", F.lit("name"))

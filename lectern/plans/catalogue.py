@@ -35,6 +35,10 @@ def sjr(spark, d):
     return rankings.sjr_index(adapter("sjr_raw")(spark, d), "pos")
 
 
+def names(spark, d):
+    return journals.name_index(rankings.sjr_names(adapter("sjr_raw")(spark, d), "pos"), rankings.jql_names(adapter("jql_raw")(spark, d), "pos"))
+
+
 def qualis(spark, d):
     return rankings.qualis_index(adapter("qualis_raw")(spark, d), "pos")
 
@@ -55,8 +59,8 @@ def norm(x: str) -> str:
 INDEXES = (
     ctes("sjr_raw", "qualis_raw", "jql_raw")
     + f""",
-sjr_x AS (SELECT *, {norm('raw')} AS issn FROM (SELECT pos, Title, SJR, "SJR Best Quartile" AS quartile, Areas, unnest(string_split(Issn, ',')) AS raw, unnest(range(0, len(string_split(Issn, ',')))) AS at FROM sjr_raw)),
-sjr AS (SELECT issn, trim(Title) AS title, SJR AS sjr_score, quartile, Areas AS area, pos FROM sjr_x QUALIFY row_number() OVER (PARTITION BY issn ORDER BY pos DESC, at DESC) = 1),
+sjr_x AS (SELECT *, {norm('raw')} AS issn FROM (SELECT pos, Title, SJR, "SJR Best Quartile" AS quartile, Areas, unnest(string_split(Issn, ',')) AS raw, unnest(range(0, len(string_split(Issn, ',')))) AS spot FROM sjr_raw)),
+sjr AS (SELECT issn, trim(Title) AS title, SJR AS sjr_score, quartile, Areas AS area, pos FROM sjr_x QUALIFY row_number() OVER (PARTITION BY issn ORDER BY pos DESC, spot DESC) = 1),
 qualis AS (SELECT {norm('issn')} AS issn, titulo AS title, estrato AS classification, area, pos FROM qualis_raw QUALIFY row_number() OVER (PARTITION BY {norm('issn')} ORDER BY pos DESC) = 1),
 jql AS (SELECT {norm('issn')} AS issn, journal AS title, subject, ajg_abs2024 AS abs, pos FROM jql_raw QUALIFY row_number() OVER (PARTITION BY {norm('issn')} ORDER BY pos DESC) = 1)"""
 )
@@ -134,7 +138,7 @@ def _name_queries(spark, d):
 
 @query(METRICS + " SELECT c_custkey AS qid, c.name2 AS q, n.issn FROM (SELECT c_custkey, upper(c_name) AS name2 FROM customer) c JOIN names n ON lower(trim(c.name2)) = n.name QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY system) = 1")
 def rank_lookup_exact_name(spark, d):
-    return journals.by_name(_name_queries(spark, d), journals.name_index(sjr(spark, d), jql(spark, d)))
+    return journals.by_name(_name_queries(spark, d), names(spark, d))
 
 
 SIMILAR_Q = "SELECT n_nationkey AS qid, 'larg rings ' || n_nationkey AS q FROM nation UNION ALL SELECT 100 + r_regionkey, ['smal ring', 'red  widget', 'no such journal', 'customer#00000000', 'large gear '][r_regionkey + 1] FROM region"
@@ -160,7 +164,7 @@ best AS (SELECT * FROM scored WHERE score >= 85 QUALIFY row_number() OVER (PARTI
 
 @query(SIMILAR_SQL + " SELECT qid, q, issn FROM best")
 def rank_lookup_fuzzy_name(spark, d):
-    return journals.by_similar_name(_similar_queries(spark, d), journals.name_index(sjr(spark, d), jql(spark, d))).select("qid", "q", "issn")
+    return journals.by_similar_name(_similar_queries(spark, d), names(spark, d)).select("qid", "q", "issn")
 
 
 @query(
@@ -171,7 +175,7 @@ SELECT q.qid, coalesce(e.issn, b.issn, trim(q.q)) AS issn, CASE WHEN e.issn IS N
 FROM queries q LEFT JOIN exact e USING (qid) LEFT JOIN best b USING (qid) LEFT JOIN metrics m ON m.issn = coalesce(e.issn, b.issn)"""
 )
 def rank_journal_ladder(spark, d):
-    x = journals.rank(_similar_queries(spark, d), sjr(spark, d), qualis(spark, d), jql(spark, d))
+    x = journals.rank(_similar_queries(spark, d), journals.metrics(sjr(spark, d), qualis(spark, d), jql(spark, d)), names(spark, d))
     return x.select("qid", "issn", "match_kind", "title", "best_tier")
 
 
@@ -193,11 +197,11 @@ def best_tier_distribution(spark, d):
 
 @query(
     INDEXES
-    + f""", k AS (SELECT p_partkey AS journal_id, unnest([lpad(CAST(p_partkey AS VARCHAR), 8, '0'), lpad(CAST(p_partkey * 2 AS VARCHAR), 8, '0'), lpad(CAST(p_partkey * 3 AS VARCHAR), 8, '0')]) AS raw, unnest([0, 1, 2]) AS at FROM part),
-n AS (SELECT journal_id, at, {norm('raw')} AS issn FROM k)
-SELECT p_partkey AS journal_id, coalesce((SELECT arg_min(quartile, at) FROM n JOIN sjr USING (issn) WHERE journal_id = p_partkey), 'N/A') AS sjr,
-    coalesce((SELECT arg_min(classification, at) FROM n JOIN qualis USING (issn) WHERE journal_id = p_partkey), 'N/A') AS qualis,
-    coalesce((SELECT arg_min(abs, at) FROM n JOIN jql USING (issn) WHERE journal_id = p_partkey), 'N/A') AS jql FROM part"""
+    + f""", k AS (SELECT p_partkey AS journal_id, unnest([lpad(CAST(p_partkey AS VARCHAR), 8, '0'), lpad(CAST(p_partkey * 2 AS VARCHAR), 8, '0'), lpad(CAST(p_partkey * 3 AS VARCHAR), 8, '0')]) AS raw, unnest([0, 1, 2]) AS spot FROM part),
+n AS (SELECT journal_id, spot, {norm('raw')} AS issn FROM k)
+SELECT p_partkey AS journal_id, coalesce((SELECT arg_min(quartile, spot) FROM n JOIN sjr USING (issn) WHERE journal_id = p_partkey), 'N/A') AS sjr,
+    coalesce((SELECT arg_min(classification, spot) FROM n JOIN qualis USING (issn) WHERE journal_id = p_partkey), 'N/A') AS qualis,
+    coalesce((SELECT arg_min(abs, spot) FROM n JOIN jql USING (issn) WHERE journal_id = p_partkey), 'N/A') AS jql FROM part"""
 )
 def journal_info_enriched(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
@@ -381,7 +385,7 @@ def _seeds(spark, d, n=20):
 
 @query(
     ctes("works", "cites")
-    + f""" SELECT c.cited AS seed, row_number() OVER (PARTITION BY c.cited ORDER BY cited_by_count DESC, work_id)::INTEGER AS rank, work_id, cited_by_count
+    + f""" SELECT c.cited AS seed, row_number() OVER (PARTITION BY c.cited ORDER BY w.cited_by_count DESC, w.work_id)::INTEGER AS rank, w.work_id, w.cited_by_count
 FROM cites c JOIN ({SEEDS}) s ON c.cited = s.work_id JOIN works w ON w.work_id = c.citing QUALIFY rank <= 25"""
 )
 def citing_papers(spark, d):
@@ -484,8 +488,8 @@ VERIFY = (
     ctes("papers", "refs")
     + f""", rt AS (SELECT ref_id, title, year, unnest({TOKENS.format('title')}) AS word FROM refs),
 pt AS (SELECT id, year, unnest({TOKENS.format('title')}) AS word FROM papers),
-near AS (SELECT ref_id, id, count(*) AS overlap FROM rt JOIN pt ON rt.word = pt.word AND pt.year BETWEEN rt.year - 1 AND rt.year + 1 GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY overlap DESC, id) = 1),
-same AS (SELECT ref_id, id, count(*) AS overlap FROM rt JOIN pt ON rt.word = pt.word AND pt.year = rt.year GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY overlap DESC, id) = 1),
+near AS (SELECT ref_id, id, count(*) AS overlap FROM rt JOIN pt ON rt.word = pt.word AND pt.year BETWEEN rt.year - 1 AND rt.year + 1 GROUP BY ref_id, id QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY overlap DESC, id) = 1),
+same AS (SELECT ref_id, id, count(*) AS overlap FROM rt JOIN pt ON rt.word = pt.word AND pt.year = rt.year GROUP BY ref_id, id QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY overlap DESC, id) = 1),
 v AS (SELECT r.ref_id, near.id AS near_id, same.id AS same_id, coalesce(contains(lower(r.title), lower(p.title)) OR contains(lower(p.title), lower(r.title))
     OR len(list_intersect({TOKENS.format('r.title')}, {TOKENS.format('p.title')})) > 2, false) AS fits
     FROM refs r LEFT JOIN near USING (ref_id) LEFT JOIN same USING (ref_id) LEFT JOIN papers p ON p.id = near.id),
@@ -579,7 +583,7 @@ def truncate_fulltext(spark, d):
 # --- cache -----------------------------------------------------------------
 
 LATEST = ctes("cache_log") + ", latest AS (SELECT *, created_at + to_seconds(ttl) AS expires_at FROM cache_log QUALIFY row_number() OVER (PARTITION BY key ORDER BY created_at DESC, event_id DESC) = 1)"
-AS_OF = "2024-01-10 00:00:00"
+AS_OF = "2024-01-30 12:00:00"
 
 
 def _latest(spark, d):
@@ -700,9 +704,9 @@ def influence_tiebreak(spark, d):
     return curation.by_influence(works(spark, d).withColumnRenamed("type", "tier")).select("work_id", "tier", "rank")
 
 
-@query(INDEXES + ", " + ctes("works").removeprefix("WITH ") + " SELECT DISTINCT issn FROM works WHERE issn NOT IN (SELECT issn FROM sjr) AND issn NOT IN (SELECT issn FROM qualis) AND issn NOT IN (SELECT issn FROM jql)")
+@query(INDEXES + ", " + ctes("works").removeprefix("WITH ") + " SELECT DISTINCT issn FROM works WHERE issn NOT IN (SELECT issn FROM qualis) AND issn NOT IN (SELECT issn FROM jql)")
 def predatory_screen(spark, d):
-    return curation.unlisted(works(spark, d).select("issn").distinct(), sjr(spark, d), qualis(spark, d), jql(spark, d))
+    return curation.unlisted(works(spark, d).select("issn").distinct(), qualis(spark, d), jql(spark, d))
 
 
 @query(
@@ -733,7 +737,7 @@ def journal_profile(spark, d):
 @query(
     ctes("works", "cites")
     + """ SELECT w.source_api AS from_journal, v.source_api AS to_journal, count(*) AS n, row_number() OVER (PARTITION BY w.source_api ORDER BY count(*) DESC, v.source_api)::INTEGER AS rank
-FROM cites c JOIN works w ON c.citing = w.work_id JOIN works v ON c.cited = v.work_id GROUP BY ALL QUALIFY rank <= 10"""
+FROM cites c JOIN works w ON c.citing = w.work_id JOIN works v ON c.cited = v.work_id GROUP BY w.source_api, v.source_api QUALIFY rank <= 10"""
 )
 def journal_top_cited(spark, d):
     return curation.top_cited_journals(works(spark, d), cites(spark, d), "source_api")

@@ -79,11 +79,15 @@ def sjr_index(raw: DataFrame, position: str) -> DataFrame:
 
 
 def sjr_names(raw: DataFrame, position: str) -> DataFrame:
-    """Lower-cased title -> first ISSN of the last line with that title."""
+    """(name, issn, first_pos): lower-cased title, first ISSN of its last line, place of its first line."""
     rows = raw.where((F.trim(_text("Issn")) != "") & (F.trim(_text("Title")) != "")).select(
         F.lower(F.trim(_text("Title"))).alias("name"), normalize_issn(F.get(F.split(_text("Issn"), ","), 0)).alias("issn"), F.col(position).alias("pos")
     )
-    return last_wins(rows, "name", "pos")
+    return _names(rows)
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("name").agg(F.max_by("issn", "pos").alias("issn"), F.min("pos").alias("first_pos"))
 
 
 def read_sjr(spark: SparkSession, path: str) -> DataFrame:
@@ -125,7 +129,7 @@ def jql_names(raw: DataFrame, position: str) -> DataFrame:
     rows = raw.where((F.trim(_text("issn")) != "") & (F.trim(_text("journal")) != "")).select(
         F.lower(F.trim(_text("journal"))).alias("name"), normalize_issn(_text("issn")).alias("issn"), F.col(position).alias("pos")
     )
-    return last_wins(rows, "name", "pos")
+    return _names(rows)
 
 
 def read_jql(spark: SparkSession, path: str) -> DataFrame:
