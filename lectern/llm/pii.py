@@ -166,13 +166,13 @@ def votes(x: Column) -> Column:
         "email": sign(x["t"].rlike(rf"^[{LOCAL}]+(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]+)+$")),
         "ip": sign(F.when(x["t"].contains(":"), F.lit(True)).otherwise(_small_parts(x["t"]))),
         "card": sign((n >= 13) & luhn(_digits(x["t"]))),
-        "phone": F.when(x["t"].startswith("+") & (n >= 8) & (n <= 15), F.lit(1)).otherwise(F.lit(0)),
+        "phone": F.when((x["t"].startswith("+") | x["ctx"].rlike(r"\+[0-9]{1,3}\x20?$")) & (n >= 8) & (n <= 15), F.lit(1)).otherwise(F.lit(0)),
         "secret": sign(mixed),
     }
     gazetteer = by_kind(lambda k: sign(x["t"].rlike(GAZETTEER[k])))
     context = F.when(x["ctx"].rlike(AGAINST), F.lit(-1)).otherwise(by_kind(lambda k: F.when(x["ctx"].rlike(CONTEXT[k]), F.lit(1)).otherwise(F.lit(0))))
     several = F.size(F.array_distinct(F.split(_digits(x["t"]), ""))) >= 4
-    shape = by_kind(lambda k: F.lit(0) if k == "email" else sign(several))
+    shape = by_kind(lambda k: sign(x["t"].rlike(r"^[^@(\[]{2,}")) if k == "email" else sign(several))
     return F.array(by_kind(lambda k: form[k]), gazetteer, context, shape)
 
 
