@@ -14,8 +14,11 @@ by round, each round's rank naming a longer run of bytes at the start:
    stays, every other window repeats.
 
 Round 3 runs within the sorted groups of round 2; where one group is large
-(a passage that very many documents share) its windows are sorted by Spark
-under their own ranks, so no group is gathered in one task.  Ranks are names
+its windows are sorted by Spark under their own ranks, so no group is
+gathered in one task.  Grams that a share of all documents hold (found in a
+bounded sample, which decides nothing but the route) don't meet under their
+rank at all: their stretches are dealt by their whole bytes, then their
+windows by theirs.  Ranks are names
 of bytes (64 bits where a clash only costs work, 128 bits where it would
 decide), so every task gives equal bytes equal ranks without talking to the
 others.  Before each exchange a task keeps only its first of equal entries.
@@ -41,13 +44,25 @@ from lectern.llm.shared import written
 HELD = 1 << 19
 #: Largest group of round 2 that is ranked where it is.
 GROUP = 20_000
+#: Marks what belongs to a hot gram, above any position.
+HOT = 1 << 50
 NULL_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
 class Params:
+    """A gram is hot if this share of the sampled documents, and at least so many, hold it.
+
+    A document has about 3 designated grams in 100 bytes, so the hot grams
+    are at most its average number over ``hot_share``, however large the
+    corpus.
+    """
+
     window: int = 100
     gram: int = 32
+    hot_share: float = 0.02
+    hot_least: int = 64
+    sample: int = 20_000
 
     @property
     def reach(self) -> int:
@@ -92,11 +107,34 @@ def _spread(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
 ROUND1 = ["k", "f", "doc", "lo", "ext"]
 
 
-def _starts(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The name of every designated gram, once a document."""
+    for batch in batches:
+        texts = list(raw_texts(batch.column(1)))
+        for part in kernel.pieces([len(t) for t in texts], p.window):
+            data = np.concatenate([texts[i][a:b] for i, a, b in part])
+            d, _, _, at = kernel.designated(data, np.cumsum([b - a for _, a, b in part]), p.window, p.gram)
+            if len(d):
+                k = kernel.Names(data, 0).at(at, at + p.gram).view(np.int64)
+                yield _batch(["k"], [np.unique(np.stack((d, k)), axis=1)[1]])
+
+
+def hot_grams(keyed: DataFrame, p: Params) -> np.ndarray:
+    """Names of the grams that a share of the documents hold, from a bounded sample drawn by hash."""
+    n = keyed.count()
+    place = F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = keyed.select("_key", "_body") if n <= p.sample else keyed.select("_key", "_body").where(place < p.sample / n)
+    counts = drawn.mapInArrow(lambda b: _grams(p, b), "k bigint").groupBy("k").agg(F.count("*").alias("n"))
+    least = max(p.hot_least, int(p.hot_share * min(n, p.sample)))
+    return np.sort(np.array([r.k for r in counts.where(F.col("n") >= least).collect()], np.int64))
+
+
+def _starts(p: Params, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram's name, stretch's name, document, first window, extent) of every designated start.
 
     ``ext`` packs the last window and the start itself, both counted from
-    ``lo``; in a settled range it is -1 minus the last window.
+    ``lo``, and whether the gram is hot; in a settled range it is -1 minus the
+    last window.  A hot gram's stretches are keyed by their whole names.
     """
     held: list[list[np.ndarray]] = [[] for _ in ROUND1]
     size = 0
@@ -128,11 +166,15 @@ def _starts(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             if not len(d):
                 continue
             base = np.array([a for _, a, _ in part]) - np.concatenate(([0], ends[:-1]))
-            held[0].append(kernel.Names(data, 0).at(at, at + p.gram).view(np.int64))
-            held[1].append(kernel.Names(data, 1).at(lo, hi + p.window).view(np.int64))
+            k = kernel.Names(data, 0).at(at, at + p.gram).view(np.int64)
+            f = kernel.Names(data, 1).at(lo, hi + p.window).view(np.int64)
+            many = np.isin(k, hot)
+            k[many] = kernel.mix((k[many] ^ f[many]).view(np.uint64)).view(np.int64)
+            held[0].append(k)
+            held[1].append(f)
             held[2].append(ids[[i for i, _, _ in part]][d])
             held[3].append(lo + base[d])
-            held[4].append((hi - lo) | (at - lo) << 16)
+            held[4].append((hi - lo) | (at - lo) << 16 | np.where(many, HOT, 0))
             size += len(d)
             if size >= HELD:
                 yield from combined()
@@ -144,7 +186,7 @@ RANGES = ["doc", "lo", "hi", "at"]
 
 
 def _rank_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Settled ranges (at = -1) and open stretches (at = designated start) from sorted starts."""
+    """Settled ranges (at = -1) and open stretches (at = designated start, marked if hot) from sorted starts."""
     last_k = last_f = last_doc = last_lo = None
     pending = None  # the first stretch of the current gram, until another one shows up
 
@@ -159,7 +201,7 @@ def _rank_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(k):
             new_k = np.concatenate(([k[0] != last_k], k[1:] != k[:-1]))
             new_f = new_k | np.concatenate(([f[0] != last_f], f[1:] != f[:-1]))
-            hi, at = lo + (ext & 0xFFFF), lo + (ext >> 16)
+            hi, at = lo + (ext & 0xFFFF), lo + (ext >> 16 & 0xFFFF) + (ext & HOT)
             # the position that a repeat is compared with: the first of its stretch
             where = np.maximum.accumulate(np.where(new_f, np.arange(len(k)), -1))
             head_doc = np.where(where >= 0, doc[where], last_doc if last_doc is not None else 0)
@@ -173,11 +215,11 @@ def _rank_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for held, x in zip(out, pending, strict=True):
                         held.append(np.array([x]))
                 follows = np.append(~new_k[heads[1:]], False)  # another stretch of this gram comes next
-                open_ = ~new_k[heads] | follows
+                open_ = ~new_k[heads] | follows | (ext[heads] >= HOT)
                 for held, x in zip(out, (doc, lo, hi, at), strict=True):
                     held.append(x[heads[open_]])
                 h = heads[-1]
-                if new_k[h]:
+                if new_k[h] and not open_[-1]:
                     pending = (doc[h], lo[h], hi[h], at[h])
                 else:
                     pending = None
@@ -190,7 +232,10 @@ def _rank_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- rounds 2 and 3 -------------------------------------------------------
 
 def _open_stretches(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rank of two thirds, document, first window, last window, bytes) of the halves of open stretches."""
+    """(rank of two thirds, document, first window, last window, bytes) of the halves of open stretches.
+
+    Halves of hot stretches are marked in ``hi`` and dealt evenly.
+    """
     names = ["k", "doc", "lo", "hi", "raw"]
     for batch in batches:
         ids = batch.column(0).to_numpy()
@@ -202,6 +247,7 @@ def _open_stretches(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         for i, raw in enumerate(raw_texts(batch.column(1))):
             some = slice(offsets[i], offsets[i + 1])
             lo, hi, at = lo_all[some], hi_all[some], at_all[some]
+            many, at = at >= HOT, at % HOT
             for a, b, core_a, core_b in (
                 (np.maximum(lo, at - p.half), np.minimum(hi, at), at, at + p.window - p.half),
                 (np.maximum(lo, at - p.reach), np.minimum(hi, at - p.half - 1), at - p.half - 1, at + p.window - p.reach),
@@ -210,10 +256,11 @@ def _open_stretches(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
                 if not len(real):
                     continue
                 # names of substrings of this document alone, whatever its length
-                out[0].append(_names_at(raw, core_a[real], core_b[real]))
+                names_of = _names_at(raw, core_a[real], core_b[real])
                 out[1].append(np.full(len(real), ids[i]))
+                out[0].append(np.where(many[real], _spread(out[1][-1], a[real]), names_of))
                 out[2].append(a[real])
-                out[3].append(b[real])
+                out[3].append(b[real] + np.where(many[real], HOT, 0))
                 out[4] += [raw[x : y + p.window].tobytes() for x, y in zip(a[real], b[real], strict=True)]
                 size += len(real)
             if size > 20_000:
@@ -287,6 +334,10 @@ def _rank_stretches(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     for batch in batches:
         k, doc, lo, hi = (batch.column(i).to_numpy() for i in range(4))
         raws = batch.column(4).to_pylist()
+        many = hi >= HOT
+        if many.any():
+            yield from settle(k[many], doc[many], lo[many], hi[many] - HOT, [r for r, m in zip(raws, many, strict=True) if m], False)
+            k, doc, lo, hi, raws = k[~many], doc[~many], lo[~many], hi[~many], [r for r, m in zip(raws, many, strict=True) if not m]
         if not len(k):
             continue
         cut = int(np.searchsorted(k, k[-1]))
@@ -364,7 +415,8 @@ def repeated_ranges(keyed: DataFrame, p: Params) -> DataFrame:
     ``keyed`` has a bigint _key and a text _body.
     """
     longs = lambda names: ", ".join(f"{n} bigint" for n in names)
-    starts = keyed.select("_key", "_body").mapInArrow(lambda b: _starts(p, b), longs(ROUND1))
+    hot = hot_grams(keyed, p)
+    starts = keyed.select("_key", "_body").mapInArrow(lambda b: _starts(p, hot, b), longs(ROUND1))
     ranked = starts.repartition("k").sortWithinPartitions("k", "f", "doc", "lo").mapInArrow(_rank_grams, longs(RANGES))
     ranked = written(ranked)
     listed = ranked.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("open"))

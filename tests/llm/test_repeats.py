@@ -1,6 +1,8 @@
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -34,7 +36,8 @@ def corpus(seed, n=60):
 
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("group", [20_000, 3])
-def test_equals_brute_force(spark, monkeypatch, seed, group):
+@pytest.mark.parametrize("share", [0, 3, 1])
+def test_equals_brute_force(monkeypatch, seed, group, share):
     docs = corpus(seed)
     want = brute([(i, t.encode()) for i, t in docs], 10)
     p = repeats.Params(window=10, gram=4)
@@ -54,7 +57,10 @@ def test_equals_brute_force(spark, monkeypatch, seed, group):
     i64 = pa.int64()
     texts = dict(docs)
     given = [{"doc": i, "raw": t} for i, t in docs]
-    starts = rows(repeats._starts(p, batches(given, ["doc", "raw"], [i64, pa.string()], ["raw"], 5)))
+    grams = Counter(r["k"] for r in rows(repeats._grams(p, batches(given, ["doc", "raw"], [i64, pa.string()], ["raw"], 5))))
+    # no gram is hot, the common ones are, or all are
+    hot = np.sort(np.array([k for k, n in grams.items() if share and n >= share], np.int64))
+    starts = rows(repeats._starts(p, hot, batches(given, ["doc", "raw"], [i64, pa.string()], ["raw"], 5)))
     ranked = rows(repeats._rank_grams(batches(starts, repeats.ROUND1, [i64] * 5, ["k", "f", "doc", "lo"])))
     grouped = {}
     for r in ranked:
@@ -72,11 +78,12 @@ def test_equals_brute_force(spark, monkeypatch, seed, group):
         assert bytes(c for c, g in zip(t.encode(), got[i]) if not g) == want[i][3], (i, t)
 
 
-def test_operator_equals_brute_force(spark):
+@pytest.mark.parametrize("hot_least", [64, 2])
+def test_operator_equals_brute_force(spark, hot_least):
     docs = corpus(3)
     want = brute([(i, t.encode()) for i, t in docs], 10)
     df = spark.createDataFrame([(i, t, 9) for i, t in docs], "doc_id long, text string, n_spans int")
-    got = repeats.remove(df, repeats.Params(window=10, gram=4)).collect()
+    got = repeats.remove(df, repeats.Params(window=10, gram=4, hot_least=hot_least)).collect()
     assert len(got) == len(docs)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
