@@ -259,3 +259,30 @@ def jql_from_spans(spans: DataFrame) -> DataFrame:
 def write_jql(df: DataFrame, path: str) -> None:
     """The CSV that read_jql() reads."""
     df.drop("pos").write.mode("overwrite").option("header", True).csv(path)
+
+
+# --- snapshots -------------------------------------------------------------
+
+def update_snapshots(spark: SparkSession, folder: str, sjr: str | None = None, qualis: str | None = None, jql: str | None = None) -> list[str]:
+    """Rewrite the ranking tables under ``folder`` from new files; returns the names of those rewritten.
+
+    Qualis is a workbook (or folder of them), the others are CSV files.  A
+    table that no file is given for stays as it is.
+    """
+    done = []
+
+    def write(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        done.append(name)
+
+    if sjr:
+        raw = read_sjr(spark, sjr)
+        write(sjr_index(raw, "pos"), "sjr")
+        write(sjr_names(raw, "pos"), "sjr_names")
+    if qualis:
+        write(qualis_index(read_qualis_xlsx(spark, qualis), "pos"), "qualis")
+    if jql:
+        raw = read_jql(spark, jql)
+        write(jql_index(raw, "pos"), "jql")
+        write(jql_names(raw, "pos"), "jql_names")
+    return done

@@ -281,3 +281,48 @@ def read_tavily(df: DataFrame, payload: str = "value") -> DataFrame:
         F.coalesce(F.col("w.score"), F.lit(0.0)).alias("score"),
         F.lit("web_search").alias("source_type"),
     )
+
+
+OPENALEX_SOURCE = (
+    "struct<id:string,display_name:string,issn_l:string,issn:array<string>,works_count:bigint,cited_by_count:bigint,"
+    "summary_stats:struct<h_index:int>,type:string,host_organization_lineage_names:array<string>,"
+    "x_concepts:array<struct<display_name:string>>,is_oa:boolean>"
+)
+OPENALEX_AUTHOR = (
+    "struct<id:string,display_name:string,orcid:string,works_count:bigint,cited_by_count:bigint,summary_stats:struct<h_index:int>,"
+    "last_known_institutions:array<struct<display_name:string>>>"
+)
+
+
+def read_openalex_sources(df: DataFrame, payload: str = "value") -> DataFrame:
+    """Journal records: the publisher is the first of its lineage, subjects are the first five concepts."""
+    rows = _unwrap(df, payload, f"struct<results:array<{OPENALEX_SOURCE}>>", "results")
+    w, empty = F.col("w"), F.lit("")
+    return rows.select(
+        openalex_short(w["id"]).alias("journal_id"),
+        F.coalesce(w["display_name"], empty).alias("name"),
+        F.coalesce(w["issn_l"], empty).alias("issn_l"),
+        F.coalesce(w["issn"], F.array().cast("array<string>")).alias("issns"),
+        w["works_count"].alias("works_count"),
+        w["cited_by_count"].alias("cited_by_count"),
+        w["summary_stats"]["h_index"].alias("h_index"),
+        F.coalesce(w["type"], empty).alias("type"),
+        F.coalesce(F.get(w["host_organization_lineage_names"], 0), empty).alias("publisher"),
+        F.coalesce(F.slice(F.transform(w["x_concepts"], lambda c: c["display_name"]), 1, 5), F.array().cast("array<string>")).alias("subjects"),
+        F.coalesce(w["is_oa"], F.lit(False)).alias("is_open_access"),
+    )
+
+
+def read_openalex_authors(df: DataFrame, payload: str = "value") -> DataFrame:
+    """Author records."""
+    rows = _unwrap(df, payload, f"struct<results:array<{OPENALEX_AUTHOR}>>", "results")
+    w, empty = F.col("w"), F.lit("")
+    return rows.select(
+        openalex_short(w["id"]).alias("author_id"),
+        F.coalesce(w["display_name"], empty).alias("name"),
+        F.coalesce(w["orcid"], empty).alias("orcid"),
+        w["works_count"].alias("works_count"),
+        w["cited_by_count"].alias("cited_by_count"),
+        w["summary_stats"]["h_index"].alias("h_index"),
+        F.coalesce(F.get(w["last_known_institutions"], 0)["display_name"], empty).alias("institution"),
+    )

@@ -179,3 +179,22 @@ def test_retries():
         snapshots.with_retries(lambda: (404, {}, ""), waits.append)
     with pytest.raises(RuntimeError, match="500"):
         snapshots.with_retries(lambda: (500, {}, ""), waits.append)
+
+
+def test_journal_and_author_records(spark):
+    record = {"id": "https://openalex.org/S1", "display_name": "J", "issn_l": "0001-4273", "issn": ["0001-4273"], "summary_stats": {"h_index": 9}, "host_organization_lineage_names": ["P", "Q"], "x_concepts": [{"display_name": str(i)} for i in range(8)]}
+    r, bare = works.read_openalex_sources(payloads(spark, {"results": [record, {"id": "S2"}]})).orderBy("journal_id").collect()
+    assert (r.journal_id, r.publisher, r.subjects, r.h_index) == ("S1", "P", ["0", "1", "2", "3", "4"], 9)
+    assert (bare.publisher, bare.subjects, bare.issns, bare.is_open_access) == ("", [], [], False)
+    a = works.read_openalex_authors(payloads(spark, {"results": [{"id": "https://openalex.org/A1", "display_name": "Ann", "last_known_institutions": [{"display_name": "U"}]}]})).first()
+    assert (a.author_id, a.name, a.institution, a.h_index) == ("A1", "Ann", "U", None)
+
+
+def test_snapshots_are_rewritten(spark, tmp_path):
+    path = tmp_path / "jql.csv"
+    path.write_text("issn,journal,subject,ajg_abs2024\n0001-4273,AMJ,Management,4*\n")
+    folder = str(tmp_path / "snap")
+    assert rankings.update_snapshots(spark, folder, jql=str(path)) == ["jql", "jql_names"]
+    path.write_text("issn,journal,subject,ajg_abs2024\n0001-4273,AMJ,Management,3\n")
+    rankings.update_snapshots(spark, folder, jql=str(path))
+    assert [r.abs for r in spark.read.parquet(f"{folder}/jql").collect()] == ["3"]
