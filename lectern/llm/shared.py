@@ -21,9 +21,10 @@ def folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+        at = context._jsc.sc().getCheckpointDir().get()
     return at.rstrip("/")
 
 
