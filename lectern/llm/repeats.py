@@ -231,20 +231,20 @@ def _rank_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- rounds 2 and 3 -------------------------------------------------------
 
-def _open_stretches(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open_stretches(p: Params, batches: Iterator[pa.RecordBatch], key: int = 0, text: int = 1) -> Iterator[pa.RecordBatch]:
     """(rank of two thirds, document, first window, last window, bytes) of the halves of open stretches.
 
     Halves of hot stretches are marked in ``hi`` and dealt evenly.
     """
     names = ["k", "doc", "lo", "hi", "raw"]
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        listed = batch.column(2)
+        ids = batch.column(key).to_numpy()
+        listed = batch.column(batch.num_columns - 1)
         offsets, fields = listed.offsets.to_numpy(), listed.values
         lo_all, hi_all, at_all = (fields.field(i).to_numpy() for i in range(3))
         out: list[list] = [[] for _ in names]
         size = 0
-        for i, raw in enumerate(raw_texts(batch.column(1))):
+        for i, raw in enumerate(raw_texts(batch.column(text))):
             some = slice(offsets[i], offsets[i + 1])
             lo, hi, at = lo_all[some], hi_all[some], at_all[some]
             many, at = at >= HOT, at % HOT
@@ -409,19 +409,22 @@ def _keyed(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     return x.select(*[F.col(f"x.`{c}`") for c in df.columns], shifted.cast("bigint").alias("_key"))
 
 
-def repeated_ranges(keyed: DataFrame, p: Params) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, p: Params, text: str) -> DataFrame:
     """(doc, lo, hi): window starts lo to hi of document ``doc`` repeat earlier windows.
 
-    ``keyed`` has a bigint _key and a text _body.
+    ``keyed`` has a bigint _key.  Round 2 carries all its columns, so that
+    its shuffle of the texts is the one that the result needs as well.
     """
     longs = lambda names: ", ".join(f"{n} bigint" for n in names)
-    hot = hot_grams(keyed, p)
-    starts = keyed.select("_key", "_body").mapInArrow(lambda b: _starts(p, hot, b), longs(ROUND1))
+    bare = keyed.select("_key", F.col(f"`{text}`").alias("_body"))
+    hot = hot_grams(bare, p)
+    starts = bare.mapInArrow(lambda b: _starts(p, hot, b), longs(ROUND1))
     ranked = starts.repartition("k").sortWithinPartitions("k", "f", "doc", "lo").mapInArrow(_rank_grams, longs(RANGES))
     ranked = written(ranked)
-    listed = ranked.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("open"))
-    some = keyed.select("_key", "_body").join(listed.hint("shuffle_hash"), F.col("_key") == F.col("doc")).select("_key", "_body", "open")
-    halves = some.mapInArrow(lambda b: _open_stretches(p, b), "k bigint, doc bigint, lo bigint, hi bigint, raw binary")
+    listed = ranked.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("_open"))
+    some = keyed.join(listed.hint("shuffle_hash"), F.col("_key") == F.col("doc")).select(*[F.col(f"`{c}`") for c in keyed.columns], "_open")
+    places = keyed.columns.index("_key"), keyed.columns.index(text)
+    halves = some.mapInArrow(lambda b: _open_stretches(p, b, *places), "k bigint, doc bigint, lo bigint, hi bigint, raw binary")
     windows = halves.repartition("k").sortWithinPartitions("k", "doc", "lo").mapInArrow(lambda b: _rank_stretches(p, b), longs(WINDOWS))
     late = windows.repartition("n1").sortWithinPartitions("n1", "n2", "doc", "lo").mapInArrow(_rank_hot_windows, longs(RANGES[:3]))
     return ranked.where("at < 0").select("doc", "lo", "hi").union(late)
@@ -445,12 +448,12 @@ def remove(df: DataFrame, params: Params | None = None, text: str = "text", doc_
     last = "kept_sha256" if digests else "kept"
     made = ["n_bytes", "n_removed", "n_spans", last]
     keep = [c for c in df.columns if c not in made and not (digests and c == text)]
-    keyed = _keyed(df, text, doc_id).withColumn("_body", F.col(f"`{text}`"))
-    ranges = repeated_ranges(keyed, p)
+    keyed = _keyed(df, text, doc_id).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], "_key")
+    ranges = repeated_ranges(keyed, p, text)
     listed = ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     joined = keyed.join(listed.hint("shuffle_hash"), F.col("_key") == F.col("doc"), "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in keep], "_ranges", "_body")
+    joined = joined.select(*[F.col(f"`{c}`") for c in keep], "_ranges", F.col(f"`{text}`").alias("_body"))
     window = p.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
