@@ -17,7 +17,7 @@ def connect(sf_dir):
 
 def _plain(x):
     if isinstance(x, float):
-        return f"{x:.9g}"
+        return repr(x + 0.0)
     return str(x) if x is not None else None
 
 
