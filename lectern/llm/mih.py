@@ -116,7 +116,8 @@ def search(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for r in range(max(parts.lengths) + 1):
         if open_queries.isEmpty():
             break
-        met = _probes(open_queries, parts, r).join(index, "k")
+        # what a few queries probe for is much more than they are: Spark must not take it for small
+        met = _probes(open_queries, parts, r).hint("merge").join(index.hint("merge"), "k")
         x = F.col("q").bitwiseXOR(F.col("code"))
         home = _home(parts, x)
         met = met.withColumn("home", home).where((F.col("home.r") == r) & (F.col("home.j") == F.col("j")))
