@@ -238,7 +238,8 @@ def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     """
     found = cluster(df, text, doc_id, shingle)
     first = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct())
-    kept = df.join(first, F.col(f"`{doc_id}`") == F.col("_id"), "left_semi")
+    # the ids grow with the documents: they are never broadcast, at any size
+    kept = df.join(first.hint("shuffle_hash"), F.col(f"`{doc_id}`") == F.col("_id"), "left_semi")
     if not df.groupBy(F.col(f"`{doc_id}`").alias("i")).count().where("count > 1 AND i IS NOT NULL").isEmpty():
         kept = kept.dropDuplicates([doc_id])
     return kept.union(df.where(F.col(f"`{doc_id}`").isNull()))
