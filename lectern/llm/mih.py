@@ -1,11 +1,13 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-Codes are cut into segments of about log2(n) bits, each with its own index.
-Round r looks up, for every query that isn't settled, all segment values at
-exactly r flipped bits.  A code at distance d has a segment at distance
-d // m or less, so after round r everything up to m * (r + 1) - 1 has been
-seen: a query whose kth verified distance is within that is settled.  A pair
-is verified once, at the first of its nearest segments.
+Codes are cut into m segments of about log2(n) bits, each with its own index.
+Round r looks up, for every query that isn't settled, segment values at
+exactly r flipped bits: in all segments, or in as many as its kth verified
+distance so far asks for.  Once all segments are searched to r - 1 bits and
+the first a of them to r, every code within m * r + a - 1 bits has been seen,
+for any other differs by r + 1 in those a and by r in the rest.  A query whose
+kth verified distance is within that is settled.  A pair is verified once, at
+the first of its nearest segments, within the lookup's join.
 
 Equal codes are one entry, of which the k + 1 smallest ids are kept, and
 equal queries are one search, so copies cost nothing.
@@ -35,7 +37,7 @@ class Segments:
 
     @classmethod
     def of(cls, n_codes: int) -> Segments:
-        width = min(20, max(4, math.ceil(math.log2(max(2, n_codes)))))
+        width = min(20, max(4, math.floor(math.log2(max(2, n_codes)))))
         m = math.ceil(BITS / width)
         lengths = [BITS // m + (i < BITS % m) for i in range(m)]
         return cls(tuple(sum(lengths[:i]) for i in range(m)), tuple(lengths))
@@ -72,7 +74,7 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
 
 
 def _probes(open_queries: DataFrame, parts: Segments, r: int) -> DataFrame:
-    """(q, k, j): the keys at exactly r flipped bits of each segment."""
+    """(q, reach, k, j): the keys at exactly r flipped bits of the first ``searched`` segments of each query."""
     out = None
     for length in sorted(set(parts.lengths)):
         if r > length:
@@ -81,9 +83,9 @@ def _probes(open_queries: DataFrame, parts: Segments, r: int) -> DataFrame:
         mine = [j for j, n in enumerate(parts.lengths) if n == length]
         values = F.explode(F.array(*[F.struct(parts.value(F.col("q"), j).alias("v"), F.lit(j).alias("j")) for j in mine]))
         masks = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<bigint>")  # folded to one constant
-        x = open_queries.select("q", values.alias("s")).select("q", "s", F.explode(masks).alias("f"))
+        x = open_queries.select("q", "reach", "searched", values.alias("s")).where("s.j < searched").select("q", "reach", "s", F.explode(masks).alias("f"))
         key = F.col("s.v").bitwiseXOR(F.col("f")).bitwiseOR(F.shiftleft(F.col("s.j").cast("bigint"), 32))
-        x = x.select("q", key.alias("k"), F.col("s.j").alias("j"))
+        x = x.select("q", "reach", key.alias("k"), F.col("s.j").alias("j"))
         out = x if out is None else out.union(x)
     return out
 
@@ -110,25 +112,29 @@ def search(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n_codes = codes.count()
     parts = Segments.of(n_codes)
     index = written(codes.select(F.explode(F.array(*[parts.key(parts.value(F.col("code"), j), j) for j in range(len(parts.starts))])).alias("k"), "code", "first", "n"))
-    open_queries = written(queries.select("q").distinct())
-    best = None
     m = len(parts.starts)
+    open_queries = written(queries.select("q").distinct().select("q", F.lit(BITS).alias("reach"), F.lit(m).alias("searched")))
+    best = None
     for r in range(max(parts.lengths) + 1):
         if open_queries.isEmpty():
             break
-        # what a few queries probe for is much more than they are: Spark must not take it for small
-        met = _probes(open_queries, parts, r).hint("merge").join(index.hint("merge"), "k")
         x = F.col("q").bitwiseXOR(F.col("code"))
         home = _home(parts, x)
-        met = met.withColumn("home", home).where((F.col("home.r") == r) & (F.col("home.j") == F.col("j")))
+        here = (home["r"] == r) & (home["j"] == F.col("j")) & (F.bit_count(x) <= F.col("reach"))
+        # what a few queries probe for is much more than they are: Spark must not take it for small
+        probes = _probes(open_queries, parts, r).withColumnRenamed("k", "probe").hint("merge")
+        met = probes.join(index.hint("merge"), (F.col("probe") == F.col("k")) & here)
         met = met.select("q", "code", "first", "n", F.bit_count(x).alias("distance"))
         now = written(_nearest(met if best is None else best.unionByName(met), k + 1))
         if best is not None:
             drop(best)
         best = now
-        covered = m * (r + 1) - 1
-        settled = best.where(F.col("distance") <= covered).groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k)
-        left = written(open_queries.join(settled, "q", "left_anti"))
+        # the kth verified distance: the item that is left out may be the query itself
+        so_far = F.sum("n").over(W.partitionBy("q").orderBy("distance", "first").rowsBetween(W.unboundedPreceding, 0))
+        kth = best.withColumn("_c", so_far).where(F.col("_c") > k).groupBy("q").agg(F.min("distance").alias("kth"))
+        left = open_queries.join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("kth") > m * r + F.col("searched") - 1))
+        left = left.select("q", F.coalesce("kth", F.lit(BITS)).alias("reach"))
+        left = written(left.withColumn("searched", F.least(F.lit(m), F.col("reach") - m * (r + 1) + 1)))
         drop(open_queries)
         open_queries = left
     if best is None:
