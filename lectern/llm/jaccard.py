@@ -1,0 +1,274 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, without loss.
+
+Two sets of n and m shingles with similarity s or more share at least s * n
+of the first one's; so, under any one order of all shingles, the first
+n - ceil(s * n) + 1 of both (their prefixes) have one in common.  Each
+prefix entry is a posting; what shares a posting and could be similar by its
+size is a candidate, and candidates are verified on their sets.  The order
+puts shingles that are common in a bounded sample last: the sample decides
+how many candidates there are, never what is found.  Equal sets are one
+entry throughout.
+
+Within short postings all pairs are candidates.  Long ones are settled in
+rounds: a few entries (four times as many each round) are compared with all that
+aren't connected with them yet, until every pair is compared or connected,
+so a large group of near copies makes few pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.llm.components import components
+from lectern.llm.ngrams import raw_texts
+from lectern.llm.shared import BROADCAST_ROWS, drop, survivors, written
+
+#: Postings up to this length are paired outright.
+SHORT = 32
+
+
+@dataclass(frozen=True)
+class Params:
+    shingle: int = 5
+    #: Least similarity of linked texts, in percent.
+    percent: int = 80
+    #: Texts in the sample behind the order of shingles, and how many shingles it can name.
+    sample: int = 10_000
+    named: int = 200_000
+
+
+def shingles(raw: bytes, k: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of one text; a text below k words is one shingle, one without words has none."""
+    words = raw.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    text = b" ".join(words)
+    n = len(words)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    k = min(k, n)
+    digest = xxhash.xxh64_digest
+    pairs = zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
+    return np.unique(np.frombuffer(b"".join([digest(text[a:b], seed) for a, b in pairs]), np.uint64))
+
+
+def _similar(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can reach the similarity."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def common(df: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur more than once in a bounded sample drawn by hash, and how often; at most p.named."""
+    rows = df.count()
+    place = F.pmod(F.xxhash64("_row", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = df.select("_body") if rows <= p.sample else df.where(place < p.sample / rows).select("_body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(raw.tobytes(), p.shingle) for raw in raw_texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["h"])
+
+    counts = drawn.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "h").limit(p.named).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefix(found: np.ndarray, names: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles in the order of (sampled count, hash) that a similar set has to share one of."""
+    n = len(found)
+    if not n:
+        return found
+    count = np.zeros(n, np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, found), len(names) - 1)
+        hit = names[at] == found
+        count[hit] = counts[at[hit]]
+    return found[np.argsort(count, kind="stable")][: n + (-percent * n // 100) + 1]
+
+
+def _parities(found: np.ndarray) -> bytes:
+    """Parities of the set's numbers of shingles in 1,024 classes: sets differ in no fewer shingles than parities."""
+    return np.packbits(np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).tobytes()
+
+
+def _possible(pairs: DataFrame, one: DataFrame, p: Params) -> DataFrame:
+    """The candidates whose parities leave the similarity possible: s allows (n + m) (1 - s) / (1 + s) differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 16) for c in ("x", "y"))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            keep = apart * (100 + p.percent) <= batch.column("both").to_numpy() * (100 - p.percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left = one.select(F.col("set").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x"))
+    right = one.select(F.col("set").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y"))
+    joined = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("n1") + F.col("n2")).alias("both"))
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
+def _marks(df: DataFrame, p: Params) -> DataFrame:
+    """(_id, _row, set, n, bits, prefix) of df's (_id, _row, _body): its set's name, size, parities and prefix."""
+    names, counts = common(df, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name, size, bits, prefix = [], [], [], []
+            for raw in raw_texts(batch.column(2)):
+                found = shingles(raw.tobytes(), p.shingle)
+                name.append(xxhash.xxh64_intdigest(found.tobytes()))
+                size.append(len(found))
+                bits.append(_parities(found))
+                prefix.append(_prefix(found, names, counts, p.percent))
+            ends = np.cumsum([0, *map(len, prefix)])
+            flat = np.concatenate([np.empty(0, np.uint64), *prefix]).view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(bits, pa.binary()), listed], names=["_id", "_row", "set", "n", "bits", "prefix"])
+
+    kind = df.schema["_id"].dataType.simpleString()
+    return df.select("_id", "_row", "_body").mapInArrow(run, f"_id {kind}, _row bigint, set bigint, n bigint, bits binary, prefix array<bigint>")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first one, cut so that no key goes on in the next."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        now = [c.to_numpy() for c in batch.columns]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut == 0 and held and held[-1][0][-1] == now[0][0]:
+            held.append(now)
+            continue
+        held.append([c[:cut] for c in now])
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        held = [[c[cut:] for c in now]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _pair_short(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (null, a, b, null) of short postings; the entries (key, set, null, size) of long ones."""
+    names = ["k", "a", "b", "n"]
+    for k, x, n in _whole_groups(batches):
+        if not len(k):
+            continue
+        begins = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        sizes = np.diff(np.append(begins, len(k)))
+        long = np.repeat(sizes > SHORT, sizes)
+        if long.any():
+            yield pa.RecordBatch.from_arrays([pa.array(k[long]), pa.array(x[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(n[long])], names=names)
+        k, x, n = k[~long], x[~long], n[~long]
+        found = []
+        for shift in range(1, int(sizes[sizes <= SHORT].max(initial=0))):
+            i = np.flatnonzero(k[shift:] == k[:-shift])
+            i = i[_similar(n[i], n[i + shift], p.percent)]
+            found.append(np.stack((np.minimum(x[i], x[i + shift]), np.maximum(x[i], x[i + shift]))))
+        if found:
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=names)
+
+
+def _pair_long(p: Params, done: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of the entries at done to done + width of each posting with later ones in other components."""
+    for k, x, n, root in _whole_groups(batches):
+        if not len(k):
+            continue
+        begins = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        for at, end in zip(begins, np.append(begins[1:], len(k)), strict=True):
+            for c in range(at + done, min(at + done + width, end)):
+                other = slice(c + 1, end)
+                far = (root[other] != root[c]) & _similar(n[other], n[c], p.percent)
+                y = x[other][far]
+                if len(y):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[c], y)), pa.array(np.maximum(x[c], y))], names=["a", "b"])
+
+
+def _verified(pairs: DataFrame, df: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+    """The candidates that are similar."""
+    pairs = written(_possible(pairs, reps, p))
+    if pairs.isEmpty():
+        return pairs
+    needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    rows = written(reps.join(needed, "set").select(F.col("_row").alias("r")).distinct())
+    rows_n = rows.count()
+    rows_side = F.broadcast(rows) if rows_n <= BROADCAST_ROWS else rows.hint("shuffle_hash")
+    drawn = df.join(rows_side, F.col("_row") == F.col("r"), "left_semi").select("_body")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(raw.tobytes(), p.shingle).tobytes() for raw in raw_texts(batch.column(0))]
+            name = np.array([xxhash.xxh64_intdigest(f) for f in found], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(found, pa.binary())], names=["set", "h"])
+
+    held = written(drawn.mapInArrow(sets, "set bigint, h binary").dropDuplicates(["set"]))
+    left = held.select(F.col("set").alias("a"), F.col("h").alias("x"))
+    right = held.select(F.col("set").alias("b"), F.col("h").alias("y"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= p.percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+    out = written(joined.mapInArrow(check, "a bigint, b bigint"))
+    for table in (pairs, rows, held):
+        drop(table)
+    return out
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return written(components(links))
+
+
+def cluster(df: DataFrame, params: Params | None = None) -> DataFrame:
+    """(_id, _row, component) of df's (_id, _row, _body); texts without words are one component."""
+    p = params or Params()
+    marks = written(_marks(df, p))
+    whole = marks
+    kinds = written(marks.groupBy("set").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.min_by(F.struct("bits", "prefix"), "_row").alias("of")))
+    marks = written(whole.select("_id", "_row", "set"))
+    drop(whole)
+    reps = written(kinds.select("set", "_row", "n", "of.bits"))
+    postings = kinds.select("set", "n", "of.prefix").select(F.explode("prefix").alias("k"), "set", "n")
+    found = written(postings.repartition("k").sortWithinPartitions("k", "set").mapInArrow(lambda b: _pair_short(p, b), "k bigint, a bigint, b bigint, n bigint"))
+    drop(kinds)
+    links = _verified(found.where("b IS NOT NULL").select("a", "b"), df, reps, p)
+    roots = _roots(links)
+    long = found.where("k IS NOT NULL").select("k", F.col("a").alias("set"), "n")
+    longest = long.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+    done, width = 0, 4
+    while done < longest - 1:
+        named = long.join(roots.withColumnRenamed("node", "set"), "set", "left").select("k", "set", "n", F.coalesce("root", "set").alias("root"))
+        first, many = done, width
+        pairs = named.repartition("k").sortWithinPartitions("k", "set").mapInArrow(lambda b, f=first, w=many: _pair_long(p, f, w, b), "a bigint, b bigint")
+        more = _verified(pairs, df, reps, p)
+        if not more.isEmpty():
+            links = written(links.union(more))
+            roots = _roots(links)
+        done, width = done + width, 4 * width
+    return marks.join(roots, marks.set == roots.node, "left").select("_id", "_row", F.coalesce("root", "set").alias("component"))
+
+
+def deduplicate(df: DataFrame, params: Params | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """df's rows that are the first of their component (see survivors): one of each group of near-duplicates.
+
+    Components connect all texts whose sets of shingles have at least the
+    similarity asked for.  Sets go by 64-bit names: two of 15 million share
+    one with a chance below 1 in 100,000.
+    """
+    return survivors(df, lambda rows: cluster(rows, params), text, doc_id)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,28 @@ def attach(df: DataFrame, small: DataFrame, key: str, rows: int, how: str = "lef
     return df.withColumn("_salt", salt).join(many, [key, "_salt"], how).drop("_salt")
 
 
+def survivors(df: DataFrame, cluster: Callable[[DataFrame], DataFrame], text: str, doc_id: str) -> DataFrame:
+    """df's rows that are the first of their component: one of each group.
+
+    ``cluster`` gives (_id, _row, component) of (_id, _row, _body) rows; _row
+    names the values of a row.  First is a total order on (id, _row), so a
+    retried task chooses the same; rows that share an id but no component
+    don't touch each other.  Rows with a null id can't be told apart by it
+    and stay.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    marked = df.withColumn("_row", F.xxhash64(*hashed, *[c.isNull() for c in hashed]))
+    ident = F.col(f"`{doc_id}`")
+    found = written(cluster(marked.select(ident.alias("_id"), "_row", F.col(f"`{text}`").alias("_body")))).where("_id IS NOT NULL")
+    first = found.groupBy("component").agg(F.min(F.struct("_id", "_row")).alias("m")).select(F.col("m._id").alias("_id"), F.col("m._row").alias("_r"))
+    first = written(first)
+    # the ids grow with the documents: they are never broadcast, at any size
+    kept = marked.join(first.hint("shuffle_hash"), (ident == F.col("_id")) & (F.col("_row") == F.col("_r")), "left_semi")
+    if not found.groupBy("_id", "_row").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id, "_row"])
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns]).union(df.where(ident.isNull()))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,0 +1,69 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from lectern.llm import jaccard
+
+
+def sets(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def brute(rows, percent=80):
+    """Ids that are the smallest of their component."""
+    all_ = {i: sets(t) for i, t in rows}
+    ids = sorted(all_)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            x, y = all_[i], all_[j]
+            if 100 * len(x & y) >= percent * len(x | y):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [i for i in ids if find(i) == i]
+
+
+def test_stage_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    got = sorted(r.doc_id for r in corpus_pipeline.remove_near_duplicates(spark, docs, sf_dir).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("short", [32, 2])
+@pytest.mark.parametrize("named", [200_000, 3])
+def test_edited_copies_equal_brute_force(spark, monkeypatch, short, named):
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    rng = random.Random(7)
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = [(1000, ""), (1001, None), (1002, "One"), (1003, "one"), (1004, "a b c d"), (1005, "a b c d e f g h i"), (1006, "a b c d e f g h")]
+    for c in range(12):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([8, 30, 120]))]
+        for _ in range(rng.choice([1, 3, 9])):
+            own = list(words)
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(len(own))] = f"edit{rng.random()}"
+            rows.append((len(rows), " ".join(own) + rng.choice(["", " " + line])))
+    got = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Params(named=named))
+    assert sorted(r.doc_id for r in got.collect()) == brute(rows)
+
+
+def test_threshold_is_exact(spark):
+    # 10 shingles and 8 of them: 0.8; 11 and 8 of them: below
+    words = [f"w{i}" for i in range(15)]
+    rows = [(1, " ".join(words[:14])), (2, " ".join(words[:12]))]
+    assert [r.doc_id for r in jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [1]
+    rows = [(1, " ".join(words[:15])), (2, " ".join(words[:12]))]
+    assert jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
+
+
+def test_empty(spark):
+    assert jaccard.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
