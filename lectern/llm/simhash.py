@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.components import components
 from lectern.llm.ngrams import raw_texts
-from lectern.llm.shared import written
+from lectern.llm.shared import survivors, written
 
 BITS = 3
 POSITIONS = 7
@@ -222,24 +222,24 @@ def cluster(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     """
     marked = written(fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_body")), "_body", "fp", shingle))
     firsts = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = written(components(written(link(firsts))))
-    with_root = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    with_root = written(with_root)
+    with_root = written(_rooted(firsts))
     least = written(with_root.groupBy("root").agg(F.min("first").alias("component_id")))
     named = written(with_root.join(least, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """distinct with the root of each fingerprint's component, the smallest that it reaches."""
+    roots = written(components(written(link(distinct))))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """df's rows that are the first of their component: one of each group.
+    """df's rows that are the first of their component: one of each group (see survivors)."""
 
-    Rows with a null id can't be told apart by it and stay; of rows that
-    repeat an id that stays, one stays.
-    """
-    found = cluster(df, text, doc_id, shingle)
-    first = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct())
-    # the ids grow with the documents: they are never broadcast, at any size
-    kept = df.join(first.hint("shuffle_hash"), F.col(f"`{doc_id}`") == F.col("_id"), "left_semi")
-    if not df.groupBy(F.col(f"`{doc_id}`").alias("i")).count().where("count > 1 AND i IS NOT NULL").isEmpty():
-        kept = kept.dropDuplicates([doc_id])
-    return kept.union(df.where(F.col(f"`{doc_id}`").isNull()))
+    def clustered(rows: DataFrame) -> DataFrame:
+        marked = written(fingerprints(rows, "_body", "fp", shingle))
+        rooted = written(_rooted(written(marked.select("fp").distinct())))
+        return marked.join(rooted, "fp").select("_id", "_row", F.col("root").alias("component"))
+
+    return survivors(df, clustered, text, doc_id)

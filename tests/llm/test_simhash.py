@@ -116,3 +116,13 @@ def test_edges(spark):
     kept = simhash.deduplicate(df)
     assert kept.columns == df.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 2, 3, 9]
     assert simhash.cluster(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_of_different_texts_lose_none(spark):
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white")
+    rows = [(1, a, "x"), (1, b, None), (1, b, None), (2, b, "x"), (3, c, "x"), (3, c, "y"), (2, c, "x"), (4, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {(1, a, "x"), (1, b, None), (2, c, "x")}
+    for parts in (1, 5):
+        got = [tuple(r) for r in simhash.deduplicate(df.repartition(parts)).collect()]
+        assert len(got) == len(want) and set(got) == want
