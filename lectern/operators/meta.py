@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.operators.dedup import _cut
+
 Z = 1.96
 
 
@@ -100,17 +102,30 @@ def trim_and_fill(studies: DataFrame, by: str, rounds: int = 5) -> DataFrame:
 
     Each round ranks the distances from the current centre, estimates the
     number of missing studies, and takes the centre anew without as many of
-    the largest effects; a fixed number of rounds keeps the plan bounded.
+    the largest effects.  Rounds go on until no group's number changes, or
+    repeats an earlier one (the centre follows from the number alone, so a
+    group that doesn't settle is in a cycle; it stays there, and ``converged`` is
+    false for it).
+    The state is checkpointed after each ``rounds`` rounds, which keeps the
+    plan bounded.
     """
     s = studies.select(by, "effect", (1 / (F.col("se") * F.col("se"))).alias("w"))
     s = s.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.col("effect").desc(), "w")))
-    centre = s.groupBy(by).agg((F.sum(F.col("w") * F.col("effect")) / F.sum("w")).alias("centre"), F.count("*").alias("k"), F.lit(0).cast("bigint").alias("missing"))
-    for _ in range(rounds):
-        x = s.join(centre, by).withColumn("gap", F.col("effect") - F.col("centre"))
-        x = x.withColumn("place", F.rank().over(W.partitionBy(by).orderBy(F.abs("gap"))))
-        t = x.groupBy(by, "k").agg(F.sum(F.when(F.col("gap") > 0, F.col("place")).otherwise(0)).alias("t"))
-        l0 = F.greatest(F.lit(0), F.round((4 * F.col("t") - F.col("k") * (F.col("k") + 1)) / (2 * F.col("k") - 1))).cast("bigint")
-        missing = t.select(by, F.least(l0, F.col("k") - 1).alias("missing"))
-        kept = s.join(missing, by).where(F.col("_r") > F.col("missing"))
-        centre = kept.groupBy(by).agg((F.sum(F.col("w") * F.col("effect")) / F.sum("w")).alias("centre"), F.first("missing").alias("missing")).join(s.groupBy(by).agg(F.count("*").alias("k")), by)
-    return centre.select(by, "k", "missing", F.col("centre").alias("adjusted"))
+    n = s.groupBy(by).agg(F.count("*").alias("k"))
+    centre = s.groupBy(by).agg((F.sum(F.col("w") * F.col("effect")) / F.sum("w")).alias("centre"), F.lit(0).cast("bigint").alias("missing")).join(n, by)
+    centre = centre.withColumn("seen", F.array("missing")).withColumn("stable", F.lit(False)).withColumn("cycle", F.lit(False))
+    while True:
+        for _ in range(max(rounds, 1)):
+            x = s.join(centre, by).withColumn("gap", F.col("effect") - F.col("centre"))
+            x = x.withColumn("place", F.rank().over(W.partitionBy(by).orderBy(F.abs("gap"))))
+            t = x.groupBy(by, "k").agg(F.sum(F.when(F.col("gap") > 0, F.col("place")).otherwise(0)).alias("t"))
+            l0 = F.greatest(F.lit(0), F.round((4 * F.col("t") - F.col("k") * (F.col("k") + 1)) / (2 * F.col("k") - 1))).cast("bigint")
+            missing = t.select(by, F.least(l0, F.col("k") - 1).alias("missing"))
+            kept = s.join(missing, by).where(F.col("_r") > F.col("missing"))
+            now = kept.groupBy(by).agg((F.sum(F.col("w") * F.col("effect")) / F.sum("w")).alias("_c"), F.first("missing").alias("_m"))
+            stable = F.col("_m") == F.col("missing")
+            cycle = F.col("cycle") | (~stable & F.array_contains("seen", F.col("_m")))
+            centre = centre.join(now, by).select(by, F.when(F.col("cycle"), F.col("centre")).otherwise(F.col("_c")).alias("centre"), F.when(F.col("cycle"), F.col("missing")).otherwise(F.col("_m")).alias("missing"), "k", F.array_union("seen", F.array("_m")).alias("seen"), stable.alias("stable"), cycle.alias("cycle"))
+        centre = _cut(centre)
+        if centre.where("NOT stable AND NOT cycle").isEmpty():
+            return centre.select(by, "k", "missing", F.col("centre").alias("adjusted"), F.col("stable").alias("converged"))
