@@ -106,8 +106,8 @@ def trim_and_fill(studies: DataFrame, by: str, rounds: int = 5) -> DataFrame:
     repeats an earlier one (the centre follows from the number alone, so a
     group that doesn't settle is in a cycle; it stays there, and ``converged`` is
     false for it).
-    The state is checkpointed after each ``rounds`` rounds, which keeps the
-    plan bounded.
+    The state is checkpointed after each round, which keeps the plan bounded,
+    and tested after each ``rounds`` rounds.
     """
     s = studies.select(by, "effect", (1 / (F.col("se") * F.col("se"))).alias("w"))
     s = s.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.col("effect").desc(), "w")))
@@ -126,6 +126,6 @@ def trim_and_fill(studies: DataFrame, by: str, rounds: int = 5) -> DataFrame:
             stable = F.col("_m") == F.col("missing")
             cycle = F.col("cycle") | (~stable & F.array_contains("seen", F.col("_m")))
             centre = centre.join(now, by).select(by, F.when(F.col("cycle"), F.col("centre")).otherwise(F.col("_c")).alias("centre"), F.when(F.col("cycle"), F.col("missing")).otherwise(F.col("_m")).alias("missing"), "k", F.array_union("seen", F.array("_m")).alias("seen"), stable.alias("stable"), cycle.alias("cycle"))
-        centre = _cut(centre)
+            centre = _cut(centre)
         if centre.where("NOT stable AND NOT cycle").isEmpty():
             return centre.select(by, "k", "missing", F.col("centre").alias("adjusted"), F.col("stable").alias("converged"))
