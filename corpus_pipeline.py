@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, jaccard, langid, mixing, pii
+from lectern.llm import bpe, langid, mixing, neardup, pii
 from lectern.llm.shared import documents, written
 
 
@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of texts that share 0.8 of their 5-word shingles (Jaccard); op6's 3-bit links are the query's alone."""
-    return jaccard.deduplicate(docs).select(*docs.columns)
+    return neardup.deduplicate(docs).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

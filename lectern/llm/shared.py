@@ -3,29 +3,31 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Rows up to which a lookup table may be broadcast; it is counted first.
 BROADCAST_ROWS = 20_000
 #: Ways into which a hot key of a larger lookup is split.
 SALTS = 32
+#: A key is hot with this share of all rows, and so many at least: there are never more hot keys than 1 / HOT_SHARE.
+HOT_SHARE, HOT_ROWS = 1e-4, 100_000
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; none is made up where the cluster names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
-        at = context._jsc.sc().getCheckpointDir().get()
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = held.get()
     return at.rstrip("/")
 
 
@@ -64,39 +66,83 @@ def drop(df: DataFrame) -> None:
             _remove(*item)
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def same_name(spark: SparkSession) -> Callable[[str], str]:
+    """What two names have in common if the session takes them for one."""
+    return str if spark.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """df's columns but for those named like one of ``names``."""
+    same = same_name(df.sparkSession)
+    gone = {same(n) for n in names}
+    return [c for c in df.columns if same(c) not in gone]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    same = same_name(df.sparkSession)
+    held = {same(c) for c in df.columns}
+    while same(name) in held:
+        name = "_" + name
+    return name
+
+
+def schema_of(df: DataFrame, columns: Iterable[str], made: dict[str, str]) -> StructType:
+    """df's fields of these names, then the made ones (name: type)."""
+    return StructType([df.schema[c] for c in columns] + [StructField(name, DataType.fromDDL(kind)) for name, kind in made.items()])
+
+
+def row_hash(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """A hash of a row's values, nulls told from others; maps have no hash and are left out."""
+    some = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.name not in but]
+    return F.xxhash64(*some, *[c.isNull() for c in some])
+
+
 def attach(df: DataFrame, small: DataFrame, key: str, rows: int, how: str = "left") -> DataFrame:
     """Join a lookup with one row a key, whatever share of df one key holds.
 
     ``rows`` is the lookup's counted size: up to BROADCAST_ROWS it is
-    broadcast, beyond that df's keys are salted and the lookup repeated.
+    broadcast.  Beyond that df's hot keys are counted (at most 1 / HOT_SHARE
+    of them), their rows dealt to SALTS places by a hash of the row, and
+    their rows of the lookup repeated there; all others meet by their key.
     """
     if rows <= BROADCAST_ROWS:
         return df.join(F.broadcast(small), key, how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns[:2]]), F.lit(SALTS)).cast("int")
-    many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("_salt", salt).join(many, [key, "_salt"], how).drop("_salt")
+    counts = df.groupBy(quoted(key).alias(key)).agg(F.count("*").alias("_n"))
+    least = max(HOT_ROWS, int(HOT_SHARE * (counts.agg(F.sum("_n")).first()[0] or 0)))
+    hot = written(counts.where(F.col("_n") > least).select(key, F.lit(SALTS).alias("_ways")))
+    place, ways = unused(df, "_place"), F.coalesce("_ways", F.lit(1))
+    dealt = df.join(F.broadcast(hot), key, "left").withColumn(place, F.pmod(row_hash(df, (key,)), ways).cast("int")).drop("_ways")
+    many = small.join(F.broadcast(hot), key, "left").withColumn(place, F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
+    return dealt.join(many, [key, place], how).drop(place)
 
 
 def survivors(df: DataFrame, cluster: Callable[[DataFrame], DataFrame], text: str, doc_id: str) -> DataFrame:
     """df's rows that are the first of their component: one of each group.
 
     ``cluster`` gives (_id, _row, component) of (_id, _row, _body) rows; _row
-    names the values of a row.  First is a total order on (id, _row), so a
-    retried task chooses the same; rows that share an id but no component
-    don't touch each other.  Rows with a null id can't be told apart by it
-    and stay.
+    names the values of a row.  First is a total order on (id, _row), null
+    ids last, so a retried task chooses the same; rows that share an id but
+    no component don't touch each other, and rows with a null id are told
+    apart by their values.
     """
-    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    marked = df.withColumn("_row", F.xxhash64(*hashed, *[c.isNull() for c in hashed]))
-    ident = F.col(f"`{doc_id}`")
-    found = written(cluster(marked.select(ident.alias("_id"), "_row", F.col(f"`{text}`").alias("_body")))).where("_id IS NOT NULL")
-    first = found.groupBy("component").agg(F.min(F.struct("_id", "_row")).alias("m")).select(F.col("m._id").alias("_id"), F.col("m._row").alias("_r"))
-    first = written(first)
+    row = unused(df, "_row")
+    marked = df.withColumn(row, row_hash(df))
+    ident = quoted(doc_id)
+    found = written(cluster(marked.select(ident.alias("_id"), F.col(row).alias("_row"), quoted(text).alias("_body"))))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m"))
+    first = written(first.select(F.col("m._id").alias("_i"), F.col("m._row").alias("_r")))
     # the ids grow with the documents: they are never broadcast, at any size
-    kept = marked.join(first.hint("shuffle_hash"), (ident == F.col("_id")) & (F.col("_row") == F.col("_r")), "left_semi")
+    kept = marked.join(first.hint("shuffle_hash"), ident.eqNullSafe(F.col("_i")) & (F.col(row) == F.col("_r")), "left_semi")
     if not found.groupBy("_id", "_row").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([doc_id, "_row"])
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns]).union(df.where(ident.isNull()))
+        kept = kept.dropDuplicates([doc_id, row])
+    drop(found)
+    return kept.select(*[quoted(c) for c in df.columns])
 
 
 def ascii_lower(c: Column) -> Column:

@@ -235,7 +235,10 @@ def _rooted(distinct: DataFrame) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """df's rows that are the first of their component: one of each group (see survivors)."""
+    """df's rows that are the first of their component of 3-bit links: one of each group (see survivors).
+
+    neardup.deduplicate links by the similarity of 5-word shingles instead.
+    """
 
     def clustered(rows: DataFrame) -> DataFrame:
         marked = written(fingerprints(rows, "_body", "fp", shingle))
