@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text longer than a chunk is cut into chunks that overlap.  Each chunk is
-pre-tokenised on its own, in parallel threads.  The pre-tokeniser looks only
-forward from where a match begins, so once the pre-tokens of two neighbouring
-chunks begin at one position they agree from there on: that position is where
-the text may be cut.  Where no position of an overlap fits (one pre-token
-fills it), the chunks stay together.  The pieces between cuts are encoded
-separately and their ids joined, which gives the ids of the whole text.
-Decoding joins the raw bytes of the ids.
+Every text is cut into chunks that overlap.  Each chunk is pre-tokenised on
+its own.  The pre-tokeniser looks only forward from where a match begins, so
+once the pre-tokens of two neighbouring chunks begin at one position they
+agree from there on: that is where the chunks are stitched.  Where no position
+of an overlap fits (one pre-token fills it), the chunks stay together.  The
+pieces between stitches are encoded pre-token by pre-token and their ids
+joined, which gives the ids of the whole text.  Decoding joins the raw bytes
+of the ids.
 """
 
 from __future__ import annotations
@@ -16,126 +16,129 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-CHUNK = 1 << 16
-OVERLAP = 1 << 10
-#: Pre-tokens of more bytes are merged with a heap: n log n instead of n squared.
-LONG = 512
+from lectern.llm.shared import map_arrow, others, quoted, schema_of
+
+CHUNK = 1 << 10
+OVERLAP = 1 << 6
+#: Characters behind a match that may have decided it (a look-ahead, or a longer alternative that failed).
+LOOK = 4
+#: Pre-tokens whose ids a task remembers, and the longest of them.
+REMEMBERED, SHORT = 1 << 18, 64
+
+
+class _Ids(dict):
+    """Ids by pre-token, merged when first met."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        found = tuple(merge(token.encode(), self.ranks))
+        if len(token) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = found
+        return found
+
+
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one pre-token: of neighbours the lowest rank first, leftmost of equals; n log n for n bytes."""
+    if piece in ranks:
+        return [ranks[piece]]
+    n = len(piece)
+    after, before, width = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
+    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i]
+        if not width[i] or j >= n or width[i] + width[j] != size:
+            continue
+        width[i], width[j] = size, 0
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (r := ranks.get(piece[i : k + width[k]])) is not None:
+                heapq.heappush(heap, (r, i, size + width[k]))
+        if (h := before[i]) >= 0 and (r := ranks.get(piece[h : i + size])) is not None:
+            heapq.heappush(heap, (r, h, width[h] + size))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : i + width[i]]])
+        i = after[i]
+    return out
 
 
 class Codec:
-    """Encoder and decoder for one rank file and one pre-token pattern."""
+    """Encoder and decoder for one rank file and one pre-token pattern, which has to match every character."""
 
     def __init__(self, ranks_file: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP):
-        if not 0 < overlap < chunk:
-            raise ValueError("overlap must be positive and smaller than chunk")
+        if not LOOK < overlap < chunk:
+            raise ValueError("overlap must be larger than the look-ahead and smaller than chunk")
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.pattern = regex.compile(pattern)
-        self.engine = tiktoken.Encoding("lectern", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.ids = _Ids(self.ranks)
         self.chunk, self.overlap = chunk, overlap
-        self.long = regex.compile(rf"\S{{{LONG},}}+|\s{{{LONG},}}+")
-
-    # --- pre-tokens -------------------------------------------------------
-    def _begins(self, text: str, start: int, end: int, low: int, high: int) -> list[int]:
-        """Where pre-tokens of text[start:end] begin after a visible character, within [low, high).
-
-        The match that reaches ``end`` may go on in the whole text; what
-        follows it is left out.  After white space there is no cut: how a run
-        of it is divided depends on what comes next.
-        """
-        out = []
-        for m in self.pattern.finditer(text, start, end):
-            if m.end() == end or m.start() >= high:
-                break
-            if m.end() >= low:
-                out.append(m.end())
-        return [x for x in out if low <= x < high and not text[x - 1].isspace()]
-
-    def cuts(self, text: str) -> list[int]:
-        """Positions at which the text may be cut without changing its pre-tokens."""
-        n = len(text)
-        if n <= self.chunk:
-            return [0, n]
-        step = self.chunk - self.overlap
-        starts = list(range(0, n, step))
-        spans = [(s, min(n, s + self.chunk)) for s in starts]
-        spans = spans[: next(i for i, (_, e) in enumerate(spans) if e == n) + 1]
-
-        def sides(i: int) -> tuple[list[int], list[int]]:
-            start, end = spans[i]
-            head = min(end, start + self.overlap)
-            return (self._begins(text, start, end, start, head) if i else []), (
-                self._begins(text, start, end, end - self.overlap, end) if i + 1 < len(spans) else []
-            )
-
-        with ThreadPoolExecutor(4) as pool:
-            found = list(pool.map(sides, range(len(spans))))
-        cuts, at, synced = [0], 0, True
-        for i in range(len(spans) - 1):
-            left = found[i][1]
-            if not synced:  # this chunk joined the one before: read on from the last cut
-                left = self._begins(text, at, spans[i][1], spans[i][1] - self.overlap, spans[i][1])
-            common = set(left) & set(found[i + 1][0])
-            synced = bool(common)
-            if synced:
-                at = min(common)
-                cuts.append(at)
-        return [*cuts, n]
-
-    # --- merging ----------------------------------------------------------
-    def _merge(self, piece: bytes) -> list[int]:
-        """Ids of one long pre-token; lowest rank first, leftmost of equals."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        n, ranks = len(piece), self.ranks
-        after, before, width = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i]
-            if not width[i] or j >= n or width[i] + width[j] != size:
-                continue
-            width[i], width[j] = size, 0
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := ranks.get(piece[i : k + width[k]])) is not None:
-                    heapq.heappush(heap, (r, i, size + width[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get(piece[h : i + size])) is not None:
-                heapq.heappush(heap, (r, h, width[h] + size))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : i + width[i]]])
-            i = after[i]
-        return out
 
-    def _piece(self, text: str) -> list[int]:
-        if not self.long.search(text):
-            return self.engine.encode_ordinary(text)
-        out: list[int] = []
-        for m in self.pattern.finditer(text):
-            raw = m[0].encode()
-            out += self._merge(raw) if len(raw) > LONG else self.engine.encode_ordinary(m[0])
+    def _tokens(self, text: str, start: int, end: int) -> list[str]:
+        """Pre-tokens of text[start:end], as if nothing were around it."""
+        out = self.pattern.findall(text, start, end)
+        if sum(map(len, out)) != end - start:
+            raise ValueError("the pattern leaves characters out")
         return out
 
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The text's pre-tokens, piece by piece, in order."""
+        n = len(text)
+        end = min(n, self.chunk)
+        tokens = self._tokens(text, 0, end) if n else []
+        start = 0
+        while end < n:
+            # where this chunk's pre-tokens begin in the overlap, of those that its end can't have changed
+            marks, i, at = {}, len(tokens), end
+            while i and at > end - self.overlap:
+                i -= 1
+                at -= len(tokens[i])
+                if end - self.overlap <= at <= end - LOOK:
+                    marks[at] = i
+            ahead_start, ahead_end = end - self.overlap, min(n, end - self.overlap + self.chunk)
+            ahead = self._tokens(text, ahead_start, ahead_end)
+            j, at = 0, ahead_start
+            while at not in marks and at <= end - LOOK:
+                at += len(ahead[j])
+                j += 1
+            if at in marks:
+                yield tokens[: marks[at]]
+                tokens, start, end = ahead[j:], at, ahead_end
+                continue
+            # the chunks stay together: read on from the last sure position, twice as far
+            i, at = len(tokens), end
+            while at > end - LOOK and i:
+                i -= 1
+                at -= len(tokens[i])
+            yield tokens[:i]
+            start, end = at, min(n, at + 2 * (end - at) + self.chunk)
+            tokens = self._tokens(text, start, end)
+        if tokens:
+            yield tokens
+
     def encode(self, text: str) -> list[int]:
-        cuts = self.cuts(text)
         out: list[int] = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            out += self._piece(text[a:b])
+        ids = self.ids.__getitem__
+        for piece in self.pieces(text):
+            out.extend(chain.from_iterable(map(ids, piece)))
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -153,8 +156,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     Every input column stays as it is, but for columns already named like an
     output, which are replaced.  A null or empty text has no ids and decodes
     to no bytes; equal rows give equal rows; an empty table gives an empty
-    table.  The rank file (under 2 MB, fixed by the vocabulary) is read by
-    the driver and broadcast, so executors need no copy of it.
+    table.  A text takes its ids' memory besides its own, whatever its length;
+    a run of white space or letters is one pre-token, merged in n log n.  The
+    rank file (under 2 MB, fixed by the vocabulary) is read by the driver and
+    broadcast, so executors need no copy of it.
 
     With ``digests`` the columns are n_tokens, ids_sha256 (ids as
     little-endian unsigned 32-bit integers) and decoded_sha256 instead of the
@@ -162,12 +167,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     """
     with open(ranks_path, "rb") as f:
         held = df.sparkSession.sparkContext.broadcast(f.read())
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else [ids, decoded]
-    kinds = ["bigint", "string", "string"] if digests else ["array<int>", "binary"]
-    keep = [c for c in df.columns if c not in made and c != text]
-    base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))  # the text comes last
+    made = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} if digests else {ids: "array<int>", decoded: "binary"}
+    keep = others(df, *made, text)
+    base = df.select(*[quoted(c) for c in keep], quoted(text))  # the text comes last
     n_keep = len(keep) + (not digests)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:n_keep]] + [f"`{c}` {k}" for c, k in zip(made, kinds, strict=True)])
     names = [*base.columns[:n_keep], *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,4 +190,4 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
             types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.binary()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], names=names)
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema_of(base, base.columns[:n_keep], made))

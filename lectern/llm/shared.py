@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +97,17 @@ def schema_of(df: DataFrame, columns: Iterable[str], made: dict[str, str]) -> St
     return StructType([df.schema[c] for c in columns] + [StructField(name, DataType.fromDDL(kind)) for name, kind in made.items()])
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), for columns of any name: mapInArrow takes a dot for a field's."""
+    inner = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator) -> Iterator:
+        for batch in run(batches):
+            yield batch.rename_columns(inner.names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, inner).toDF(*schema.names)
+
+
 def row_hash(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
     """A hash of a row's values, nulls told from others; maps have no hash and are left out."""
     some = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.name not in but]

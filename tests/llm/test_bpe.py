@@ -1,5 +1,6 @@
 import hashlib
 import random
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -58,6 +59,49 @@ def test_very_long_pretoken_is_not_quadratic(raw):
     assert codec.decode(codec.encode(text)) == text.encode()
 
 
+def test_texts_go_through_chunks(spark, sf_dir, raw, whole):
+    codec = bpe.Codec(raw, public_tokenizers.PATTERN)
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    counts = []
+    for t in texts:
+        pieces = list(codec.pieces(t))
+        assert "".join(chain.from_iterable(pieces)) == t
+        counts.append(len(pieces))
+        assert len(pieces) > (len(t) > codec.chunk)  # a text longer than a chunk has several
+    assert sum(c > 1 for c in counts) > len(texts) / 2
+    # pre-tokens of the pieces are those of the whole text
+    for t in texts[:50]:
+        assert [x for p in codec.pieces(t) for x in p] == codec.pattern.findall(t)
+
+
+def test_every_code_point_is_classed_alike(raw, whole):
+    codec = bpe.Codec(raw, public_tokenizers.PATTERN)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(points), 20_000):
+        text = " ".join(f"a{x}1{x}{x}" for x in points[at : at + 20_000])
+        assert codec.encode(text) == whole.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("unit", [" ", "q", "!", "\n"])
+def test_long_runs_grow_linearly(raw, unit):
+    codec = bpe.Codec(raw, public_tokenizers.PATTERN)
+    scanned = []
+    plain = codec._tokens
+    codec._tokens = lambda text, start, end: scanned.append(end - start) or plain(text, start, end)
+    for n in (20_000, 200_000):
+        scanned.clear()
+        text = "a b " + unit * n + " end of it"
+        assert codec.decode(codec.encode(text)) == text.encode()
+        assert sum(scanned) < 6 * len(text)
+
+
+def test_extra_columns_of_any_name_and_type(spark):
+    df = spark.sql("SELECT 1L AS doc_id, 'some text' AS text, named_struct('a-b', 'x') AS `odd.name`, 'y' AS IDS, 2 AS Decoded")
+    got = bpe.encode(df, PATH, public_tokenizers.PATTERN)
+    assert got.columns == ["doc_id", "odd.name", "text", "ids", "decoded"]
+    assert bytes(got.first().decoded) == b"some text" and got.first()["odd.name"]["a-b"] == "x"
+
+
 def test_query(spark, sf_dir, whole):
     rows = registry.op8_bpe(spark, sf_dir).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
