@@ -19,15 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.ngrams import Counter, letters_only, raw_texts
+from lectern.llm.shared import map_arrow, others, quoted, schema_of, unused
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Params:
-    """``train_rows`` bounds the labelled rows that the classifiers are fitted on."""
+    """``train_rows`` bounds the labelled rows that the classifiers are fitted on, ``languages`` the labels that are learnt: the commonest."""
 
     train_rows: int = 2400
+    languages: int = 200
     buckets: int = 4096
     order: int = 3
     steps: int = 150
@@ -108,19 +110,22 @@ def fit(df: DataFrame, params: Params | None = None, text: str = "text", lang: s
     """A model from df's rows with a non-null lang; None where there are none.
 
     About ``train_rows`` rows, evenly over the languages, are drawn by a hash
-    of their id, so the sample is the same in every run.  Each gives its
-    whole text and one snippet, so that short texts are known too.
+    of id and text, so the sample is the same in every run; rows that repeat
+    both count once, and null ids draw by their text.  Each gives its whole
+    text and one snippet, so that short texts are known too.
     """
     p = params or Params()
-    known = df.where(F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    known = df.where(quoted(lang).isNotNull()).select(quoted(lang).cast("string").alias("lang"), quoted(text).alias("text"), quoted(doc_id).alias("id"))
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return None
     each = max(1, p.train_rows // len(languages))
     share = F.create_map(*[c for k in languages for c in (F.lit(k), F.lit(min(1.0, 0.95 * each / sizes[k])))])
-    place = F.pmod(F.xxhash64(F.col(doc_id), F.lit(p.seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where((place < F.element_at(share, F.col(lang))) & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).limit(p.train_rows)
+    place = F.pmod(F.xxhash64("id", "text", F.lit(p.seed)), F.lit(1 << 40))
+    drawn = known.where(F.col("text").isNotNull()).withColumn("place", place).where(F.col("place") / float(1 << 40) < F.element_at(share, F.col("lang")))
+    drawn = drawn.groupBy("place", "lang").agg(F.min("text").alias("text")).orderBy("place", "lang").limit(p.train_rows)
+    rows = drawn.select("lang", "text")
     snippet = p.snippet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,12 +165,11 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     text order.  Repeated rows get the same; an empty table gives an empty
     table; columns named like an output are replaced.
     """
-    made = ["lang_pred", "score", "ambiguous"]
-    keep = [c for c in df.columns if c not in made]
-    base = df.select(*[F.col(f"`{c}`") for c in keep])
-    place = keep.index(text)
+    made = {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}
+    body = unused(df, "_body")
+    keep = others(df, *made)
+    base = df.select(*[quoted(c) for c in keep], quoted(text).alias(body))
     held = df.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
     names = [*keep, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +190,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 todo.clear()
                 x.clear()
 
-            for i, raw in enumerate(raw_texts(batch.column(place))):
+            for i, raw in enumerate(raw_texts(batch.column(len(keep)))):
                 if m and _has_letter(raw):
                     todo.append(i)
                     x.append(features(count(raw)))
@@ -194,6 +198,6 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                         settle()
             if x:
                 settle()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score), pa.array(unclear)], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score), pa.array(unclear)], names=names)
 
-    return base.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "ambiguous boolean"]))
+    return map_arrow(base, run, schema_of(df, keep, made))

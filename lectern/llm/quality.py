@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.ngrams import Counter, raw_texts, shapes
+from lectern.llm.shared import map_arrow, others, quoted, schema_of, unused
 
 
 @dataclass(frozen=True)
@@ -134,19 +135,23 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None, text:
     """A model from labelled rows (label 0 or 1, others are left out); None where there are none.
 
     At most ``labelled_rows`` labels are used, evenly over the two, drawn by a
-    hash of their id, so only their texts are read out; votes are weighed
-    back to the labels' shares.
+    hash of their id, the same in every run, so only their texts are read
+    out; votes are weighed back to the labels' shares.  A repeated label
+    counts once, an id of several texts with the first of them in text order,
+    and a label without an id with none.
     """
     p = params or Params()
-    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(doc_id, F.col(label).cast("int").alias("y"))
+    known = labels.where(quoted(label).isin(0, 1) & quoted(doc_id).isNotNull()).select(quoted(doc_id).alias("id"), quoted(label).cast("int").alias("y"))
     sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if not sizes:
         return None
     each = p.labelled_rows // len(sizes)
     share = F.create_map(*[c for k, n in sorted(sizes.items()) for c in (F.lit(k), F.lit(min(1.0, 0.95 * each / n)))])
-    place = F.pmod(F.xxhash64(F.col(doc_id), F.lit(p.seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.where(place < F.element_at(share, F.col("y"))).limit(p.labelled_rows)
-    rows = docs.select(doc_id, text).join(F.broadcast(drawn), doc_id).select("y", F.col(text).alias("text"))
+    place = F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 40))
+    drawn = known.withColumn("place", place).where(F.col("place") / float(1 << 40) < F.element_at(share, F.col("y")))
+    drawn = drawn.distinct().orderBy("place", "id", "y").limit(p.labelled_rows).select("id", "y")
+    texts = docs.select(quoted(doc_id).alias("id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(p.buckets, p.order, shapes(), p.seed)
@@ -169,10 +174,10 @@ def score(df: DataFrame, model: Model | None, text: str = "text", least: float =
     Repeated rows get the same; an empty table gives an empty table; columns
     named like an output are replaced.
     """
-    keep = [c for c in df.columns if c not in ("score", "predicted", text)]
-    base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    made = {"score": "double", "predicted": "int"}
+    keep = others(df, *made, text)
+    base = df.select(*[quoted(c) for c in keep], quoted(text).alias(unused(df, "_text")))
     held = df.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -189,6 +194,6 @@ def score(df: DataFrame, model: Model | None, text: str = "text", least: float =
                 if x:
                     out[at:] = m.score(np.stack(x))
             out = np.clip(out, 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out), pa.array((out >= least).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out), pa.array((out >= least).astype(np.int32))], names=[*keep, *made])
 
-    return base.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
+    return map_arrow(base, run, schema_of(df, keep, made))

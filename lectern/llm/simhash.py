@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.components import components
 from lectern.llm.ngrams import raw_texts
-from lectern.llm.shared import survivors, written
+from lectern.llm.shared import map_arrow, others, quoted, schema_of, survivors, unused, written
 
 BITS = 3
 POSITIONS = 7
@@ -62,16 +62,15 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: in
 
     A text without words (null too) has fingerprint 0.
     """
-    keep = [c for c in df.columns if c not in (text, out)]
-    base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]]
+    keep = others(df, text, out)
+    base = df.select(*[quoted(c) for c in keep], quoted(text).alias(unused(df, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(raw.tobytes(), shingle) for raw in raw_texts(batch.column(batch.num_columns - 1))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*keep, out])
 
-    return base.mapInArrow(run, ", ".join([*fields, f"`{out}` bigint"]))
+    return map_arrow(base, run, schema_of(df, keep, {out: "bigint"}))
 
 
 def _close(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -220,7 +219,7 @@ def cluster(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     without any other id has a null component_id.  Repeated rows are repeated
     in the result; an empty table gives an empty table.
     """
-    marked = written(fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_body")), "_body", "fp", shingle))
+    marked = written(fingerprints(df.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("_body")), "_body", "fp", shingle))
     firsts = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     with_root = written(_rooted(firsts))
     least = written(with_root.groupBy("root").agg(F.min("first").alias("component_id")))
