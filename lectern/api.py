@@ -133,14 +133,23 @@ class Library:
         return journals.top_for_field(self.sjr, self.qualis, self.jql, field, limit)
 
     # --- verify ---
+    def _cited(self) -> DataFrame:
+        """What citations are verified against: title, year, names of authors, DOI."""
+        return self.works().select("work_id", "title", "year", "doi", F.array_join(F.transform("authors", lambda a: a["name"]), " ").alias("authors"))
+
     def verify_citation(self, author: str, year: int, title_fragment: str, strict: bool = False) -> DataFrame:
-        return verify.verify(self._rows([(0, f"{author} {title_fragment}".strip(), year)], "ref_id int, title string, year int"), self.works(), strict)
+        """Whether a citation exists: author and title find the candidates, the title alone is tested."""
+        return verify.verify(self._rows([(0, author, title_fragment, year)], "ref_id int, author string, title string, year int"), self._cited(), strict)
 
     def batch_verify_references(self, references_json: str, most: int | None = 30) -> DataFrame:
-        """Status of each reference of a JSON list; a missing year is taken as 2000."""
+        """Status, DOI and closest title of each reference of a JSON list; a missing year is taken as 2000.
+
+        Only a fitting title verifies here, as the year alone does for a
+        single citation.
+        """
         refs = json.loads(references_json)[:most]
-        rows = [(i, r.get("title", ""), int(r.get("year", 2000))) for i, r in enumerate(refs)]
-        return verify.verify(self._rows(rows, "ref_id int, title string, year int"), self.works())
+        rows = [(i, r.get("author", ""), r.get("title", ""), int(r.get("year", 2000))) for i, r in enumerate(refs)]
+        return verify.verify(self._rows(rows, "ref_id int, author string, title string, year int"), self._cited(), strict=True)
 
     def check_retraction(self, doi: str) -> DataFrame:
         return self.retractions.where(F.lower(normalize_doi(F.col("doi"))) == F.lower(normalize_doi(F.lit(doi))))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.folders import cut
 from lectern.functions.texts import metadata_score, similarity_at_least
 
 PERCENT = 90
@@ -40,7 +39,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, condition: Column, percent:
     the neighbouring ones too; rows of one year meet in their year, those
     without one in all.
     """
-    step = 0.2006  # a little under ln(11 / 9), so that neighbours are enough
+    step = 0.2007  # a little above ln(11 / 9) = 0.20067, so that neighbours are enough
     bucket = F.floor(F.log(F.length("t")) / step).cast("int")
     a = left.where("t <> ''").select(F.col("id").alias("a"), F.col("t").alias("ta"), F.nullif("year", F.lit(0)).alias("ya"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
     b = right.where("t <> ''").select(F.col("id").alias("b"), F.col("t").alias("tb"), F.nullif("year", F.lit(0)).alias("yb"), bucket.alias("bucket"))
@@ -51,14 +50,6 @@ def similar_pairs(left: DataFrame, right: DataFrame, condition: Column, percent:
     return same.union(any_a).union(any_b)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage between rounds, in the folder that all executors share."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint()
-
-
 def greedy(papers: DataFrame, order: str, percent: int = PERCENT) -> DataFrame:
     """Rows kept by the order-dependent rule: a row without DOI stays unless a kept row is similar.
 
@@ -67,20 +58,20 @@ def greedy(papers: DataFrame, order: str, percent: int = PERCENT) -> DataFrame:
     earlier neighbour goes, a row whose earlier neighbours are all gone
     stays.  Transitive closure would remove more.
     """
-    unique = _cut(by_doi(papers, order))
+    unique = cut(by_doi(papers, order))
     titled = unique.select(F.col(order).alias("id"), F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("t"), "year", (doi_key(F.col("doi")) != "").alias("named"))
     open_rows = titled.where("NOT named")
     by_named = similar_pairs(open_rows, titled.where("named"), F.lit(True), percent).select(F.col("a").alias("id")).distinct()
-    rest = _cut(open_rows.join(by_named, "id", "left_anti"))
-    pairs = _cut(similar_pairs(rest, rest, F.col("b") < F.col("a"), percent))
-    state = _cut(rest.select("id"))
+    rest = cut(open_rows.join(by_named, "id", "left_anti"))
+    pairs = cut(similar_pairs(rest, rest, F.col("b") < F.col("a"), percent))
+    state = cut(rest.select("id"))
     kept = None
     while not state.isEmpty():
         waiting = pairs.join(state.select(F.col("id").alias("a")), "a", "left_semi").join(state.select(F.col("id").alias("b")), "b", "left_semi")
-        stay = _cut(state.join(waiting.select(F.col("a").alias("id")).distinct(), "id", "left_anti"))
+        stay = cut(state.join(waiting.select(F.col("a").alias("id")).distinct(), "id", "left_anti"))
         kept = stay if kept is None else kept.union(stay)
         gone = pairs.join(stay.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id"))
-        state = _cut(state.join(stay, "id", "left_anti").join(gone.distinct(), "id", "left_anti"))
+        state = cut(state.join(stay, "id", "left_anti").join(gone.distinct(), "id", "left_anti"))
     named = titled.where("named").select("id")
     ids = named if kept is None else named.union(kept)
     return unique.join(ids.withColumnRenamed("id", order), order, "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.operators.dedup import _cut
+from lectern.folders import cut
 
 Z = 1.96
 
@@ -126,6 +126,6 @@ def trim_and_fill(studies: DataFrame, by: str, rounds: int = 5) -> DataFrame:
             stable = F.col("_m") == F.col("missing")
             cycle = F.col("cycle") | (~stable & F.array_contains("seen", F.col("_m")))
             centre = centre.join(now, by).select(by, F.when(F.col("cycle"), F.col("centre")).otherwise(F.col("_c")).alias("centre"), F.when(F.col("cycle"), F.col("missing")).otherwise(F.col("_m")).alias("missing"), "k", F.array_union("seen", F.array("_m")).alias("seen"), stable.alias("stable"), cycle.alias("cycle"))
-            centre = _cut(centre)
+            centre = cut(centre)
         if centre.where("NOT stable AND NOT cycle").isEmpty():
             return centre.select(by, "k", "missing", F.col("centre").alias("adjusted"), F.col("stable").alias("converged"))

@@ -57,12 +57,12 @@ FROM {{customer}}
 PAPERS = """
 SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, CASE WHEN doc_id % 2 = 0 THEN concat('10.5555/', md5(text)) ELSE '' END AS doi,
     CAST(2000 + doc_id % 20 AS INT) AS year, source AS source_api, text AS abstract, CAST(doc_id % 3 AS INT) AS n_authors,
-    n_chars AS cited_by_count, lang AS journal
+    n_chars AS cited_by_count, lang AS journal, concat('author', CAST(doc_id % 40 AS STRING)) AS authors
 FROM {documents}
 """
 
 REFS = """
-SELECT item_id AS ref_id, split_part(text, '.', 1) AS title, CAST(2000 + item_id % 20 AS INT) AS year, concat('author', CAST(item_id AS STRING)) AS author
+SELECT item_id AS ref_id, split_part(text, '.', 1) AS title, CAST(2000 + item_id % 20 AS INT) AS year, concat('author', CAST(item_id % 60 AS STRING)) AS author
 FROM {benchmark}
 """
 

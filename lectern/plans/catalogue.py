@@ -486,19 +486,20 @@ def author_works_topk(spark, d):
 TOKENS = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> ''))"
 VERIFY = (
     ctes("papers", "refs")
-    + f""", rt AS (SELECT ref_id, title, year, unnest({TOKENS.format('title')}) AS word FROM refs),
-pt AS (SELECT id, year, unnest({TOKENS.format('title')}) AS word FROM papers),
+    + f""", rt AS (SELECT ref_id, year, unnest({TOKENS.format("author || ' ' || title")}) AS word FROM refs),
+pt AS (SELECT id, year, unnest({TOKENS.format("authors || ' ' || title")}) AS word FROM papers),
 near AS (SELECT ref_id, id, count(*) AS overlap FROM rt JOIN pt ON rt.word = pt.word AND pt.year BETWEEN rt.year - 1 AND rt.year + 1 GROUP BY ref_id, id QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY overlap DESC, id) = 1),
 same AS (SELECT ref_id, id, count(*) AS overlap FROM rt JOIN pt ON rt.word = pt.word AND pt.year = rt.year GROUP BY ref_id, id QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY overlap DESC, id) = 1),
-v AS (SELECT r.ref_id, near.id AS near_id, same.id AS same_id, coalesce(contains(lower(r.title), lower(p.title)) OR contains(lower(p.title), lower(r.title))
+v AS (SELECT r.ref_id, near.id AS near_id, same.id AS same_id, p.title AS near_title, p.doi AS near_doi, s.title AS same_title, s.doi AS same_doi, coalesce(contains(lower(r.title), lower(p.title)) OR contains(lower(p.title), lower(r.title))
     OR len(list_intersect({TOKENS.format('r.title')}, {TOKENS.format('p.title')})) > 2, false) AS fits
-    FROM refs r LEFT JOIN near USING (ref_id) LEFT JOIN same USING (ref_id) LEFT JOIN papers p ON p.id = near.id),
-verified AS (SELECT ref_id, fits OR same_id IS NOT NULL AS verified, CASE WHEN fits THEN 'high' WHEN same_id IS NOT NULL THEN 'medium' ELSE 'none' END AS confidence, CASE WHEN fits THEN near_id ELSE same_id END AS work_id FROM v)"""
+    FROM refs r LEFT JOIN near USING (ref_id) LEFT JOIN same USING (ref_id) LEFT JOIN papers p ON p.id = near.id LEFT JOIN papers s ON s.id = same.id),
+verified AS (SELECT ref_id, fits OR same_id IS NOT NULL AS verified, CASE WHEN fits THEN 'high' WHEN same_id IS NOT NULL THEN 'medium' ELSE 'none' END AS confidence, CASE WHEN fits THEN near_id ELSE same_id END AS work_id,
+    coalesce(CASE WHEN fits THEN near_doi ELSE same_doi END, '') AS doi, coalesce(CASE WHEN fits THEN near_title ELSE same_title END, near_title, '') AS matched_title FROM v)"""
 )
 
 
 def _verified(spark, d):
-    return verify.verify(refs(spark, d), papers(spark, d).select(F.col("id").alias("work_id"), "title", "year"))
+    return verify.verify(refs(spark, d), papers(spark, d).select(F.col("id").alias("work_id"), "title", "year", "authors", "doi"))
 
 
 @query(VERIFY + " SELECT * FROM verified")
@@ -506,6 +507,12 @@ def verify_citations_batch(spark, d):
     return _verified(spark, d)
 
 
+@query(VERIFY + " SELECT r.ref_id, fits AS verified, CASE WHEN fits THEN 'high' ELSE 'low' END AS confidence, CASE WHEN fits THEN near_doi ELSE '' END AS doi, coalesce(near_title, '') AS matched_title FROM v JOIN refs r USING (ref_id)")
+def verify_references_strict(spark, d):
+    x = verify.verify(refs(spark, d), papers(spark, d).select(F.col("id").alias("work_id"), "title", "year", "authors", "doi"), strict=True)
+    return x.select("ref_id", "verified", "confidence", "doi", "matched_title")
+
+
 @query(VERIFY + " SELECT count(*) AS total, count(*) FILTER (verified) AS verified, count(*) FILTER (NOT verified) AS unverified FROM verified")
 def verify_summary(spark, d):
     return verify.verify_summary(_verified(spark, d))

@@ -121,6 +121,35 @@ def test_strict_verification(spark):
     assert {(r.ref_id, r.verified, r.confidence) for r in verify.verify(refs, works, strict=True).collect()} == {(7, False, "low"), (8, False, "low")}
 
 
+def test_title_fragment_is_tested_alone(spark):
+    works = spark.createDataFrame([(1, "AI Adoption in Government", 2023, "Ann Doe", "10.1/x")], "work_id long, title string, year int, authors string, doi string")
+    asked = [(1, "", "AI Adoption", 2023), (2, "Doe", "AI Adoption", 2023), (3, "Doe", "AI Adoption", 2022), (4, "Doe", "Public Sector", 2023), (5, "Doe", "Public Sector", 2022), (6, "Poe", "Forests", 2023)]
+    refs = spark.createDataFrame(asked, "ref_id long, author string, title string, year int")
+    got = {r.ref_id: (r.verified, r.confidence, r.doi, r.matched_title) for r in verify.verify(refs, works).collect()}
+    found = "AI Adoption in Government"
+    assert [got[i] for i in (1, 2, 3)] == [(True, "high", "10.1/x", found)] * 3
+    assert got[4] == (True, "medium", "10.1/x", found)  # the author alone, of the very year
+    assert got[5] == (False, "none", "", found) and got[6] == (False, "none", "", "")
+    assert not any(r.verified for r in verify.verify(refs.where("ref_id > 3"), works, strict=True).collect())
+
+
+@pytest.mark.parametrize("rows", [20_000, 0])
+def test_candidates_equal_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(verify, "BROADCAST_ROWS", rows)
+    rng = random.Random(2)
+    words = ["the"] * 20 + ["of"] * 10 + [f"w{i}" for i in range(40)]
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 7)))
+    works = [(i, title(), 2000 + rng.randrange(4)) for i in range(150)]
+    refs = [(i, title(), 2000 + rng.randrange(4)) for i in range(60)]
+    df = lambda x, c: spark.createDataFrame(x, f"{c} long, title string, year int")
+    got = {r.ref_id: r for r in verify.candidates(df(refs, "ref_id"), df(works, "work_id")).collect()}
+    for i, t, y in refs:
+        for name, slack in (("near", 1), ("same", 0)):
+            each = [(-len(set(t.split()) & set(u.split())), j) for j, u, z in works if abs(y - z) <= slack and set(t.split()) & set(u.split())]
+            have = got[i][name] if i in got else None
+            assert ((-have.overlap, have.work_id) if have else None) == min(each, default=None), (i, name)
+
+
 def test_random_effects_of_equal_studies(spark):
     df = spark.createDataFrame([("g", 0.5, 0.1)] * 4, "g string, effect double, se double")
     r = meta.random_effects(df, "g").first()
