@@ -12,23 +12,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import attach, drop, written
+from lectern.llm.shared import drop, written
 
 
 def _star(links: DataFrame, smaller: bool) -> DataFrame:
-    """One star step over (u, v) rows."""
+    """One star step over (u, v) rows.
+
+    A node with very many neighbours meets its one row of the smallest;
+    Spark splits such a key at run time (adaptive skew join), so nothing is
+    repeated for the others.
+    """
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = written(both.where("v < u")) if smaller else written(both)
-    least = written(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    joined = attach(near, least, "u", least.count(), "inner")
+    near = both.where("v < u") if smaller else both
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = near.join(least, "u")
     if smaller:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     else:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = written(out.where("u <> v").distinct())
-    drop(near)
-    drop(least)
-    return out
+    return written(out.where("u <> v").distinct())
 
 
 def _sum(links: DataFrame) -> tuple:

@@ -11,12 +11,13 @@ with probability 0.003, less the more similar it is.  Pairs that meet are
 tallied (equal bytes) and measured (differing bits); what is left is verified
 by the Jaccard similarity of the shingles themselves, so no link is false.
 
-Equal sets of shingles are one entry throughout.  A posting gives its close
-pairs where they are few.  Where they are many (a group of near copies) the
-posting is dense: a few of its entries are compared with all that aren't
-connected with them yet, four times as many each round, until every pair is
-compared or connected.  Likewise pairs are verified nearest the root first,
-and those that others have connected are never looked at.
+Equal sets of shingles are one entry throughout.  First a star is drawn
+through each posting of three equal bytes and the nearest pairs of each entry
+are verified, which connects most of a group of near copies.  Then every two
+entries of a posting that aren't connected by then are compared.  Where many
+of these are close (texts alike that stay below the similarity) the posting is
+dense: a few of its entries are compared with all others, four times as many
+each round, until every pair is compared or connected.
 """
 
 from __future__ import annotations
@@ -46,7 +47,11 @@ SHORT = 16
 MEDIUM, LINKS = 2048, 4
 #: Entries of a dense posting that one task compares with its pivots.
 SHARE = 4096
-KEYS = [(g, i, j) for g in range(GROUPS) for i, j in combinations(range(g * WIDTH, (g + 1) * WIDTH), 2)]
+KEYS = [places for g in range(GROUPS) for places in combinations(range(g * WIDTH, (g + 1) * WIDTH), 2)]
+#: Positions of the stars' postings.
+STARS = [(p, p + 1, p + 2) for p in range(0, GROUPS * WIDTH, 3)]
+#: Pairs of an entry that are verified first.
+FIRST = 2
 
 
 @dataclass(frozen=True)
@@ -93,65 +98,87 @@ def _marks(df: DataFrame, p: Near) -> DataFrame:
     return df.select("_id", "_row", "_body").mapInArrow(run, schema)
 
 
-def _byte(p: int) -> Column:
-    return F.shiftrightunsigned(F.col(f"w{p // 8}"), 8 * (p % 8)).bitwiseAND(F.lit(255).cast("bigint"))
+def _key(at: int, places: tuple[int, ...]) -> Column:
+    """Number of a posting: which positions, and the bytes there."""
+    out = F.lit(at << 24).cast("bigint")
+    for i, p in enumerate(places):
+        byte = F.shiftrightunsigned(F.col(f"w{p // 8}"), 8 * (p % 8)).bitwiseAND(F.lit(255).cast("bigint"))
+        out = out.bitwiseOR(F.shiftleft(byte, 8 * i))
+    return out
+
+
+def _postings(kinds: DataFrame, positions: list[tuple[int, ...]], *columns: str) -> DataFrame:
+    """Entries under each of the positions, dealt and sorted by posting."""
+    rows = kinds.select(F.explode(F.array(*[_key(at, places) for at, places in enumerate(positions)])).alias("k"), *columns)
+    return rows.repartition("k").sortWithinPartitions("k", columns[0])
 
 
-def _postings(kinds: DataFrame) -> DataFrame:
-    """(k, set, x): an entry under each two positions of a group; x is 64 bits of its fingerprint."""
-    key = lambda at, i, j: F.shiftleft(_byte(i), 8).bitwiseOR(_byte(j)).bitwiseOR(F.lit(at << 16).cast("bigint"))
-    return kinds.select(F.explode(F.array(*[key(at, i, j) for at, (_, i, j) in enumerate(KEYS)])).alias("k"), "set", F.col(f"w{WORDS - 1}").alias("x"))
+def _draw_stars(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Close pairs (first entry, entry) of postings (k, set, x) that come sorted; one entry is held."""
+    last = None
+    for batch in batches:
+        k, s, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+        if not len(k):
+            continue
+        if last is not None:
+            k, s, x = (np.concatenate(([v], c)) for v, c in zip(last, (k, s, x), strict=True))
+        head = np.maximum.accumulate(np.where(np.concatenate(([True], k[1:] != k[:-1])), np.arange(len(k)), 0))
+        last = (k[head[-1]], s[head[-1]], x[head[-1]])
+        near = (head != np.arange(len(k))) & (np.bitwise_count(x ^ x[head]) <= limit)
+        yield pa.RecordBatch.from_arrays([pa.array(s[head[near]]), pa.array(s[near])], names=["a", "b"])
 
 
 def _meet(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close pairs (null, a, b) of postings that come sorted by key; entries (key, set, null) of dense ones.
+    """Close pairs (null, x, x) of postings (k, x, root) that come sorted by key, of different roots; entries (key, x, null) of dense ones.
 
-    At most MEDIUM entries of one posting are held.
+    At most MEDIUM entries of one posting, and a batch, are held.
     """
     names = ["k", "a", "b"]
 
-    def dense(k: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s), pa.nulls(len(k), pa.int64())], names=names)
+    def dense(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(x.view(np.int64)), pa.nulls(len(k), pa.int64())], names=names)
 
-    def close(k: np.ndarray, s: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def close(k: np.ndarray, x: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
         begins = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         sizes = np.diff(np.append(begins, len(k)))
         left, right = [], []
         for at, n in zip(begins[sizes > SHORT], sizes[sizes > SHORT], strict=True):
-            own, found = x[at : at + n], 0
+            own, of, found = x[at : at + n], root[at : at + n], 0
+            if (of == of[0]).all():
+                continue
             pairs = []
             for row in range(0, n, 256) if n <= MEDIUM else ():
-                i, j = np.nonzero(np.bitwise_count(own[row : row + 256, None] ^ own[None, row:]) <= limit)
+                i, j = np.nonzero((np.bitwise_count(own[row : row + 256, None] ^ own[None, row:]) <= limit) & (of[row : row + 256, None] != of[None, row:]))
                 ahead = j > i
                 pairs.append((i[ahead] + row + at, j[ahead] + row + at))
                 found += len(pairs[-1][0])
                 if found > LINKS * n:
                     break
             if n > MEDIUM or found > LINKS * n:
-                yield dense(k[at : at + n], s[at : at + n])
+                yield dense(k[at : at + n], own)
                 continue
             for i, j in pairs:
-                left.append(s[i])
-                right.append(s[j])
+                left.append(x[i])
+                right.append(x[j])
         small = np.repeat(sizes <= SHORT, sizes)
-        k, s, x = k[small], s[small], x[small]
+        k, x, root = k[small], x[small], root[small]
         for shift in range(1, int(sizes[sizes <= SHORT].max(initial=0))):
             i = np.flatnonzero(k[shift:] == k[:-shift])
             if not len(i):
                 break
-            i = i[np.bitwise_count(x[i] ^ x[i + shift]) <= limit]
-            left.append(s[i])
-            right.append(s[i + shift])
+            i = i[(np.bitwise_count(x[i] ^ x[i + shift]) <= limit) & (root[i] != root[i + shift])]
+            left.append(x[i])
+            right.append(x[i + shift])
         if left:
-            a, b = np.concatenate(left), np.concatenate(right)
+            a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
             if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names=names)
 
-    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+    held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
     known = None  # the key of a posting that is known to be dense and goes on
     for batch in batches:
-        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
         if known is not None and len(now[0]):
             n = int(np.searchsorted(now[0], known, side="right"))
             if n:
@@ -176,17 +203,20 @@ def _meet(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def _bits(left: str, right: str) -> Column:
     """Bits in which two fingerprints differ."""
-    return sum((F.bit_count(F.col(f"{left}.w{j}").bitwiseXOR(F.col(f"{right}.w{j}"))) for j in range(1, WORDS)), F.bit_count(F.col(f"{left}.w0").bitwiseXOR(F.col(f"{right}.w0"))))
+    each = [F.bit_count(F.col(f"{left}.w{j}").bitwiseXOR(F.col(f"{right}.w{j}"))) for j in range(WORDS)]
+    return sum(each[1:], each[0])
 
 
 def _equal_bytes(left: str, right: str) -> Column:
     """Tally of the positions at which two fingerprints have the same byte."""
-    out = F.lit(0)
-    for j in range(WORDS):
+
+    def unequal(j: int) -> Column:
         x = F.col(f"{left}.w{j}").bitwiseXOR(F.col(f"{right}.w{j}"))
-        for p in range(8):
-            out = out + (F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(255).cast("bigint")) == 0).cast("int")
-    return out
+        for by in (4, 2, 1):  # the lowest bit of each byte gathers its others
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return sum((-unequal(j) for j in range(WORDS)), F.lit(8 * WORDS))
 
 
 def _possible(left: str, right: str, p: Near) -> Column:
@@ -232,55 +262,60 @@ def _similar(pairs: DataFrame, held: DataFrame, p: Near) -> DataFrame:
 class _Links:
     """Verified links, and the components that they make."""
 
-    def __init__(self, spark, df: DataFrame, kinds: DataFrame, p: Near):
+    def __init__(self, df: DataFrame, kinds: DataFrame, p: Near):
         self.df, self.kinds, self.p = df, kinds, p
-        self.links = spark.createDataFrame([], "a bigint, b bigint")
-        self.roots = spark.createDataFrame([], "node bigint, root bigint")
-        self.held: DataFrame | None = None
-
-    def hold(self, needed: DataFrame) -> None:
-        self.held = _shingles(self.df, self.kinds, needed, self.p)
+        self.links = df.sparkSession.createDataFrame([], "a bigint, b bigint")
+        self.roots = df.sparkSession.createDataFrame([], "node bigint, root bigint")
 
     def rooted(self, df: DataFrame, of: str, out: str) -> DataFrame:
         roots = self.roots.select(F.col("node").alias(of), F.col("root").alias("_r"))
         return df.join(roots, of, "left").withColumn(out, F.coalesce("_r", of)).drop("_r")
 
-    def settle(self, pairs: DataFrame) -> None:
-        """Verify pairs (a, b) until each is verified or connected by others: few of each entry first."""
-        low, width = 0, 1
-        place = F.row_number().over(W.partitionBy("b").orderBy("a"))
-        ranked = written(pairs.withColumn("_at", place))
-        while True:
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, bits) of the pairs whose fingerprints leave the similarity possible."""
+        full = lambda side: self.kinds.select(F.col("set").alias(side), F.struct("n", *[f"w{j}" for j in range(WORDS)]).alias(f"_{side}"))
+        return pairs.join(full("a"), "a").join(full("b"), "b").where(_possible("_a", "_b", self.p)).select("a", "b", _bits("_a", "_b").alias("bits"))
+
+    def settle(self, pairs: DataFrame, most: int | None = None) -> None:
+        """Verify pairs (a, b, bits), the nearest of each entry first: until each is verified or connected by others, or ``most`` of an entry are."""
+        place = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
+        ranked = pairs.withColumn("_at", place)
+        ranked = written(ranked if most is None else ranked.where(F.col("_at") <= most))
+        low, width = 0, FIRST
+        longest = ranked.agg(F.max("_at")).first()[0] or 0
+        held = _shingles(self.df, self.kinds, ranked.select(F.col("a").alias("set")).union(ranked.select("b")).distinct(), self.p) if longest else None
+        while low < longest:
             now = ranked.where((F.col("_at") > low) & (F.col("_at") <= low + width))
-            now = self.rooted(self.rooted(now, "a", "_ra"), "b", "_rb").where("_ra <> _rb").select("a", "b")
-            found = written(_similar(now, self.held, self.p))
+            now = self.rooted(self.rooted(now, "a", "_ra"), "b", "_rb").where("_ra <> _rb") if low else now
+            found = written(_similar(now.select("a", "b"), held, self.p))
             if not found.isEmpty():
                 self.links = written(self.links.union(found))
                 self.roots = written(components(self.links))
-            drop(found)
             low, width = low + width, 4 * width
-            if ranked.where(F.col("_at") > low).isEmpty():
-                drop(ranked)
-                return
+        if held is not None:
+            drop(held)
+        drop(ranked)
 
 
 def cluster(df: DataFrame, near: Near | None = None) -> DataFrame:
     """(_id, _row, component) of df's (_id, _row, _body); texts without words are one component."""
     p = near or Near()
     words = [f"w{j}" for j in range(WORDS)]
+    limit, sketch = p.bits(64), F.col(f"w{WORDS - 1}").alias("x")
     marks = written(_marks(df, p))
     kinds = written(marks.groupBy("set").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in words]))
-    limit = p.bits(64)
-    found = _postings(kinds).repartition("k").sortWithinPartitions("k").mapInArrow(lambda b: _meet(limit, b), "k bigint, a bigint, b bigint")
-    found = written(found)
-    full = lambda side: kinds.select(F.col("set").alias(side), F.struct("n", *words).alias(f"_{side}"))
-    pairs = found.where("k IS NULL").select("a", "b").distinct()
-    pairs = written(pairs.join(full("a"), "a").join(full("b"), "b").where(_possible("_a", "_b", p)).select("a", "b"))
-    dense = written(found.where("k IS NOT NULL").select("k", F.col("a").alias("set")).join(kinds.drop("_row"), "set"))
+    links = _Links(df, kinds, p)
+    stars = _postings(kinds.select("*", sketch), STARS, "set", "x").mapInArrow(lambda b: _draw_stars(limit, b), "a bigint, b bigint")
+    links.settle(links.possible(stars.distinct()), FIRST)
+
+    rooted = links.rooted(kinds, "set", "root").select(*words, sketch, "root")
+    found = written(_postings(rooted, KEYS, "x", "root").mapInArrow(lambda b: _meet(limit, b), "k bigint, a bigint, b bigint"))
+    names = lambda out, at: kinds.select(F.col("set").alias(out), sketch.alias(at))
+    met = found.where("k IS NULL").select(F.col("a").alias("xa"), F.col("b").alias("xb")).distinct()
+    pairs = met.join(names("a", "xa"), "xa").join(names("b", "xb"), "xb").where("a <> b").select("a", "b")
+    links.settle(links.possible(pairs))
+    dense = written(found.where("k IS NOT NULL").select("k", F.col("a").alias("x")).distinct().join(kinds.select("*", sketch).drop("_row"), "x").drop("x"))
     drop(found)
-    links = _Links(df.sparkSession, df, kinds, p)
-    links.hold(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(dense.select("set")).distinct())
-    links.settle(pairs)
     _settle_dense(dense, links, p)
     out = links.rooted(marks.select("_id", "_row", "set"), "set", "component")
     return out.select("_id", "_row", "component")
@@ -303,19 +338,16 @@ def _settle_dense(dense: DataFrame, links: _Links, p: Near) -> None:
         several = rooted.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("k")
         left = written(sizes.join(several, "k", "left_semi"))
         if left.isEmpty():
-            return
-        ways = F.ceil(F.col("size") / SHARE).cast("int")
-        at = rooted.join(left, "k").withColumn("_at", place(17) * F.col("size")).withColumn("_ways", ways)
+            break
+        at = rooted.join(left, "k").withColumn("_at", place(17) * F.col("size")).withColumn("_ways", F.ceil(F.col("size") / SHARE).cast("int"))
         entries = at.select("k", F.floor(place(18) * F.col("_ways")).cast("int").alias("salt"), F.struct("set", "root", *words).alias("e"))
         pivots = at.where((F.col("_at") >= low) & (F.col("_at") < low + width))
         pivots = pivots.select("k", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("salt"), F.struct("set", "root", *words).alias("v"))
         met = entries.join(pivots.hint("shuffle_hash"), ["k", "salt"]).where((F.col("e.root") != F.col("v.root")) & _possible("e", "v", p))
-        pairs = written(met.select(F.col("v.set").alias("a"), F.col("e.set").alias("b")).distinct())
-        if not pairs.isEmpty():
-            links.settle(pairs)
-        drop(pairs)
+        links.settle(met.select(F.col("v.set").alias("a"), F.col("e.set").alias("b"), _bits("v", "e").alias("bits")).distinct())
         drop(left)
         low, width = low + width, 4 * width
+    drop(sizes)
 
 
 def deduplicate(df: DataFrame, near: Near | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

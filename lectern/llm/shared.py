@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from lectern.folders import shared_folder
+
 #: Rows up to which a lookup table may be broadcast; it is counted first.
 BROADCAST_ROWS = 20_000
 #: Ways into which a hot key of a larger lookup is split.
@@ -20,17 +22,6 @@ HOT_SHARE, HOT_ROWS = 1e-4, 100_000
 _written: list[tuple[SparkSession, str]] = []
 
 
-def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; none is made up where the cluster names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = held.get()
-    return at.rstrip("/")
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -52,7 +43,7 @@ def written(df: DataFrame) -> DataFrame:
     The table outlives any executor.  It is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{folder(spark)}/lectern-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
