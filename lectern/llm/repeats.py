@@ -33,12 +33,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lectern.llm import repeat_kernel as kernel
 from lectern.llm.ngrams import raw_texts
-from lectern.llm.shared import written
+from lectern.llm.shared import map_arrow, others, quoted, schema_of, written
 
 #: Entries that a task holds before it combines and sends them.
 HELD = 1 << 19
@@ -391,22 +391,24 @@ def _rank_hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 # --- the operator ---------------------------------------------------------
 
-def _keyed(df: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """df with a key: the id, made to tell different texts under one id apart where there are such."""
-    ident = F.col(f"`{doc_id}`")
-    again = df.groupBy(ident.alias("_i")).agg(F.count("*").alias("n")).where("n > 1")
-    plain = F.coalesce(ident.cast("bigint"), F.lit(NULL_ID)).alias("_key")
-    if again.isEmpty():
-        return df.select("*", plain)
-    bounds = df.agg(F.max(F.abs(ident))).first()[0]
-    if bounds is not None and bounds >= 1 << 46:
-        raise ValueError("repeated ids must lie within 46 bits")
-    mark = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
-    order = df.join(again.select("_i"), ident.eqNullSafe(F.col("_i")), "left_semi").select(ident.alias("_i"), mark.alias("_m")).distinct()
-    order = written(order.withColumn("_r", F.dense_rank().over(W.partitionBy("_i").orderBy("_m"))))
-    x = df.withColumn("_m", mark).alias("x").join(order.alias("o"), F.col(f"x.`{doc_id}`").eqNullSafe(F.col("o._i")) & (F.col("x._m") == F.col("o._m")), "left")
-    shifted = F.shiftleft(F.coalesce(ident.cast("bigint"), F.lit(-(1 << 46))), 16) + F.coalesce(F.col("_r"), F.lit(0))
-    return x.select(*[F.col(f"x.`{c}`") for c in df.columns], shifted.cast("bigint").alias("_key"))
+def _keyed(df: DataFrame, text: str, doc_id: str, key: str) -> DataFrame:
+    """df with a bigint key in the order of ids, null first, that tells the texts under one id apart.
+
+    It is the id itself where ids are integers and none repeats.  Else (id,
+    SHA-256 of the text) is sorted and numbered by place, so any ids and any
+    number of texts under one of them have keys of their own.
+    """
+    ident = quoted(doc_id)
+    if isinstance(df.schema[doc_id].dataType, IntegralType):
+        plain = F.coalesce(ident.cast("bigint"), F.lit(NULL_ID))
+        if df.groupBy(plain.alias("i")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return df.withColumn(key, plain)
+    mark = F.sha2(F.coalesce(quoted(text), F.lit("")), 256)
+    names = df.select(ident.alias("_i"), mark.alias("_m")).distinct()
+    # numbers grow with the partition and the place in it, and partitions are ranges
+    order = written(names.repartitionByRange("_i", "_m").sortWithinPartitions("_i", "_m").withColumn("_k", F.monotonically_increasing_id()))
+    held = order.select(F.col("_i").alias("_id"), F.col("_m").alias("_mark"), F.col("_k").alias(key))
+    return df.join(held, ident.eqNullSafe(F.col("_id")) & (mark == F.col("_mark"))).drop("_id", "_mark")
 
 
 def repeated_ranges(keyed: DataFrame, p: Params, text: str) -> DataFrame:
@@ -416,13 +418,13 @@ def repeated_ranges(keyed: DataFrame, p: Params, text: str) -> DataFrame:
     its shuffle of the texts is the one that the result needs as well.
     """
     longs = lambda names: ", ".join(f"{n} bigint" for n in names)
-    bare = keyed.select("_key", F.col(f"`{text}`").alias("_body"))
+    bare = keyed.select("_key", F.col(text).alias("_body"))
     hot = hot_grams(bare, p)
     starts = bare.mapInArrow(lambda b: _starts(p, hot, b), longs(ROUND1))
     ranked = starts.repartition("k").sortWithinPartitions("k", "f", "doc", "lo").mapInArrow(_rank_grams, longs(RANGES))
     ranked = written(ranked)
     listed = ranked.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("_open"))
-    some = keyed.join(listed.hint("shuffle_hash"), F.col("_key") == F.col("doc")).select(*[F.col(f"`{c}`") for c in keyed.columns], "_open")
+    some = keyed.join(listed.hint("shuffle_hash"), F.col("_key") == F.col("doc")).select(*keyed.columns, "_open")
     places = keyed.columns.index("_key"), keyed.columns.index(text)
     halves = some.mapInArrow(lambda b: _open_stretches(p, b, *places), "k bigint, doc bigint, lo bigint, hi bigint, raw binary")
     windows = halves.repartition("k").sortWithinPartitions("k", "doc", "lo").mapInArrow(lambda b: _rank_stretches(p, b), longs(WINDOWS))
@@ -439,26 +441,30 @@ def remove(df: DataFrame, params: Params | None = None, text: str = "text", doc_
     at a smaller id, or earlier in the same document.  A null text counts as
     empty, a null id as smaller than any other.  Rows that repeat both id and
     text are one document: each gets its result.  Different texts under one
-    id come in the order of their SHA-256.  An empty table gives an empty
-    table; columns named like an output are replaced.
+    id come in the order of their SHA-256; ids may be of any type that has an
+    order.  An empty table gives an empty table; columns named like an output
+    are replaced.
     """
     p = params or Params()
     if not 4 <= p.gram <= p.window:
         raise ValueError("a gram has at least 4 bytes and at most a window's")
     last = "kept_sha256" if digests else "kept"
-    made = ["n_bytes", "n_removed", "n_spans", last]
-    keep = [c for c in df.columns if c not in made and not (digests and c == text)]
-    keyed = _keyed(df, text, doc_id).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], "_key")
-    ranges = repeated_ranges(keyed, p, text)
+    made = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", last: "string" if digests else "binary"}
+    keep = others(df, *made, *([text] if digests else []))
+    # columns go by number meanwhile, so none can clash with what the rounds add
+    rest_of = others(df, *made, text)
+    numbered = [quoted(c).alias(f"c{i}") for i, c in enumerate(rest_of)]
+    keyed = _keyed(df.select(*numbered, quoted(doc_id).alias("_doc"), quoted(text).alias("_text")), "_text", "_doc", "_key").drop("_doc")
+    ranges = repeated_ranges(keyed, p, "_text")
     listed = ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
-    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     joined = keyed.join(listed.hint("shuffle_hash"), F.col("_key") == F.col("doc"), "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in keep], "_ranges", F.col(f"`{text}`").alias("_body"))
+    joined = joined.select(*[f"c{i}" for i in range(len(rest_of))], "_ranges", "_text")
+    own = [c for c in keep if c not in rest_of]  # the text, unless only digests are asked for
     window = p.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(keep)
+            n = len(rest_of)
             listed = batch.column(n)
             offsets, values = listed.offsets.to_numpy(), listed.values
             lo_all, hi_all = values.field(0).to_numpy(), values.field(1).to_numpy()
@@ -479,7 +485,7 @@ def remove(df: DataFrame, params: Params | None = None, text: str = "text", doc_
                 for held, x in zip(out, row, strict=True):
                     held.append(x)
             types = [pa.int64()] * 3 + [pa.string() if digests else pa.binary()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], names=[*keep, *made])
+            texts = [batch.column(n + 1)] * len(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *texts, *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], names=[*rest_of, *own, *made])
 
-    schema = [f"`{c}` {fields[c]}" for c in keep] + [f"{c} bigint" for c in made[:3]] + [f"{last} {'string' if digests else 'binary'}"]
-    return joined.mapInArrow(run, ", ".join(schema))
+    return map_arrow(joined, run, schema_of(df, [*rest_of, *own], made)).select(*[quoted(c) for c in [*keep, *made]])

@@ -108,6 +108,27 @@ def test_null_and_repeated_ids(spark):
     assert sorted((x[1] or "", x[2]) for x in got if x[0] is None) == [("", ""), ("0123456789", "0123456789")]
 
 
+def test_any_ids_and_one_gram_in_every_document(spark):
+    line = "this one line stands in every document of them all"
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 12))) + line + " ".join(word() for _ in range(rng.randint(0, 12))) for _ in range(80)]
+    ids = [None, None, 1 << 62, 1 << 62, -(1 << 62), -(1 << 63), 7, 7, 7] + [i << 40 for i in range(71)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, _key string")
+    order = sorted(range(80), key=lambda n: (ids[n] is not None, ids[n] or 0, hashlib.sha256(texts[n].encode()).hexdigest()))
+    want = brute([(place, texts[n].encode()) for place, n in enumerate(order)], 10)
+    want = Counter((ids[n], texts[n], want[place]) for place, n in enumerate(order))
+    for p in (repeats.Params(window=10, gram=4), repeats.Params(window=10, gram=4, hot_least=1, hot_share=0.0)):
+        got = repeats.remove(df, p).collect()
+        assert Counter((r.doc_id, r.text, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in got) == want
+    named = df.selectExpr("concat('id', lpad(cast(row_number() over (order by text) as string), 4, '0')) AS doc_id", "text", "1 AS `N_bytes`", "2 AS `a.b`")
+    rows = sorted(named.collect())
+    want = brute([(i, r.text.encode()) for i, r in enumerate(rows)], 10)
+    got = repeats.remove(named, repeats.Params(window=10, gram=4))
+    assert got.columns == ["doc_id", "text", "a.b", "n_bytes", "n_removed", "n_spans", "kept"]
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.orderBy("doc_id").collect()] == [want[i] for i in range(80)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.remove(df).count() == 0
