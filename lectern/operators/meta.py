@@ -102,7 +102,7 @@ def trim_and_fill(studies: DataFrame, by: str, rounds: int = 5) -> DataFrame:
 
     Each round ranks the distances from the current centre, estimates the
     number of missing studies, and takes the centre anew without as many of
-    the largest effects.  Rounds go on until no group's number changes, or
+    the largest effects.  Distances equal to 9 places tie.  Rounds go on until no group's number changes, or
     repeats an earlier one (the centre follows from the number alone, so a
     group that doesn't settle is in a cycle; it stays there, and ``converged`` is
     false for it).
@@ -116,7 +116,7 @@ def trim_and_fill(studies: DataFrame, by: str, rounds: int = 5) -> DataFrame:
     centre = centre.withColumn("seen", F.array("missing")).withColumn("stable", F.lit(False)).withColumn("cycle", F.lit(False))
     while True:
         for _ in range(max(rounds, 1)):
-            x = s.join(centre, by).withColumn("gap", F.col("effect") - F.col("centre"))
+            x = s.join(centre, by).withColumn("gap", F.round(F.col("effect") - F.col("centre"), 9))
             x = x.withColumn("place", F.rank().over(W.partitionBy(by).orderBy(F.abs("gap"))))
             t = x.groupBy(by, "k").agg(F.sum(F.when(F.col("gap") > 0, F.col("place")).otherwise(0)).alias("t"))
             l0 = F.greatest(F.lit(0), F.round((4 * F.col("t") - F.col("k") * (F.col("k") + 1)) / (2 * F.col("k") - 1))).cast("bigint")

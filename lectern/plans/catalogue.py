@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import identifiers, ranking, texts
 from lectern.operators import cache, citations, curation, dedup, fulltext, journals, meta, search, verify
 from lectern.plans.adapters import adapter, ctes
+from lectern.plans.register import query
 from lectern.sources import rankings
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 cites, works, papers, refs = adapter("cites"), adapter("works"), adapter("papers"), adapter("refs")
 cache_log = adapter("cache_log")
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its oracle."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def sjr(spark, d):
     return rankings.sjr_index(adapter("sjr_raw")(spark, d), "pos")
 
@@ -363,7 +346,18 @@ def dedup_fuzzy_pairs(spark, d):
     return dedup.similar_pairs(t, t, F.col("b") < F.col("a"))
 
 
-@query()
+GREEDY = (
+    BY_DOI.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", t AS MATERIALIZED (SELECT id, lower(trim(title)) AS t, year, k <> '' AS named FROM u),
+pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.named FROM t a JOIN t b ON a.year = b.year AND NOT a.named AND (b.named OR b.id < a.id) AND a.t <> '' AND b.t <> ''
+    AND abs(length(a.t) - length(b.t)) <= 10 * (length(a.t) + length(b.t)) // 100 AND {similar_sql('a.t', 'b.t', 90, True)}),
+open AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS n, coalesce((SELECT list(b) FROM pairs WHERE a = id), []) AS before FROM t WHERE NOT named AND id NOT IN (SELECT a FROM pairs WHERE named)),
+g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT o.n, CASE WHEN len(list_intersect(g.kept, o.before)) = 0 THEN list_append(g.kept, o.id) ELSE g.kept END FROM g JOIN open o ON o.n = g.n + 1)
+SELECT id, title, doi, year FROM u WHERE k <> '' OR id IN (SELECT unnest(kept) FROM (SELECT kept FROM g ORDER BY n DESC LIMIT 1))"""
+)
+
+
+@query(GREEDY)
 def dedup_greedy_full(spark, d):
     return dedup.greedy(papers(spark, d), "id").select("id", "title", "doi", "year")
 
@@ -667,7 +661,13 @@ def continuation_merge(spark, d):
     return x.groupBy("conv_id", "entry").agg(F.array_join(parts, " ").alias("text"), F.count("*").alias("parts"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE s AS MATERIALIZED (SELECT page, text, x, y, row_number() OVER (PARTITION BY page ORDER BY round_even(y, 0), x, y, text) - 1 AS i
+    FROM (SELECT (l_orderkey % 500)::INTEGER AS page, l_quantity AS x, l_extendedprice % 700 AS y, trim(l_returnflag) AS text FROM lineitem) WHERE text <> ''),
+g AS (SELECT page, i, y AS anchor, 0 AS r, text FROM s WHERE i = 0 UNION ALL
+    SELECT s.page, s.i, CASE WHEN abs(s.y - g.anchor) > 3 THEN s.y ELSE g.anchor END, g.r + (abs(s.y - g.anchor) > 3)::INTEGER, s.text FROM g JOIN s ON s.page = g.page AND s.i = g.i + 1)
+SELECT page, r AS "row", count(*) AS spans, arg_min(text, i) AS "first" FROM g GROUP BY page, r"""
+)
 def anchored_row_grouping(spark, d):
     spans = spark.read.parquet(f"{d}/lineitem.parquet").select(
         (F.col("l_orderkey") % 500).cast("int").alias("page"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") % 700).alias("y"), F.col("l_returnflag").alias("text")
@@ -816,7 +816,18 @@ def meta_regression(spark, d):
     return meta.meta_regression(_studies(spark, d), "g", "moderator").select("g", "k", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT g, effect, w, row_number() OVER (PARTITION BY g ORDER BY effect DESC, w) AS r FROM (SELECT g, effect, 1 / (se * se) AS w FROM ({STUDIES}))),
+c AS (SELECT g, count(*) AS k, sum(w * effect) / sum(w) AS centre, 0::BIGINT AS missing, [0::BIGINT] AS seen, 0 AS i FROM s GROUP BY g
+    UNION ALL
+    SELECT n.g, n.k, sum(s.w * s.effect) / sum(s.w), n.now, list_append(n.seen, n.now), n.i + 1
+    FROM (SELECT g, k, seen, i, least(greatest(0, round((4 * t - k * (k + 1)) / (2 * k - 1)))::BIGINT, k - 1) AS now
+        FROM (SELECT g, k, seen, i, sum(CASE WHEN gap > 0 THEN place ELSE 0 END) AS t
+            FROM (SELECT s.g, c.k, c.seen, c.i, round(s.effect - c.centre, 9) AS gap, rank() OVER (PARTITION BY s.g ORDER BY abs(round(s.effect - c.centre, 9))) AS place FROM s JOIN c ON s.g = c.g)
+            GROUP BY g, k, seen, i)) n
+    JOIN s ON s.g = n.g AND s.r > n.now WHERE NOT list_contains(n.seen, n.now) GROUP BY n.g, n.k, n.seen, n.now, n.i)
+SELECT g, k, missing, round(centre, 6) AS adjusted FROM c QUALIFY row_number() OVER (PARTITION BY g ORDER BY i DESC) = 1"""
+)
 def trim_and_fill(spark, d):
     return meta.trim_and_fill(_studies(spark, d), "g").select("g", "k", "missing", F.round("adjusted", 6).alias("adjusted"))
 

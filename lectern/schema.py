@@ -38,13 +38,16 @@ SPAN = "page int, x double, y double, text string, size double, font string, fla
 
 
 def as_paper(**given):
-    """Columns of a paper in canonical order: those given, the others at their defaults."""
+    """Columns of a paper in canonical order: those given, the others at their defaults; DOI and ISSN in their plain form."""
     from pyspark.sql import functions as F
 
+    from lectern.functions.identifiers import normalize_doi, normalize_issn
+
+    plain = {"doi": normalize_doi, "issn": normalize_issn}
     out = []
     for name, kind in PAPER.items():
         if name in given:
-            value = given[name].cast(kind)
+            value = plain.get(name, lambda c: c)(given[name].cast(kind))
         elif kind.startswith("array"):
             value = F.array().cast(kind)
         else:

@@ -36,7 +36,7 @@ JQL_COLUMNS = {
     "vhb2024": "vhb",
     "scopus2024": "scopus_citescore",
 }
-#: Left edge of each column of the printed table.
+# Left edge of each column of the printed table; what its header and footer rows begin with or are; an entry's number.
 JQL_EDGES = {
     "issn": 0,
     "journal": 55,
@@ -172,11 +172,10 @@ def _cells(raw: bytes) -> list[list[str]]:
     return rows
 
 
-def read_qualis_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of workbooks as (pos, issn, title, classification, area) rows.
+def qualis_rows(books: DataFrame) -> DataFrame:
+    """The first sheet of workbooks (a binary column ``content``) as (pos, issn, titulo, estrato, area) rows, one a line.
 
-    Workbooks are read as binary files on the executors; one row of the
-    result is a line of a sheet.
+    A book is read by one task; the headers tell which column holds what.
     """
 
     def run(batches):
@@ -191,10 +190,14 @@ def read_qualis_xlsx(spark: SparkSession, path: str) -> DataFrame:
                 for i, row in enumerate(cells[1:]):
                     get = lambda k, row=row: row[places[k]] if k in places and places[k] < len(row) else ""
                     out.append((i, get("issn"), get("title"), get("classification"), get("area")))
-            yield pd.DataFrame(out, columns=["pos", "issn", "title", "estrato", "area"])
+            yield pd.DataFrame(out, columns=["pos", "issn", "titulo", "estrato", "area"])
+
+    return books.select("content").mapInPandas(run, "pos bigint, issn string, titulo string, estrato string, area string")
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "pos bigint, issn string, title string, estrato string, area string")
+
+def read_qualis_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a workbook, or of a folder of them, read as binary files on the executors."""
+    return qualis_rows(spark.read.format("binaryFile").load(path))
 
 
 # --- JQL from positional spans --------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import texts
-from lectern.functions.identifiers import openalex_short
+from lectern.functions.identifiers import normalize_doi, openalex_short
 from lectern.schema import as_paper
 
 MAX_AUTHORS = 10
@@ -127,6 +127,12 @@ def read_crossref(df: DataFrame, payload: str = "value") -> DataFrame:
     )
 
 
+def by_doi(papers: DataFrame, asked: DataFrame, doi: str) -> DataFrame:
+    """The papers of asked DOIs, in any form and case."""
+    keys = asked.select(F.lower(normalize_doi(F.col(doi))).alias("_key")).distinct()
+    return papers.join(keys, F.lower(F.col("doi")) == F.col("_key"), "left_semi")
+
+
 def crossref_retractions(df: DataFrame, payload: str = "value") -> DataFrame:
     """Retraction status of CrossRef works (one response each)."""
     w = F.from_json(F.col(payload), f"struct<message:{CROSSREF_ITEM}>")["message"]
