@@ -10,7 +10,10 @@ kth verified distance is within that is settled.  A pair is verified once, at
 the first of its nearest segments, within the lookup's join.
 
 Equal codes are one entry, of which the k + 1 smallest ids are kept, and
-equal queries are one search, so copies cost nothing.
+equal queries are one search, so copies cost nothing.  A segment grows with
+the table (up to 32 bits, so to four billion codes), so a bucket doesn't; a
+value that very many codes share is split by Spark at run time (adaptive skew
+join), as probes and index meet in a sort-merge join.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import SALTS, drop, written
+from lectern.llm.shared import SALTS, drop, quoted, written
 
 BITS = 64
 
@@ -37,7 +40,7 @@ class Segments:
 
     @classmethod
     def of(cls, n_codes: int) -> Segments:
-        width = min(20, max(4, math.floor(math.log2(max(2, n_codes)))))
+        width = min(32, max(4, math.floor(math.log2(max(2, n_codes)))))
         m = math.ceil(BITS / width)
         lengths = [BITS // m + (i < BITS % m) for i in range(m)]
         return cls(tuple(sum(lengths[:i]) for i in range(m)), tuple(lengths))
@@ -55,7 +58,7 @@ def sign_codes(df: DataFrame, vector: str, out: str = "code") -> DataFrame:
     Elements beyond 64 have no bit; missing and null elements count as 0.  A
     null vector has a null code.
     """
-    v = F.col(f"`{vector}`")
+    v = quoted(vector)
     bits = F.transform(F.slice(v, 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
     return df.withColumn(out, F.when(v.isNotNull(), F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))))
 

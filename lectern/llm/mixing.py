@@ -2,8 +2,8 @@
 
 Each source has a repetition rate: how often a document of it occurs in the
 mixture on average.  A document draws its count by inverting the Poisson
-distribution of that rate at a uniform number hashed from its id, so any run,
-retry or cluster draws alike.  The copies are then shuffled globally by a
+distribution of that rate at a uniform number hashed from its id and text, so
+any run, retry or cluster draws alike.  The copies are then shuffled globally by a
 hashed key.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.expr import let
-from lectern.llm.shared import attach
+from lectern.llm.shared import attach, others, quoted
 
 #: A larger rate is drawn as a sum of equal parts, none above this.
 PART = 16.0
@@ -49,7 +49,7 @@ def rates(df: DataFrame, weights: dict[str, float] | None, temperature: float, s
 
 
 def _key(source: str) -> Column:
-    return F.coalesce(F.concat(F.lit("s:"), F.col(f"`{source}`")), F.lit("n"))
+    return F.coalesce(F.concat(F.lit("s:"), quoted(source).cast("string")), F.lit("n"))
 
 
 def _table(rate: Column) -> Column:
@@ -72,30 +72,35 @@ def replicate(
     seed: int = 42,
     source: str = "source",
     doc_id: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """df's rows, each as often as it was drawn, in a global random order.
 
     Adds rate, n_copies, copy (from 1) and shuffle_key, a uniform number that
     the rows are sorted by within each partition; rows are dealt to
     partitions by it.  Rows with a null source form a source of their own.
-    Rows with a null id draw by their place among nulls: all alike.  Repeated
-    rows draw the same count.  An empty table, or target shares that add up
-    to nothing, give an empty table.  Columns named like an output are
-    replaced.
+    Texts under one id, and under a null id, draw each for itself; rows that
+    repeat both id and text draw the same count.  Without a text column the
+    id alone draws.  An empty table, or target shares that add up to nothing,
+    give an empty table.  Columns named like an output are replaced.
     """
-    made = ["rate", "n_copies", "copy", "shuffle_key", "_source", "_cdf", "_parts"]
-    df = df.drop(*[c for c in made if c in df.columns and c not in (source, doc_id)])
+    made = ["rate", "n_copies", "copy", "shuffle_key"]
+    kept = [c for c in df.columns if c in others(df, *made) or c in (source, doc_id, text)]
+    # columns go by number meanwhile, so none can clash with what is added
+    ident = F.coalesce(quoted(doc_id).cast("string"), F.lit("null"))
+    if others(df, text) != df.columns:
+        ident = F.concat_ws(":", ident, F.md5(F.coalesce(quoted(text), F.lit(""))))
+    x = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], ident.alias("_ident"), _key(source).alias("_source"))
     table, n = rates(df, weights, temperature, size, source)
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     table = table.withColumn("_parts", parts).withColumn("_cdf", _table(F.col("rate") / F.col("_parts")))
-    x = attach(df.withColumn("_source", _key(source)), table, "_source", n)
-    ident = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null"))
+    x = attach(x, table, "_source", n)
     below = lambda u: F.size(F.filter(F.col("_cdf"), lambda c: c <= u))
-    draw = lambda j: let(uniform(ident, j.cast("string"), F.lit(f"draw{seed}")), below)
+    draw = lambda j: let(uniform(F.col("_ident"), j.cast("string"), F.lit(f"draw{seed}")), below)
     one = draw(F.lit(1))
     many = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, j: a + draw(j))
     x = x.withColumn("n_copies", F.when(F.col("_parts") == 1, one).otherwise(many).cast("bigint")).where("n_copies > 0")
     x = x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_copies"))))
-    x = x.withColumn("shuffle_key", uniform(ident, F.col("copy").cast("string"), F.lit(f"order{seed}")))
-    x = x.drop("_source", "_cdf", "_parts")
-    return x.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    x = x.withColumn("shuffle_key", uniform(F.col("_ident"), F.col("copy").cast("string"), F.lit(f"order{seed}")))
+    x = x.select(*[F.col(f"c{i}") for i in range(len(kept))], *made)
+    return x.repartition("shuffle_key").sortWithinPartitions("shuffle_key").toDF(*kept, *made)

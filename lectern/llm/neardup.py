@@ -108,9 +108,8 @@ def _key(at: int, places: tuple[int, ...]) -> Column:
 
 
 def _postings(kinds: DataFrame, positions: list[tuple[int, ...]], *columns: str) -> DataFrame:
-    """Entries under each of the positions, dealt and sorted by posting."""
-    rows = kinds.select(F.explode(F.array(*[_key(at, places) for at, places in enumerate(positions)])).alias("k"), *columns)
-    return rows.repartition("k").sortWithinPartitions("k", columns[0])
+    """Entries under each of the positions, dealt by posting."""
+    return kinds.select(F.explode(F.array(*[_key(at, places) for at, places in enumerate(positions)])).alias("k"), *columns).repartition("k")
 
 
 def _draw_stars(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,11 +304,11 @@ def cluster(df: DataFrame, near: Near | None = None) -> DataFrame:
     marks = written(_marks(df, p))
     kinds = written(marks.groupBy("set").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in words]))
     links = _Links(df, kinds, p)
-    stars = _postings(kinds.select("*", sketch), STARS, "set", "x").mapInArrow(lambda b: _draw_stars(limit, b), "a bigint, b bigint")
+    stars = _postings(kinds.select("*", sketch), STARS, "set", "x").sortWithinPartitions("k", "set").mapInArrow(lambda b: _draw_stars(limit, b), "a bigint, b bigint")
     links.settle(links.possible(stars.distinct()), FIRST)
 
     rooted = links.rooted(kinds, "set", "root").select(*words, sketch, "root")
-    found = written(_postings(rooted, KEYS, "x", "root").mapInArrow(lambda b: _meet(limit, b), "k bigint, a bigint, b bigint"))
+    found = written(_postings(rooted, KEYS, "x", "root").sortWithinPartitions("k").mapInArrow(lambda b: _meet(limit, b), "k bigint, a bigint, b bigint"))
     names = lambda out, at: kinds.select(F.col("set").alias(out), sketch.alias(at))
     met = found.where("k IS NULL").select(F.col("a").alias("xa"), F.col("b").alias("xb")).distinct()
     pairs = met.join(names("a", "xa"), "xa").join(names("b", "xb"), "xb").where("a <> b").select("a", "b")

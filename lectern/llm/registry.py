@@ -41,7 +41,7 @@ r AS (SELECT source, sqrt(n) * (SELECT sum(n) FROM n) / (SELECT sum(sqrt(n)) FRO
 c AS (SELECT source, list_transform(range(0, 120), lambda k: list_sum(list_transform(range(0, k + 1),
         lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1))))) AS cdf FROM r),
 u AS (SELECT doc_id, source, text,
-        (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':1:draw42'), 1, 13))::BIGINT + 0.5) / 4503599627370496 AS u
+        (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':1:draw42'), 1, 13))::BIGINT + 0.5) / 4503599627370496 AS u
       FROM documents),
 d AS (SELECT doc_id, u.source, text, len(list_filter(cdf, lambda x: x <= u))::BIGINT AS n_copies
       FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source)
@@ -54,6 +54,21 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(documents(spark, sf_dir).select("doc_id", "text"), digests=True)
 
 
+OP3_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM t WHERE n >= 100)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+m AS (SELECT *, coalesce(p > max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100, true) AS new FROM r),
+i AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM m),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, island),
+listed AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT t.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda k: CASE WHEN k < len(a)
+        THEN substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE b[k] END) + 1, 2 * (a[k + 1] - (CASE WHEN k = 0 THEN 0 ELSE b[k] END))) ELSE substr(h, 2 * b[k] + 1) END), '') END)) AS kept_sha256
+FROM t LEFT JOIN listed USING (doc_id)
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels that aren't held out."""
     held_out = lambda: F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
@@ -115,6 +130,7 @@ w_{level} AS (SELECT CASE WHEN count(*) = 0 THEN 1000.0 WHEN coalesce(var_samp(b
 r_{level} AS (SELECT u.*, (u.bad + (SELECT w FROM w_{level}) * {prior}) / (u.n + (SELECT w FROM w_{level})) AS of_{level} FROM {level}s u"""
 
 
+SUFFIXES = "(^|\\.)(" + "|".join(x.replace(".", "\\.") for x in urls.Reputation.suffixes) + ")$"
 OP9_SQL = f"""
 WITH p AS (SELECT page_id, url, coalesce(instr(url, '://') > 0, false) AS has,
     regexp_extract(url, '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
@@ -126,9 +142,12 @@ split AS (SELECT verdict, rule, split_part(rule, '/', 1) AS rh, substr(rule, ins
 m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS rv FROM q, split
     WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
 j AS (SELECT q.*, m.rule, m.rv FROM q LEFT JOIN m USING (page_id)),
-hosts AS (SELECT host, split_part(host, '.', -1) AS suffix,
-    CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain,
-    count(rv)::DOUBLE AS n, count(*) FILTER (rv = 'block')::DOUBLE AS bad FROM j GROUP BY host),
+places AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS place FROM j),
+suffixed AS (SELECT *, CASE WHEN regexp_matches(place, '^[0-9]+(\\.[0-9]+){{3}}$') THEN place WHEN regexp_matches(place, '{SUFFIXES}') THEN ltrim(regexp_extract(place, '{SUFFIXES}'), '.')
+    ELSE split_part(place, '.', -1) END AS suffix FROM places),
+hosts AS (SELECT host, any_value(suffix) AS suffix,
+    any_value(CASE WHEN place = suffix THEN place ELSE split_part(left(place, length(place) - length(suffix) - 1), '.', -1) || '.' || suffix END) AS domain,
+    count(rv)::DOUBLE AS n, count(*) FILTER (rv = 'block')::DOUBLE AS bad FROM suffixed GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixs AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 {_level_sql("suffix", "(SELECT sum(bad) / greatest(sum(n), 1) FROM suffixs)").lstrip()}),
@@ -180,4 +199,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_urls": op9_urls,
     "op10_host_rules": op10_host_rules,
 }
-ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op5_topk": OP5_SQL, "op9_urls": OP9_SQL, "op10_host_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op3_repeats": OP3_SQL, "op5_topk": OP5_SQL, "op9_urls": OP9_SQL, "op10_host_rules": OP10_SQL}

@@ -115,13 +115,19 @@ def attach(df: DataFrame, small: DataFrame, key: str, rows: int, how: str = "lef
     """
     if rows <= BROADCAST_ROWS:
         return df.join(F.broadcast(small), key, how)
-    counts = df.groupBy(quoted(key).alias(key)).agg(F.count("*").alias("_n"))
+    names = [c for c in small.columns if c != key]
+    counts = df.groupBy(quoted(key).alias("_key")).agg(F.count("*").alias("_n"))
     least = max(HOT_ROWS, int(HOT_SHARE * (counts.agg(F.sum("_n")).first()[0] or 0)))
-    hot = written(counts.where(F.col("_n") > least).select(key, F.lit(SALTS).alias("_ways")))
-    place, ways = unused(df, "_place"), F.coalesce("_ways", F.lit(1))
-    dealt = df.join(F.broadcast(hot), key, "left").withColumn(place, F.pmod(row_hash(df, (key,)), ways).cast("int")).drop("_ways")
-    many = small.join(F.broadcast(hot), key, "left").withColumn(place, F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
-    return dealt.join(many, [key, place], how).drop(place)
+    hot = F.broadcast(written(counts.where(F.col("_n") > least).select("_key", F.lit(SALTS).alias("_ways"))))
+    ways = F.coalesce("_ways", F.lit(1))
+    left = df.select(F.struct(*[quoted(c) for c in df.columns]).alias("_all"), quoted(key).alias("_key"), row_hash(df, (key,)).alias("_hash"))
+    left = left.join(hot, "_key", "left").withColumn("_place", F.pmod("_hash", ways).cast("int"))
+    right = small.select(quoted(key).alias("_key"), F.struct(*[quoted(c) for c in names]).alias("_found")).join(hot, "_key", "left")
+    right = right.withColumn("_place", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
+    joined = left.join(right, ["_key", "_place"], how)
+    field = lambda of, c: F.col(of)[c].alias(c)
+    rest = [c for c in df.columns if c != key]
+    return joined.select(field("_all", key), *[field("_all", c) for c in rest], *[field("_found", c) for c in names])
 
 
 def survivors(df: DataFrame, cluster: Callable[[DataFrame], DataFrame], text: str, doc_id: str) -> DataFrame:

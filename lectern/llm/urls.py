@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import ascii_lower, attach, written
+from lectern.llm.shared import ascii_lower, attach, drop, others, quoted, written
 
 
 @dataclass(frozen=True)
@@ -26,8 +26,8 @@ class Reputation:
     z: float = 1.645
     least_prior: float = 2.0
     most_prior: float = 1_000.0
-    #: Suffixes of more than one label, under which a registered domain has one label more.
-    suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+    #: Suffixes of more than one label, under which a registered domain has one label more: a parameter, as registries change.
+    suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "com.br", "co.in", "co.nz", "co.za", "com.cn", "com.mx", "com.tr")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -56,16 +56,23 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return out
 
 
-def _suffix(host: Column, suffixes: tuple[str, ...]) -> Column:
-    out = F.substring_index(host, ".", -1)
+def _place(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+
+
+def _suffix(place: Column, suffixes: tuple[str, ...]) -> Column:
+    """The public suffix; an address in numbers is its own."""
+    out = F.substring_index(place, ".", -1)
     for s in suffixes:
-        out = F.when((host == s) | host.endswith("." + s), F.lit(s)).otherwise(out)
-    return out
+        out = F.when((place == s) | place.endswith("." + s), F.lit(s)).otherwise(out)
+    return F.when(place.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), place).otherwise(out)
 
 
-def _domain(host: Column, suffix: Column) -> Column:
-    head = F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1)
-    return F.when(host == suffix, host).otherwise(F.concat(F.substring_index(head, ".", -1), F.lit("."), suffix))
+def _domain(place: Column, suffix: Column) -> Column:
+    """The registered domain: the suffix and the label before it."""
+    head = F.substring(place, F.lit(1), F.length(place) - F.length(suffix) - 1)
+    return F.when(place == suffix, place).otherwise(F.concat(F.substring_index(head, ".", -1), F.lit("."), suffix))
 
 
 def _weight(units: DataFrame, how: Reputation) -> float:
@@ -80,9 +87,11 @@ def reputations(judged: DataFrame, how: Reputation) -> tuple[DataFrame, int]:
     """One row a host (posterior, lower, blocked) and the number of hosts; needs host and rule_verdict."""
     bad = F.sum((F.col("rule_verdict") == "block").cast("bigint"))
     hosts = judged.groupBy("host").agg(F.count("rule_verdict").alias("n"), F.coalesce(bad, F.lit(0)).alias("bad"))
-    hosts = written(hosts.withColumn("suffix", _suffix(F.col("host"), how.suffixes)).withColumn("domain", _domain(F.col("host"), F.col("suffix"))))
+    hosts = hosts.withColumn("_place", _place(F.col("host")))
+    hosts = written(hosts.withColumn("suffix", _suffix(F.col("_place"), how.suffixes)).withColumn("domain", _domain(F.col("_place"), F.col("suffix"))).drop("_place"))
     domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    held, whole = hosts, domains
     every = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("k")).first()
     base = every.bad / every.n if every.n else 0.0
     n_hosts, n_domains = hosts.count(), domains.count()
@@ -97,7 +106,10 @@ def reputations(judged: DataFrame, how: Reputation) -> tuple[DataFrame, int]:
     hosts = attach(hosts, domains, "domain", n_domains).withColumn("posterior", shrunk(weight, F.col("of_domain")))
     sd = F.sqrt(F.col("posterior") * (1 - F.col("posterior")) / (F.col("n") + F.lit(weight + 1)))
     hosts = hosts.withColumn("lower", F.col("posterior") - how.z * sd)
-    return hosts.select("host", "posterior", "lower", (F.col("lower") > how.max_blocked_rate).alias("blocked")), n_hosts
+    out = written(hosts.select("host", "posterior", "lower", (F.col("lower") > how.max_blocked_rate).alias("blocked")))
+    drop(held)
+    drop(whole)
+    return out, n_hosts
 
 
 def judge(df: DataFrame, rules: list[tuple[str, str]], how: Reputation | None = None, url: str = "url") -> DataFrame:
@@ -110,9 +122,8 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], how: Reputation | None =
     """
     how = how or Reputation()
     made = ["host", "path", "rule", "rule_verdict", "verdict", "posterior", "lower", "blocked", "_rule"]
-    host, path = split_url(F.col(f"`{url}`"))
-    x = df.withColumn("_host", host).withColumn("_path", path)
-    x = x.drop(*[c for c in made if c in x.columns]).withColumnRenamed("_host", "host").withColumnRenamed("_path", "path")
+    host, path = split_url(quoted(url))
+    x = df.select(*[quoted(c) for c in others(df, *made)], host.alias("host"), path.alias("path"))
     x = x.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
     x = x.withColumn("rule", F.col("_rule.rule")).withColumn("rule_verdict", F.col("_rule.verdict")).drop("_rule")
     table, n = reputations(x.select("host", "rule_verdict"), how)

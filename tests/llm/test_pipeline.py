@@ -56,7 +56,7 @@ def test_mixing_stage(stages):
     want = Counter()
     for r in stages[3]:
         rate = math.sqrt(n[r.source]) * total / roots / n[r.source]
-        u = (int(hashlib.md5(f"{r.doc_id}:1:draw42".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        u = (int(hashlib.md5(f"{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}:1:draw42".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         p = c = math.exp(-rate)
         k = 0
         while c <= u:

@@ -63,7 +63,12 @@ def _through(fps):
     out = []
     for i in range(0, len(k), 97):
         out.append(pa.RecordBatch.from_arrays([pa.array(k[i : i + 97]), pa.array(x[i : i + 97])], names=["k", "fp"]))
-    links = [(a, b) for batch in simhash._link_postings(iter(out)) for a, b in zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1).to_numpy().view(np.uint64).tolist(), strict=True)]
+    found = [r for batch in simhash._link_postings(iter(out)) for r in batch.to_pylist()]
+    # long postings are dealt by each byte that they don't fix, as link() does
+    long = sorted((r["k"], p << 8 | (r["a"] >> 8 * p) & 255, r["a"]) for r in found if r["k"] is not None for p in range(8) if p >= simhash.POSITIONS or not r["k"] >> 32 >> p & 1)
+    again = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*long[i : i + 97], strict=True)], names=["k", "v", "fp"]) for i in range(0, len(long), 97)]
+    found = [r for r in found if r["k"] is None] + [r for batch in simhash._link_splits(iter(again)) for r in batch.to_pylist()]
+    links = [(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in found]
     root = {x: x for x in fps}
 
     def find(i):
@@ -95,6 +100,25 @@ def test_links_connect_what_brute_force_connects(monkeypatch):
     assert _through(fps)[0] == want
 
 
+def test_a_long_text_in_blocks_has_the_same_fingerprint():
+    rng = np.random.default_rng(2)
+    text = " ".join(f"W{i}x" for i in rng.integers(0, 50, 400)) + "\x0b" + "q" * 90 + " é end"
+    for block in (1, 7, 64, 1 << 20):
+        assert simhash.fingerprint(text.encode(), block=block) == brute(text)
+    assert simhash.fingerprint(b"a " * 2, block=1) == brute("a a")
+
+
+def test_long_postings_are_dealt_by_a_fifth_byte(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHORT", 2)
+    monkeypatch.setattr(simhash, "MEDIUM", 3)
+    rng = np.random.default_rng(9)
+    centres = [int(c) for c in rng.integers(0, 1 << 62, 4)]
+    fps = sorted({centres[rng.integers(4)] ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 5), replace=False)) for _ in range(250)})
+    want = {fps[i]: fps[r] for i, r in brute_components(dict(enumerate(fps))).items()}
+    rooted = simhash._rooted(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    assert {r.fp: r.root for r in rooted} == want
+
+
 def test_each_pair_is_linked_once():
     _, links = _through([5, 4, 7, 255 << 40])
     assert sorted(tuple(sorted(x)) for x in links) == [(4, 5), (4, 7), (5, 7)]
