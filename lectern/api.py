@@ -1,7 +1,9 @@
 """The tools a literature researcher calls, over a library of tables.
 
-Every call returns a lazily evaluated DataFrame; nothing is fetched or
-collected here.  Single-item calls are one-row cases of the batch operators.
+Every call returns a DataFrame and collects none.  Most are lazily evaluated;
+entity resolution and citation verification run in rounds, whose number
+depends on the rows, so ``search_papers`` and the ``verify`` calls start jobs.
+Single-item calls are one-row cases of the batch operators.
 """
 
 from __future__ import annotations
@@ -67,12 +69,8 @@ class Library:
         return self.spark.createDataFrame(rows, schema)
 
     # --- search ---
-    def search_papers(self, query: str, sources: str = "openalex,crossref", year_from: int | None = None, year_to: int | None = None, journal_issn: str | None = None, sort: str = "cited_by_count:desc", per_page: int = 25) -> DataFrame:
-        """Papers of the sources, each capped, resolved to one row an entity, in source and rank order.
-
-        Years don't restrict arXiv; the ISSN restricts OpenAlex only; an
-        upper year alone doesn't restrict Semantic Scholar.
-        """
+    def _found(self, query: str, sources: str, year_from: int | None, year_to: int | None, journal_issn: str | None, sort: str, per_page: int) -> tuple[DataFrame, DataFrame, list[str]]:
+        """All papers that fit, those that the sources return, and the sources asked for."""
         wanted = [s.strip().lower() for s in sources.split(",") if s.strip().lower() in search.CAPS]
         q = search.Query(sort=sort.partition(":")[0].replace("publication_date", "year").replace("relevance_score", "cited_by_count"), per_page=per_page)
         api = F.lower(F.col("source_api"))
@@ -81,11 +79,35 @@ class Library:
         kept = kept & ((api == "arxiv") | ((api == "semantic_scholar") & F.lit(bool(year_to and not year_from))) | years)
         if journal_issn:
             kept = kept & ((api != "openalex") | (normalize_issn(F.col("issn")) == normalize_issn(F.lit(journal_issn))))
-        found = search.search_each(self.works().where(kept), q, wanted)
+        fits = self.works().where(kept & api.isin(wanted))
+        found = search.search_each(fits, q, wanted)
         order = F.row_number().over(W.orderBy("source_order", "rank"))  # at most the sum of the caps
-        ranked = found.withColumn("ord", order).withColumn("n_authors", F.size("authors"))
+        return fits, found.withColumn("ord", order).withColumn("n_authors", F.size("authors")), wanted
+
+    def search_papers(self, query: str, sources: str = "openalex,crossref", year_from: int | None = None, year_to: int | None = None, journal_issn: str | None = None, sort: str = "cited_by_count:desc", per_page: int = 25) -> DataFrame:
+        """Papers of the sources, each capped, resolved to one row an entity, in source and rank order.
+
+        Years don't restrict arXiv; the ISSN restricts OpenAlex only; an
+        upper year alone doesn't restrict Semantic Scholar.
+        """
+        _, ranked, _ = self._found(query, sources, year_from, year_to, journal_issn, sort, per_page)
         return dedup.greedy(ranked, "ord").orderBy("first_order").select(*PAPER, "ord")
 
+    def search_summary(self, query: str, sources: str = "openalex,crossref", year_from: int | None = None, year_to: int | None = None, journal_issn: str | None = None, sort: str = "cited_by_count:desc", per_page: int = 25) -> DataFrame:
+        """What search_papers() found, in one row: total, returned, duplicates_removed, sources_queried, per_source.
+
+        ``total`` counts all papers that fit, ``per_source`` those of each
+        source that it returned before they were resolved.
+        """
+        fits, ranked, wanted = self._found(query, sources, year_from, year_to, journal_issn, sort, per_page)
+        one = F.lit(1).alias("_one")
+        kept = dedup.greedy(ranked, "ord").agg(F.count("*").alias("returned"), one)
+        total = fits.agg(F.count("*").alias("total"), one)
+        counts = ranked.groupBy(F.lower("source_api").alias("s")).agg(F.count("*").alias("n"))
+        counts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("raw"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("s", "n")))).alias("per_source"), one)
+        x = total.join(kept, "_one").join(counts, "_one")
+        return x.select("total", "returned", (F.col("raw") - F.col("returned")).alias("duplicates_removed"), F.array(*[F.lit(s) for s in wanted]).alias("sources_queried"), "per_source")
+
     def search_journal_papers(self, issn: str, query: str = "", year_from: int | None = None, year_to: int | None = None, per_page: int = 25) -> DataFrame:
         q = search.Query(text=query, year_from=year_from, year_to=year_to, issn=issn, per_page=per_page)
         return search.search(self.works(), q).select(*PAPER)
@@ -155,25 +177,38 @@ class Library:
         return self.retractions.where(F.lower(normalize_doi(F.col("doi"))) == F.lower(normalize_doi(F.lit(doi))))
 
     # --- cite ---
-    def get_influential_citations(self, identifier: str, limit: int = 20) -> DataFrame:
-        """Citations of a paper with their influence, intents and up to three contexts."""
+    def get_influential_citations(self, identifier: str, limit: int = 20, most: int | None = 100) -> DataFrame:
+        """Citations of a paper with their influence, intents and up to three contexts; ``most`` bounds the limit, None lifts it."""
         seed = self.get_paper(identifier).select(F.col("work_id").alias("cited"))
         hits = self.edges.join(seed, "cited").join(self.works(), F.col("citing") == F.col("work_id")).where("title <> ''")
         shown = hits.select("title", F.slice(F.transform("authors", lambda a: a["name"]), 1, 5).alias("authors"), "year", "doi", F.col("cited_by_count").alias("citation_count"), "is_influential", "intents", F.slice("contexts", 1, 3).alias("contexts"))
-        return shown.orderBy(F.col("citation_count").desc(), "title").limit(min(limit, 100))
+        return shown.orderBy(F.col("citation_count").desc(), "title").limit(limit if most is None else min(limit, most))
 
     def get_citation_context(self, citing: str, cited: str) -> DataFrame:
-        """The reference of one paper to another, if there is one."""
+        """One row on the reference of one paper to another: found, and its influence, intents and contexts if there is one."""
         seed = self.get_paper(citing).select(F.col("work_id").alias("citing"))
         target = self.get_paper(cited).select(F.col("work_id").alias("cited"), F.col("title").alias("cited_title"))
-        return self.edges.join(seed, "citing").join(target, "cited").select("citing", "cited", "cited_title", "is_influential", "intents", "contexts")
+        hits = self.edges.join(seed, "citing").join(target, "cited").select(F.struct("citing", "cited", "cited_title", "is_influential", "intents", "contexts").alias("x"))
+        first = hits.agg(F.min_by("x", F.col("x.cited")).alias("x"))
+        return first.select(F.col("x").isNotNull().alias("found"), "x.*")
 
-    def build_citation_network(self, seed_dois: str, depth: int = 1, max_nodes: int = 100) -> tuple[DataFrame, DataFrame]:
+    def _network(self, seed_dois: str, depth: int, max_nodes: int) -> tuple[DataFrame, DataFrame]:
         seeds = self._rows([(i, d.strip()) for i, d in enumerate(seed_dois.split(","))], "ord int, doi string")
         key = lambda c: F.lower(normalize_doi(c))
         found = seeds.join(self.works().select(key(F.col("doi")).alias("_k"), "work_id"), key(F.col("doi")) == F.col("_k")).select("ord", "work_id")
         return citations.network(self.edges.select("citing", "cited", "ord"), self.works(), found, depth, max_nodes)
 
+    def build_citation_network(self, seed_dois: str, depth: int = 1, max_nodes: int = 100, most_edges: int | None = 200) -> tuple[DataFrame, DataFrame]:
+        """Nodes with their paper's fields and level, and the first edges; citation_network_counts() has the full counts."""
+        nodes, edges = self._network(seed_dois, depth, max_nodes)
+        held = nodes.join(self.works().dropDuplicates(["work_id"]), "work_id").orderBy("level", "place").select("work_id", "level", *PAPER)
+        edges = edges.orderBy("level", "place")
+        return held, (edges if most_edges is None else edges.limit(most_edges)).select("citing", "cited")
+
+    def citation_network_counts(self, seed_dois: str, depth: int = 1, max_nodes: int = 100) -> DataFrame:
+        """(nodes_count, edges_count) of a network, all edges counted."""
+        return citations.network_counts(*self._network(seed_dois, depth, max_nodes))
+
     def find_co_citation_clusters(self, dois: str, min_co_citations: int = 2, limit: int = 50, most: int = 20) -> DataFrame:
         wanted = [d.strip() for d in dois.split(",")][:most]
         if len(wanted) < 2:

@@ -73,17 +73,51 @@ def metadata_score(doi: Column, abstract: Column, n_authors: Column, cited: Colu
     return one(doi != "", 3) + one(abstract != "", 2) + one(n_authors > 0) + one(cited > 0) + one(journal != "") + one(year != 0)
 
 
+#: Characters of the first text that one number of the bit-parallel table holds.
+WORD = 60
+
+
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of the usual table."""
-    n = F.length(b)
+    """Length of the longest common subsequence, a row of the usual table at a time in bits.
+
+    A set bit of V stands for a character of ``a`` where the row doesn't
+    grow.  For each character of ``b``, with M the places that hold it, V
+    becomes (V + (V & M)) | (V & ~M), words of 60 bits handing on the carry.
+    """
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    long = lambda n: F.lit(n).cast("bigint")
+    shifted = lambda n: F.call_function("shiftleft", long(1), n)
+    n = F.length(a)
+    words = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / WORD).cast("int")), lambda w: F.slice(chars(a), w * WORD + 1, WORD))
+    full = F.transform(words, lambda w: F.struct(w.alias("chars"), (shifted(F.size(w)) - 1).alias("all")))
+
+    def places(word: Column, ch: Column) -> Column:
+        bits = F.transform(word, lambda x, i: F.when(x == ch, shifted(i)).otherwise(long(0)))
+        return F.aggregate(bits, long(0), lambda s, x: s.bitwiseOR(x))
+
+    def run(table: Column) -> Column:
+        known = F.array_distinct(F.filter(chars(b), lambda ch: F.exists(table, lambda w: F.array_contains(w["chars"], ch))))
+        masks = F.map_from_arrays(known, F.transform(known, lambda ch: F.transform(table, lambda w: places(w["chars"], ch))))
+
+        def fold(mask: Column) -> Column:
+            def row(v: Column, ch: Column) -> Column:
+                m = F.element_at(mask, ch)
+
+                def step(s: Column, i: Column) -> Column:
+                    x, hit, every = F.get(v, i), F.get(m, i), F.get(table, i)["all"]
+                    total = x + x.bitwiseAND(hit) + s["carry"]
+                    now = total.bitwiseOR(x.bitwiseAND(F.bitwise_not(hit))).bitwiseAND(every)
+                    return F.struct(F.shiftright(total, WORD).alias("carry"), F.array_append(s["out"], now).alias("out"))
+
+                start = F.struct(long(0).alias("carry"), F.array().cast("array<bigint>").alias("out"))
+                return F.aggregate(F.sequence(F.lit(0), F.size(table) - 1), start, step, lambda s: s["out"])
+
+            used = F.filter(chars(b), lambda ch: F.map_contains_key(mask, ch))
+            return F.aggregate(used, F.transform(table, lambda w: w["all"]), row, lambda v: n - F.aggregate(v, F.lit(0), lambda s, x: s + F.bit_count(x)))
 
-    def row(last: Column, ch: Column) -> Column:
-        cell = lambda done, j: F.when(F.substring(b, j, F.lit(1)) == ch, F.element_at(last, j) + 1).otherwise(F.greatest(F.element_at(last, j + 1), F.element_at(done, -1)))
-        return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), lambda done, j: F.array_append(done, cell(done, j)))
+        return F.element_at(F.transform(F.array(masks), fold), 1)
 
-    chars = F.filter(F.split(a, ""), lambda c: c != "")
-    table = F.aggregate(chars, F.array_repeat(F.lit(0), n + 1), row, lambda x: F.element_at(x, -1))
-    return F.when((F.length(a) == 0) | (n == 0), F.lit(0)).otherwise(table)
+    return F.when((n == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.element_at(F.transform(F.array(full), run), 1))
 
 
 def similarity_at_least(a: Column, b: Column, percent: int, strict: bool) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,6 +55,27 @@ def lookup(table: DataFrame, keys: DataFrame, as_of: Column) -> DataFrame:
     return keys.join(live(table, as_of), "key", "left")
 
 
+def clear(table: DataFrame) -> DataFrame:
+    """The table without its entries."""
+    return table.limit(0)
+
+
+def read_through(table: DataFrame, asked: DataFrame, fetch: Callable[[DataFrame], DataFrame], as_of: Column, ttl: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(answers, table): asked keys (key, entity_type) from live entries, else fetched and kept as long as their kind lives.
+
+    ``fetch`` gives (key, value, failed) of the missing keys, each asked
+    once.  Failures are answered (value null) but never kept.  An expired
+    entry counts as missing and is replaced.
+    """
+    wanted = asked.select("key", "entity_type").dropDuplicates(["key"])
+    hits = lookup(table.select("key", "value", "expires_at"), wanted, as_of)
+    found = fetch(hits.where("expires_at IS NULL").select("key", "entity_type")).select("key", F.when(~F.col("failed"), F.col("value")).alias("fetched"), "failed")
+    answers = hits.join(found, "key", "left")
+    answers = answers.select("key", "entity_type", F.coalesce("value", "fetched").alias("value"), F.col("expires_at").isNotNull().alias("from_cache"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    fresh = answers.where("NOT from_cache AND NOT failed").select("key", "entity_type", "value", as_of.alias("created_at"), expires_at(as_of, F.col("entity_type"), ttl).alias("expires_at"))
+    return answers, put(table.select("key", "entity_type", "value", "created_at", "expires_at"), fresh)
+
+
 def stats(table: DataFrame, as_of: Column) -> DataFrame:
     """Entries and live entries by kind, and over all kinds (entity_type ``*``)."""
     x = table.rollup("entity_type").agg(F.count("*").alias("entries"), F.count_if(F.col("expires_at") > as_of).alias("live_entries"), F.grouping("entity_type").alias("_all"))

@@ -36,30 +36,41 @@ def co_citations(edges: DataFrame, wanted: DataFrame | None = None, least: int =
     return pairs if limit is None else pairs.orderBy(F.col("co_citations").desc(), "paper_a", "paper_b").limit(limit)
 
 
-def network(edges: DataFrame, works: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int = 100, per_node: int = 10) -> tuple[DataFrame, DataFrame]:
+def network(
+    edges: DataFrame, works: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int = 100, per_node: int = 10, deepest: int | None = 2, most_nodes: int | None = 200
+) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a breadth-first walk from the seeds (ord, work_id).
 
-    Each level is one join.  Nodes come in the order in which they are first
-    met: by level, then by the place of the node that cites them and of the
-    reference; the first ``max_nodes`` stay.  Works that aren't loaded are no
-    nodes, but edges may end at them.  Depth is at most 2, nodes at most 200.
+    Each level is one join.  Nodes (work_id, level, place) come in the order
+    in which they are first met: by level, then by the place of the node that
+    cites them and of the reference; the first ``max_nodes`` stay.  Works
+    that aren't loaded are no nodes, but edges (citing, cited, level, place)
+    may end at them.  ``deepest`` and ``most_nodes`` bound what a caller can
+    ask for; None lifts them.
     """
-    depth, max_nodes = min(depth, 2), min(max_nodes, 200)
+    depth = depth if deepest is None else min(depth, deepest)
+    max_nodes = max_nodes if most_nodes is None else min(max_nodes, most_nodes)
     by = W.partitionBy("citing").orderBy("ord", "cited")
-    refs = edges.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_node)
+    refs = edges.withColumn("_n", F.row_number().over(by).cast("bigint")).where(F.col("_n") <= per_node)
     known = works.select("work_id")
     level = seeds.groupBy("work_id").agg(F.min("ord").alias("p1")).join(known, "work_id", "left_semi")
-    level = level.select("work_id", F.lit(0).alias("level"), F.struct(F.col("p1").cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c")).alias("place"))
+    level = level.select("work_id", F.lit(0).alias("level"), F.array(F.col("p1").cast("bigint")).alias("place"))
     nodes = level
     for d in range(1, depth + 1):
         up = level.withColumnRenamed("work_id", "citing")
-        grown = refs.join(up, "citing").withColumn("next", F.struct(F.col("place.a").alias("a"), (F.col("place.b") if d > 1 else F.col("_n").cast("bigint")).alias("b"), (F.col("_n").cast("bigint") if d > 1 else F.lit(0).cast("bigint")).alias("c")))
+        grown = refs.join(up, "citing").withColumn("next", F.array_append("place", F.col("_n")))
         met = grown.groupBy(F.col("cited").alias("work_id")).agg(F.min("next").alias("place"))
         level = met.join(known, "work_id", "left_semi").join(nodes, "work_id", "left_anti").select("work_id", F.lit(d).alias("level"), "place")
         nodes = nodes.unionByName(level)
     nodes = nodes.orderBy("level", "place").limit(max_nodes)
-    links = refs.join(nodes.where(F.col("level") < depth).select(F.col("work_id").alias("citing"), "level"), "citing")
-    return nodes.select("work_id", "level"), links.select("citing", "cited")
+    links = refs.join(nodes.where(F.col("level") < depth).select(F.col("work_id").alias("citing"), "level", "place"), "citing")
+    return nodes.select("work_id", "level", "place"), links.select("citing", "cited", "level", F.array_append("place", F.col("_n")).alias("place"))
+
+
+def network_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nodes_count, edges_count) of a network, before its edges are cut."""
+    counts = nodes.agg(F.count("*").alias("nodes_count")).select("*", F.lit(1).alias("_one"))
+    return counts.join(edges.agg(F.count("*").alias("edges_count")).select("*", F.lit(1).alias("_one")), "_one").drop("_one")
 
 
 def with_influence(citations: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.folders import cut
 from lectern.functions.ranking import sjr_number
 
 # Shares that a reference list should keep to, in percent.
@@ -31,9 +32,20 @@ def reference_mix(refs: DataFrame, by: str, tier: str = "tier") -> DataFrame:
 
 
 def by_influence(works: DataFrame) -> DataFrame:
-    """Works with their rank within a tier: influential citations, then citations, then id."""
-    order = W.partitionBy("tier").orderBy(F.col("influential").desc(), F.col("cited_by_count").desc(), "work_id")
-    return works.withColumn("rank", F.row_number().over(order))
+    """Works with their rank within a tier: influential citations, then citations, then id.
+
+    There are few tiers, so works are sorted in ranges of (tier, order) and
+    numbered there; a tier's works in earlier ranges are added.  What is
+    added is a row a range and tier, whatever the number of works.
+    """
+    order = ["tier", F.col("influential").desc(), F.col("cited_by_count").desc(), "work_id"]
+    ranged = cut(works.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
+    firsts = ranged.groupBy("tier", "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("tier").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = firsts.select(F.col("tier").alias("_tier"), "_range", (before - F.col("_first") + 1).alias("_add"))
+    held = ranged.join(starts, F.col("tier").eqNullSafe(F.col("_tier")) & (ranged["_range"] == starts["_range"]))
+    return held.select(*works.columns, (F.col("_at") + F.col("_add")).cast("int").alias("rank"))
 
 
 def unlisted(journals: DataFrame, *lists: DataFrame, key: str = "issn") -> DataFrame:

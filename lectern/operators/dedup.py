@@ -30,24 +30,47 @@ def by_doi(papers: DataFrame, order: str) -> DataFrame:
     return ranked.where("_n = 1").drop("_n", "_key").unionByName(marked.where("_key = ''").withColumn("first_order", F.col(order)).drop("_key"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, condition: Column, percent: int = PERCENT) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, condition: Column, percent: int = PERCENT, same: tuple[str, ...] = ()) -> DataFrame:
     """(a, b) ids of rows whose titles are more than ``percent`` similar and whose years agree or are missing.
 
-    Both sides have (id, t, year) with trimmed lower-case titles; empty
-    titles are like nothing.  Similar titles have lengths within a factor of
-    11/9, so rows meet in buckets of the logarithm of the length, one side in
-    the neighbouring ones too; rows of one year meet in their year, those
-    without one in all.
+    Both sides have (id, t, year) with trimmed lower-case titles, and the
+    columns ``same``, which have to be equal; empty titles are like nothing.
+    Similar titles have lengths within a factor of 11/9, so rows meet in
+    buckets of the logarithm of the length, one side in the neighbouring ones
+    too; rows of one year meet in their year, those without one in all.
     """
     step = 0.2007  # a little above ln(11 / 9) = 0.20067, so that neighbours are enough
     bucket = F.floor(F.log(F.length("t")) / step).cast("int")
-    a = left.where("t <> ''").select(F.col("id").alias("a"), F.col("t").alias("ta"), F.nullif("year", F.lit(0)).alias("ya"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    b = right.where("t <> ''").select(F.col("id").alias("b"), F.col("t").alias("tb"), F.nullif("year", F.lit(0)).alias("yb"), bucket.alias("bucket"))
+    keys = lambda of: [F.col(c).alias(f"{c}_{of}") for c in same]
+    a = left.where("t <> ''").select(F.col("id").alias("a"), F.col("t").alias("ta"), F.nullif("year", F.lit(0)).alias("ya"), *keys("a"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    b = right.where("t <> ''").select(F.col("id").alias("b"), F.col("t").alias("tb"), F.nullif("year", F.lit(0)).alias("yb"), *keys("b"), bucket.alias("bucket_b"))
     like = condition & similarity_at_least(F.col("ta"), F.col("tb"), percent, strict=True)
-    same = a.join(b, (a.ya == b.yb) & (a.bucket == b.bucket)).where(like).select("a", "b")
-    any_a = a.where("ya IS NULL").join(b, "bucket").where(like).select("a", "b")
-    any_b = a.where("ya IS NOT NULL").join(b.where("yb IS NULL"), "bucket").where(like).select("a", "b")
-    return same.union(any_a).union(any_b)
+    meet = F.col("bucket") == F.col("bucket_b")
+    for c in same:
+        meet = meet & (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    one_year = a.join(b, meet & (a.ya == b.yb)).where(like).select("a", "b")
+    any_a = a.where("ya IS NULL").join(b, meet).where(like).select("a", "b")
+    any_b = a.where("ya IS NOT NULL").join(b.where("yb IS NULL"), meet).where(like).select("a", "b")
+    return one_year.union(any_a).union(any_b)
+
+
+def by_first_author(papers: DataFrame, order: str, percent: int = PERCENT) -> DataFrame:
+    """(id, kept): papers that a more complete one of the same first author makes superfluous, and the best of these.
+
+    ``papers`` has title, year, first_author and the fields of completeness.
+    Two papers are the same if their first authors are equal (case and outer
+    blanks aside) and their titles similar, in one year or without one; the
+    more complete counts, of equals the earlier.  Papers without an author
+    are like none.
+    """
+    score = metadata_score(F.coalesce("doi", F.lit("")), F.coalesce("abstract", F.lit("")), F.coalesce("n_authors", F.lit(0)), F.coalesce("cited_by_count", F.lit(0)), F.coalesce("journal", F.lit("")), F.col("year"))
+    author = F.lower(F.trim(F.coalesce("first_author", F.lit(""))))
+    rows = papers.select(F.col(order).alias("id"), F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("t"), "year", author.alias("author"), score.alias("score"))
+    rows = cut(rows.where("author <> ''"))
+    pairs = similar_pairs(rows, rows, F.col("a") != F.col("b"), percent, ("author",))
+    ranks = lambda of: rows.select(F.col("id").alias(of), F.struct((-F.col("score")).alias("less"), F.col("id").alias("id")).alias(f"rank_{of}"))
+    better = pairs.join(ranks("a"), "a").join(ranks("b"), "b").where("rank_b < rank_a")
+    return better.groupBy(F.col("a").alias("id")).agg(F.min("rank_b").alias("m")).select("id", F.col("m.id").alias("kept"))
 
 
 def greedy(papers: DataFrame, order: str, percent: int = PERCENT) -> DataFrame:
@@ -60,8 +83,11 @@ def greedy(papers: DataFrame, order: str, percent: int = PERCENT) -> DataFrame:
     """
     unique = cut(by_doi(papers, order))
     titled = unique.select(F.col(order).alias("id"), F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("t"), "year", (doi_key(F.col("doi")) != "").alias("named"))
-    open_rows = titled.where("NOT named")
-    by_named = similar_pairs(open_rows, titled.where("named"), F.lit(True), percent).select(F.col("a").alias("id")).distinct()
+    # rows of one title and year are like the same others: only the first of them can stay, and any of them stands for all
+    empty = titled.where("NOT named AND t = ''")
+    firsts = titled.where("t <> ''").groupBy("named", "t", F.nullif("year", F.lit(0)).alias("year")).agg(F.min("id").alias("id"))
+    open_rows = cut(firsts.where("NOT named").select("id", "t", "year").unionByName(empty.select("id", "t", "year")))
+    by_named = similar_pairs(open_rows, firsts.where("named"), F.lit(True), percent).select(F.col("a").alias("id")).distinct()
     rest = cut(open_rows.join(by_named, "id", "left_anti"))
     pairs = cut(similar_pairs(rest, rest, F.col("b") < F.col("a"), percent))
     state = cut(rest.select("id"))

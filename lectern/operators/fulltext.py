@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.texts import truncated
 
+# Characters of a full text, what stands for the rest, what parts pages.
 LIMIT = 100_000
 MARKER = "\n\n[... TRUNCATED — full text too long.]"
 PAGE_BREAK = "\n\n---\n\n"

@@ -62,16 +62,26 @@ def by_similar_name(queries: DataFrame, names: DataFrame, percent: int = 85) ->
     return met.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("qid", "q", "issn", "score")
 
 
-def by_partial_name(queries: DataFrame, titles: DataFrame, least: int = 10) -> DataFrame:
+def by_partial_name(queries: DataFrame, titles: DataFrame, least: int = 10, gram: int = 8) -> DataFrame:
     """Queries longer than ``least`` with the first title that contains them or that they contain.
 
-    Any word of a title that contains the query is not a word of the query,
-    so there is no equality to join on: the titles of a ranking (thousands,
-    whatever the corpus) are the side that Spark broadcasts.
+    A text that contains another holds the other's first ``gram`` characters
+    (all of them, if it is shorter), so both sides meet by equality there.
     """
     q = queries.select("qid", "q", F.lower(F.trim("q")).alias("n")).where(F.length("n") > least)
     t = titles.select(F.lower("title").alias("t"), F.col("issn"), "pos").where("t <> ''")
-    met = q.join(t, F.col("t").contains(F.col("n")) | F.col("n").contains(F.col("t")))
+
+    def grams(c: str, n: Column) -> Column:
+        places = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1))
+        return F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col(c), i, n))))
+
+    g = min(gram, least)
+    longer = q.withColumn("k", F.substring("n", 1, g)).join(t.select("*", grams("t", F.lit(g)).alias("k")), "k").where(F.col("t").contains(F.col("n")))
+    size = F.least(F.length("t"), F.lit(g))
+    sizes = t.select(size.alias("size")).distinct()  # at most g rows
+    held = q.withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(g)))).join(F.broadcast(sizes), "size").select("qid", "q", "n", "size", grams("n", F.col("size")).alias("k"))
+    shorter = held.join(t.withColumn("size", size).withColumn("k", F.substring("t", 1, g)), ["size", "k"]).where(F.col("n").contains(F.col("t")))
+    met = longer.select("qid", "q", "issn", "pos").union(shorter.select("qid", "q", "issn", "pos"))
     return met.groupBy("qid", "q").agg(F.min_by("issn", "pos").alias("issn"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions.identifiers import normalize_issn
 from lectern.functions.texts import has_all_tokens
 
-#: Rows that each source returns at most.
+# Rows that each source returns at most.
 CAPS = {"openalex": 50, "crossref": 50, "arxiv": 50, "scielo": 50, "semantic_scholar": 100, "tavily": 20}
 
 
@@ -52,11 +52,11 @@ def matches(q: Query, text: str = "title", **columns: str) -> Column:
     return out
 
 
-def search(works: DataFrame, q: Query, cap: int = 50, tie: str = "work_id", **columns: str) -> DataFrame:
-    """The best rows of the query, by the sort column downwards, then by id; at most ``cap``."""
+def search(works: DataFrame, q: Query, cap: int | None = 50, tie: str = "work_id", **columns: str) -> DataFrame:
+    """The best rows of the query, by the sort column downwards, then by id; at most ``cap``, unless that is None."""
     text = columns.pop("text", "title")
     found = works.where(matches(q, text, **columns))
-    return found.orderBy(F.col(q.sort).desc_nulls_last(), F.col(tie)).limit(min(q.per_page, cap))
+    return found.orderBy(F.col(q.sort).desc_nulls_last(), F.col(tie)).limit(q.per_page if cap is None else min(q.per_page, cap))
 
 
 def search_each(works: DataFrame, q: Query, sources: list[str], caps: dict[str, int] | None = None, source: str = "source_api", tie: str = "work_id", **columns: str) -> DataFrame:
@@ -84,11 +84,11 @@ def summary(works: DataFrame, q: Query, source: str = "source_api", **columns: s
     return works.where(matches(q, text, **columns)).groupBy(source).agg(F.count("*").alias("total"))
 
 
-def web_results(pages: DataFrame, domains: list[str], limit: int = 10, url: str = "url", content: str = "content", tie: str = "page_id") -> DataFrame:
+def web_results(pages: DataFrame, domains: list[str], limit: int = 10, cap: int | None = CAPS["tavily"], url: str = "url", content: str = "content", tie: str = "page_id") -> DataFrame:
     """Pages of the domains (any, if none is named) and their subdomains, with 300 characters of content."""
     host = F.lower(F.regexp_extract(F.col(url), r"://([^/?#:]*)", 1))
     wanted = F.lit(not domains)
     for d in domains:
         wanted = wanted | (host == d.lower()) | host.endswith("." + d.lower())
     found = pages.where(wanted).withColumn("host", host).withColumn("snippet", F.substring(content, 1, 300))
-    return found.orderBy(tie).limit(min(limit, CAPS["tavily"]))
+    return found.orderBy(tie).limit(limit if cap is None else min(limit, cap))

@@ -198,9 +198,9 @@ def multi_issn_explode_last_wins(spark, d):
     return sjr(spark, d).select("issn", "title", "sjr_score", "quartile", "pos")
 
 
-@query(INDEXES + f" SELECT issn, {SCORE} AS score FROM sjr WHERE quartile = 'Q1'")
+@query(INDEXES + f" SELECT issn, {SCORE} AS score FROM sjr")
 def sjr_scores(spark, d):
-    return sjr(spark, d).where("quartile = 'Q1'").select("issn", ranking.sjr_number(F.col("sjr_score")).alias("score"))
+    return sjr(spark, d).select("issn", ranking.sjr_number(F.col("sjr_score")).alias("score"))
 
 
 @query(INDEXES + " SELECT 'sjr' AS system, count(*) AS n FROM sjr UNION ALL SELECT 'qualis', count(*) FROM qualis UNION ALL SELECT 'jql', count(*) FROM jql")
@@ -265,11 +265,22 @@ def web_results_by_domain(spark, d):
 
 @query(
     ctes("works")
-    + """ SELECT o_orderkey AS query_id, w.work_id, w.doi FROM orders JOIN works w ON w.doi = '10.5555/w' || CAST(o_orderkey AS VARCHAR)"""
+    + """ SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'doi' WHEN 1 THEN 'openalex' ELSE 'unknown' END AS id_type, w.work_id, w.doi FROM orders LEFT JOIN works w ON o_orderkey % 3 < 2 AND w.work_id = o_orderkey"""
 )
 def get_paper_by_identifier(spark, d):
-    asked = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("query_id"), identifiers.resolve_id(F.concat(F.lit("https://doi.org/10.5555/w"), F.col("o_orderkey").cast("string"))).alias("r"))
-    return asked.join(works(spark, d), F.col("r.value") == F.col("doi")).select("query_id", "work_id", "doi")
+    """Works by DOI and by the index's own id, as urls; what is neither finds nothing."""
+    key = F.col("o_orderkey").cast("string")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("https://doi.org/10.5555/w"), key)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("https://openalex.org/w"), key)).otherwise(F.concat(F.lit("paper "), key))
+    asked = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("query_id"), identifiers.resolve_id(raw).alias("r"))
+    w = works(spark, d).select("work_id", "doi")
+    ids = w.select(F.explode(F.array(F.struct(F.lit("doi").alias("t"), F.col("doi").alias("v")), F.struct(F.lit("openalex").alias("t"), F.concat(F.lit("W"), F.col("work_id").cast("string")).alias("v")))).alias("k"), "work_id", "doi")
+    return asked.join(ids, (F.col("r.id_type") == F.col("k.t")) & (F.col("r.value") == F.col("k.v")), "left").select("query_id", "r.id_type", "work_id", "doi")
+
+
+@query(ctes("papers") + " SELECT id, journal, cited_by_count FROM papers WHERE contains(lower(journal), 'e') AND year >= 2010 ORDER BY cited_by_count DESC, id LIMIT 40")
+def search_container_title(spark, d):
+    found = search.search(papers(spark, d), search.Query(journal="E", year_from=2010, per_page=40), tie="id")
+    return found.select("id", "journal", "cited_by_count")
 
 
 IDS_SQL = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'https://doi.org/10.1/A' || doc_id WHEN 1 THEN 'DOI:10.2/b' || doc_id WHEN 2 THEN 'arXiv:2401.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') || 'v2'
@@ -362,10 +373,16 @@ def dedup_greedy_full(spark, d):
     return dedup.greedy(papers(spark, d), "id").select("id", "title", "doi", "year")
 
 
-@query(ctes("papers") + " SELECT lower(trim(title)) AS t, year, journal, count(*) AS n, min(id) AS kept FROM papers WHERE title <> '' GROUP BY ALL HAVING count(*) > 1")
+@query(
+    ctes("papers")
+    + f""", t AS MATERIALIZED (SELECT id, lower(trim(title)) AS t, year, lower(trim('Author ' || id % 8)) AS author,
+    ((doi <> '')::INT * 3 + (abstract <> '')::INT * 2 + (n_authors > 0)::INT + (cited_by_count > 0)::INT + (journal <> '')::INT + (year <> 0)::INT) AS score FROM papers)
+SELECT a.id AS id, arg_min(b.id, [-b.score, b.id]) AS kept FROM t a JOIN t b ON a.author = b.author AND a.year = b.year AND a.id <> b.id AND a.t <> '' AND b.t <> ''
+    AND abs(length(a.t) - length(b.t)) <= 10 * (length(a.t) + length(b.t)) // 100 AND {similar_sql('a.t', 'b.t', 90, True)} AND [-b.score, b.id] < [-a.score, a.id] GROUP BY a.id"""
+)
 def dedup_same_first_author(spark, d):
-    x = papers(spark, d).where("title <> ''").groupBy(F.lower(F.trim("title")).alias("t"), "year", "journal")
-    return x.agg(F.count("*").alias("n"), F.min("id").alias("kept")).where("n > 1")
+    people = F.concat(F.lit(" Author "), (F.col("id") % 8).cast("string"))
+    return dedup.by_first_author(papers(spark, d).withColumn("first_author", people), "id")
 
 
 # --- citations -------------------------------------------------------------
@@ -431,12 +448,22 @@ def _network(spark, d):
 
 @query(NETWORK + " SELECT work_id, level::INTEGER AS level FROM nodes")
 def citation_network_nodes(spark, d):
-    return _network(spark, d)[0]
+    return _network(spark, d)[0].select("work_id", "level")
 
 
 @query(NETWORK + " SELECT citing, cited FROM refs JOIN nodes ON citing = work_id WHERE level < 2")
 def citation_network_edges(spark, d):
-    return _network(spark, d)[1]
+    return _network(spark, d)[1].select("citing", "cited")
+
+
+@query(NETWORK + " SELECT (SELECT count(*) FROM nodes) AS nodes_count, (SELECT count(*) FROM refs JOIN nodes ON citing = work_id WHERE level < 2) AS edges_count")
+def citation_network_counts(spark, d):
+    return citations.network_counts(*_network(spark, d))
+
+
+@query(NETWORK + " SELECT citing, cited FROM (SELECT citing, cited, level, list_append(place, n) AS spot FROM refs JOIN nodes ON citing = work_id WHERE level < 2) ORDER BY level, spot LIMIT 20")
+def citation_network_first_edges(spark, d):
+    return _network(spark, d)[1].orderBy("level", "place").limit(20).select("citing", "cited")
 
 
 @query(ctes("cites") + " SELECT cited, count(*) AS returned, count(*) FILTER (is_influential) AS influential_count FROM cites GROUP BY cited")
@@ -617,6 +644,41 @@ def cache_stats(spark, d):
     return cache.stats(_latest(spark, d), _as_of())
 
 
+READ_THROUGH = (
+    LATEST
+    + f""", asked AS (SELECT user_id::VARCHAR || ':' || t AS key, t AS entity_type, user_id FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(['click', 'view', 'purchase', 'none']) AS t)),
+a AS (SELECT asked.key, asked.entity_type, CASE WHEN l.key IS NOT NULL THEN l.value WHEN user_id % 5 <> 0 THEN 'fetched ' || asked.key END AS value, l.key IS NOT NULL AS from_cache, l.key IS NULL AND user_id % 5 = 0 AS failed
+    FROM asked LEFT JOIN (SELECT * FROM latest WHERE expires_at > TIMESTAMP '{AS_OF}') l ON asked.key = l.key)"""
+)
+
+
+def _read_through(spark, d):
+    table = _latest(spark, d)
+    users = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct()
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("click", "view", "purchase", "none")])).alias("entity_type")
+    asked = users.select("user_id", kinds).select(F.concat_ws(":", F.col("user_id").cast("string"), "entity_type").alias("key"), "entity_type")
+
+    def fetch(missing):
+        failed = F.split("key", ":")[0].cast("bigint") % 5 == 0
+        return missing.select("key", F.concat(F.lit("fetched "), "key").alias("value"), failed.alias("failed"))
+
+    return cache.read_through(table, asked, fetch, _as_of(), {"click": 3600, "view": 86400, "purchase": 604800})
+
+
+@query(READ_THROUGH + " SELECT key, entity_type, value, from_cache, failed FROM a")
+def cache_read_through(spark, d):
+    return _read_through(spark, d)[0]
+
+
+@query(
+    READ_THROUGH
+    + f""" SELECT key, value, expires_at FROM latest WHERE key NOT IN (SELECT key FROM a WHERE NOT from_cache AND NOT failed)
+UNION ALL SELECT key, value, TIMESTAMP '{AS_OF}' + to_seconds(CASE entity_type WHEN 'click' THEN 3600 WHEN 'view' THEN 86400 WHEN 'purchase' THEN 604800 ELSE 3600 END) FROM a WHERE NOT from_cache AND NOT failed"""
+)
+def cache_after_read_through(spark, d):
+    return _read_through(spark, d)[1].select("key", "value", "expires_at")
+
+
 @query("""SELECT doc_id, sha256('/works:' || '{"lang":"' || lang || '","page":"' || (doc_id % 7) || '"}') AS key FROM documents""")
 def cache_key_sha256(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -711,9 +773,17 @@ def influence_tiebreak(spark, d):
     return curation.by_influence(works(spark, d).withColumnRenamed("type", "tier")).select("work_id", "tier", "rank")
 
 
-@query(INDEXES + ", " + ctes("works").removeprefix("WITH ") + " SELECT DISTINCT issn FROM works WHERE issn NOT IN (SELECT issn FROM qualis) AND issn NOT IN (SELECT issn FROM jql)")
+@query(
+    INDEXES
+    + ", "
+    + ctes("works").removeprefix("WITH ")
+    + f""", records AS (SELECT DISTINCT {norm("lpad(CAST(p_partkey * 7 AS VARCHAR), 8, '0')")} AS issn FROM part)
+SELECT DISTINCT issn FROM works WHERE issn NOT IN (SELECT issn FROM sjr) AND issn NOT IN (SELECT issn FROM qualis) AND issn NOT IN (SELECT issn FROM jql) AND issn NOT IN (SELECT issn FROM records)"""
+)
 def predatory_screen(spark, d):
-    return curation.unlisted(works(spark, d).select("issn").distinct(), qualis(spark, d), jql(spark, d))
+    """Journals that neither a ranking nor the sources' own records know."""
+    records = spark.read.parquet(f"{d}/part.parquet").select(identifiers.normalize_issn(F.lpad((F.col("p_partkey") * 7).cast("string"), 8, "0")).alias("issn"))
+    return curation.unlisted(works(spark, d).select("issn").distinct(), sjr(spark, d), qualis(spark, d), jql(spark, d), records)
 
 
 @query(

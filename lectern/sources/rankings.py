@@ -90,10 +90,19 @@ def _names(rows: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.max_by("issn", "pos").alias("issn"), F.min("pos").alias("first_pos"))
 
 
+def _in_file_order(raw: DataFrame) -> DataFrame:
+    """The lines with their place, ``pos``: by file, block and line, over a file or a folder of them.
+
+    The numbering is one task's: a ranking file has some 100,000 lines.
+    """
+    lines = raw.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
+    numbered = lines.withColumn("pos", (F.row_number().over(W.orderBy("_file", "_block", "_line")) - 1).cast("bigint"))
+    return numbered.drop("_file", "_block", "_line")
+
+
 def read_sjr(spark: SparkSession, path: str) -> DataFrame:
-    """The semicolon CSV with a ``pos`` column in file order (a ranking file is one small file)."""
-    raw = spark.read.option("sep", ";").option("header", True).csv(path)
-    return raw.withColumn("pos", F.monotonically_increasing_id())
+    """The semicolon CSV with a ``pos`` column in file order."""
+    return _in_file_order(spark.read.option("sep", ";").option("header", True).csv(path))
 
 
 def qualis_columns(headers: list[str]) -> dict[str, str]:
@@ -133,7 +142,7 @@ def jql_names(raw: DataFrame, position: str) -> DataFrame:
 
 
 def read_jql(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path).withColumn("pos", F.monotonically_increasing_id())
+    return _in_file_order(spark.read.option("header", True).csv(path))
 
 
 # --- XLSX without a spreadsheet library -----------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -43,11 +44,49 @@ class HarvestReader(DataSourceReader):
             yield source, os.path.splitext(name)[0], f.read()
 
 
-#: Requests a second that each source asks its users to keep to.
+# Requests a second that each source asks its users to keep to; answers that are worth another try.
 RATES = {"openalex": 10.0, "crossref": 50.0, "arxiv": 1 / 3, "semantic_scholar": 1.0, "scielo": 5.0, "tavily": 5.0, "unpaywall": 10.0}
 RETRY_STATUS = {429, 500, 502, 503, 504}
 
 
+class Pace:
+    """Waits so that calls of a source keep to its rate: up to a second's worth at once, then one at a time."""
+
+    def __init__(self, source: str, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rate, self.clock, self.sleep = RATES[source], clock, sleep
+        self.most = max(1.0, self.rate)
+        self.left, self.at = self.most, clock()
+
+    def wait(self) -> None:
+        now = self.clock()
+        self.left, self.at = min(self.most, self.left + (now - self.at) * self.rate), now
+        if self.left < 1:
+            pause = (1 - self.left) / self.rate
+            self.sleep(pause)
+            self.left, self.at = 1.0, now + pause
+        self.left -= 1
+
+
+def harvest(source: str, calls: dict[str, Callable[[], tuple[int, dict, str]]], folder: str, suffix: str = ".json", pace: Pace | None = None, sleep: Callable[[float], None] = time.sleep) -> list[str]:
+    """Save the body of each call (key -> call) under ``folder``/``source``, at the source's pace; returns the keys that failed.
+
+    The driver does this, once: a failure is not saved, so another harvest
+    asks again.  ``format("harvest")`` reads what was saved.
+    """
+    pace, failed = pace or Pace(source), []
+    os.makedirs(os.path.join(folder, source), exist_ok=True)
+    for key, call in calls.items():
+        pace.wait()
+        try:
+            body = with_retries(call, sleep)
+        except (RuntimeError, TimeoutError):
+            failed.append(key)
+            continue
+        with open(os.path.join(folder, source, key + suffix), "w", encoding="utf-8") as f:
+            f.write(body)
+    return failed
+
+
 def with_retries(call: Callable[[], tuple[int, dict, str]], sleep: Callable[[float], None], tries: int = 3, first: float = 1.0, most: float = 30.0, jitter: float = 2.0) -> str:
     """Body of a response; 429, server errors and timeouts are tried again with growing waits.
 

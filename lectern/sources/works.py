@@ -31,7 +31,7 @@ CROSSREF_ITEM = (
 S2_PAPER = (
     "struct<paperId:string,title:string,year:int,authors:array<struct<name:string>>,citationCount:bigint,"
     "influentialCitationCount:bigint,journal:string,externalIds:struct<DOI:string,ArXiv:string>,"
-    "tldr:struct<text:string>,openAccessPdf:struct<url:string>,publicationTypes:array<string>>"
+    "tldr:struct<text:string>,openAccessPdf:struct<url:string>,publicationTypes:array<string>,fieldsOfStudy:array<string>>"
 )
 S2_EDGE = f"struct<isInfluential:boolean,intents:array<string>,contexts:array<string>,citingPaper:{S2_PAPER},citedPaper:{S2_PAPER}>"
 SCIELO_DOC = "struct<title:string,doi:string,year_cluster:string,au:array<string>,journal_title:string>"
@@ -170,8 +170,12 @@ def _s2(w: Column) -> dict[str, Column]:
     }
 
 
-def read_semantic_scholar(df: DataFrame, payload: str = "value") -> DataFrame:
-    return _unwrap(df, payload, ENVELOPES["semantic_scholar"], "data").select(*as_paper(**_s2(F.col("w"))))
+def read_semantic_scholar(df: DataFrame, payload: str = "value", fields: list[str] | None = None) -> DataFrame:
+    """Papers of responses; with ``fields`` those of any of these fields of study."""
+    found = _unwrap(df, payload, ENVELOPES["semantic_scholar"], "data")
+    if fields:
+        found = found.where(F.arrays_overlap(F.col("w.fieldsOfStudy"), F.array(*[F.lit(f) for f in fields])))
+    return found.select(*as_paper(**_s2(F.col("w"))))
 
 
 def read_s2_citations(df: DataFrame, payload: str = "value") -> DataFrame:

@@ -43,6 +43,12 @@ def test_search_resolves_entities(lib):
     assert [(r.title, r.source_api) for r in got] == [("Deep learning for proteins", "openalex"), ("Old deep learning", "arxiv")]
 
 
+def test_search_summary(lib):
+    r = lib.search_summary("deep learning", "openalex,crossref,arxiv,nowhere", year_from=2015, per_page=1).first()
+    assert (r.total, r.returned, r.duplicates_removed, r.sources_queried) == (4, 2, 1, ["openalex", "crossref", "arxiv"])
+    assert r.per_source == {"openalex": 1, "crossref": 1, "arxiv": 1}
+
+
 def test_search_journal(lib):
     assert {r.openalex_id for r in lib.search_journal_papers("00014273").collect()} == {"W1", "W2"}
 
@@ -68,14 +74,19 @@ def test_citations(lib):
     assert [r.work_id for r in lib.get_citations("10.1/d", "references").orderBy("rank").collect()] == ["W1", "W3"]
     got = lib.get_influential_citations("10.1/a").collect()
     assert [(r.is_influential, len(r.contexts)) for r in got] == [(False, 0), (True, 3)]
-    assert lib.get_citation_context("10.1/c", "10.1/a").first().intents == ["method"]
-    assert lib.get_citation_context("10.1/a", "10.1/c").count() == 0
+    there = lib.get_citation_context("10.1/c", "10.1/a").first()
+    assert there.found and there.intents == ["method"] and there.cited_title == "Deep learning for proteins"
+    gone = lib.get_citation_context("10.1/a", "10.1/c").collect()
+    assert [(r.found, r.intents) for r in gone] == [(False, None)]
 
 
 def test_network(lib):
     nodes, edges = lib.build_citation_network("10.1/d,10.1/zzz", 1)
     assert {(r.work_id, r.level) for r in nodes.collect()} == {("W5", 0), ("W1", 1), ("W3", 1)}
     assert {r.cited for r in edges.collect()} == {"W1", "W3", "W9"}
+    assert {(r.work_id, r.title) for r in nodes.collect()} >= {("W3", "Graph learning")}
+    assert lib.build_citation_network("10.1/d", 1, most_edges=2)[1].count() == 2
+    assert tuple(lib.citation_network_counts("10.1/d", 1).first()) == (3, 3)
 
 
 def test_co_citations(lib):
@@ -87,7 +98,11 @@ def test_co_citations(lib):
 def test_verification(lib):
     assert lib.verify_citation("Ann", 2020, "deep learning for proteins").first().confidence == "high"
     got = lib.batch_verify_references(json.dumps([{"title": "graph learning", "year": 2019}, {"title": "made up entirely"}])).orderBy("ref_id").collect()
-    assert [r.verified for r in got] == [True, False]
+    assert [(r.verified, r.doi, r.matched_title) for r in got] == [(True, "10.1/b", "Graph learning"), (False, "", "")]
+    # the author finds the work, the title alone is tested
+    one = lib.verify_citation("Ann", 2019, "proteins of the deep").first()
+    assert (one.verified, one.confidence, one.doi) == (True, "medium", "10.1/b")
+    assert not lib.batch_verify_references(json.dumps([{"author": "Ann", "title": "proteins of the deep", "year": 2019}])).first().verified
     assert lib.check_retraction("https://doi.org/10.1/B").first().retracted
     assert lib.check_open_access("10.1/A").first().oa_status == "gold" and lib.check_open_access("10.9/z").first().oa_status == "closed"
 

@@ -121,6 +121,49 @@ def test_strict_verification(spark):
     assert {(r.ref_id, r.verified, r.confidence) for r in verify.verify(refs, works, strict=True).collect()} == {(7, False, "low"), (8, False, "low")}
 
 
+def test_lcs_of_texts_of_any_length(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcde😀é ") for _ in range(n))
+    pairs = [(word(rng.randrange(n)), word(rng.randrange(n))) for n in (2, 30, 130, 200) for _ in range(15)] + [("", "a"), ("a", ""), ("x" * 60, "x" * 61), ("x" * 121, "x" * 121)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.n for r in df.select("i", texts.lcs_length(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert [got[i] for i in range(len(pairs))] == [lcs(a, b) for a, b in pairs]
+
+
+def test_ranks_within_tiers_of_any_share(spark):
+    from lectern.operators import curation
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["A", "A", "A", "B", None]), rng.randrange(4), rng.randrange(5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "work_id int, tier string, influential int, cited_by_count int").repartition(7)
+    got = {r.work_id: r.rank for r in curation.by_influence(df).collect()}
+    for tier in ("A", "B", None):
+        own = sorted((r for r in rows if r[1] == tier), key=lambda r: (-r[2], -r[3], r[0]))
+        assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_partial_names_equal_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice(["acta", "of", "soil", "letters", "bio", "journal", "x"])
+    titles = [(" ".join(word() for _ in range(rng.randrange(0, 4))), f"i{n}", n) for n in range(120)]
+    queries = [(n, " ".join(word() for _ in range(rng.randrange(1, 6)))) for n in range(80)]
+    t, q = spark.createDataFrame(titles, "title string, issn string, pos int"), spark.createDataFrame(queries, "qid int, q string")
+    got = {r.qid: r.issn for r in journals.by_partial_name(q, t).collect()}
+    want = {}
+    for i, n in queries:
+        hits = [(p, issn) for title, issn, p in titles if title and len(n) > 10 and (n in title or title in n)]
+        if hits:
+            want[i] = min(hits)[1]
+    assert got == want
+
+
+def test_more_complete_papers_of_one_first_author(spark):
+    title = "the long title of a paper on frozen soil"
+    rows = [(1, title, 2001, " Maar ", "", 0), (2, title + "s", 2001, "maar", "10.1/x", 3), (3, title, 2001, "Okoro", "10.1/y", 9), (4, title, None, "MAAR", "", 0), (5, title, 2002, "Maar", "", 0), (6, title, 2001, None, "", 0)]
+    df = spark.createDataFrame(rows, "id int, title string, year int, first_author string, doi string, cited_by_count int").selectExpr("*", "'' AS abstract", "1 AS n_authors", "'' AS journal")
+    assert sorted(tuple(r) for r in dedup.by_first_author(df, "id").collect()) == [(1, 2), (4, 2)]
+
+
 def test_title_fragment_is_tested_alone(spark):
     works = spark.createDataFrame([(1, "AI Adoption in Government", 2023, "Ann Doe", "10.1/x")], "work_id long, title string, year int, authors string, doi string")
     asked = [(1, "", "AI Adoption", 2023), (2, "Doe", "AI Adoption", 2023), (3, "Doe", "AI Adoption", 2022), (4, "Doe", "Public Sector", 2023), (5, "Doe", "Public Sector", 2022), (6, "Poe", "Forests", 2023)]

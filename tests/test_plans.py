@@ -32,14 +32,13 @@ def test_sources_are_one_scan_with_limits_before_the_shuffle(table):
     assert p.count("FileScan") == 1 and p.index("WindowGroupLimit") < p.rindex("Exchange") < p.rindex("WindowGroupLimit")
 
 
-#: Joins of single rows, and the one join that has no equality (against the titles of a ranking).
+#: Joins of single rows.
 SINGLE_ROWS = {"cohens_kappa", "dedup_summary", "krippendorffs_alpha"}
-NO_EQUALITY = {"rank_lookup_partial_name"}
 #: Workbooks are zip files, which only Python opens.
 WORKBOOKS = {"read_qualis_workbook"}
 
 
-@pytest.mark.parametrize("name", sorted(set(register.QUERIES) - SINGLE_ROWS - NO_EQUALITY))
+@pytest.mark.parametrize("name", sorted(set(register.QUERIES) - SINGLE_ROWS))
 def test_no_query_has_a_cartesian_product(spark, name):
     p = plan(register.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
