@@ -139,15 +139,18 @@ def fit(df: DataFrame, params: Params | None = None, text: str = "text", lang: s
                     held.append(features(count(part)).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], names=["lang", "x"])
 
-    found = rows.mapInArrow(run, "lang string, x binary").toArrow()
-    raw = found.column("x").to_pylist()
-    names = found.column("lang").to_pylist()
-    order = sorted(range(len(raw)), key=lambda i: (names[i], raw[i]))
-    if not raw:
+    found = rows.mapInArrow(run, "lang string, x binary").toArrow().combine_chunks()
+    names, raw = np.array(found.column("lang").to_pylist()), found.column("x").cast(pa.large_binary()).combine_chunks()
+    if not len(names):
         return None
-    x = np.stack([np.frombuffer(raw[i], np.float16) for i in order]).astype(np.float32)
+    raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+    held = np.frombuffer(raw.buffers()[2], np.float16, len(names) * p.buckets).reshape(len(names), p.buckets)
+    order = np.lexsort((*[held[:, j] for j in range(0, p.buckets, p.buckets // 64)], names))  # the same in whatever order rows come
     index = {k: i for i, k in enumerate(languages)}
-    return train(x, np.array([index[names[i]] for i in order], int), languages, p)
+    y = np.array([index[n] for n in names[order]], int)
+    x = held[order].astype(np.float32)
+    del found, raw, held
+    return train(x, y, languages, p)
 
 
 def _has_letter(raw: np.ndarray) -> bool:

@@ -8,15 +8,18 @@ has a posting for each two positions of a group, with the bytes there: two
 fingerprints with two equal bytes in one group share a posting.  At
 similarity 0.8 bytes are equal with probability 0.27, and a pair is missed
 with probability 0.003, less the more similar it is.  Pairs that meet are
-tallied (equal bytes) and measured (differing bits); what is left is verified
-by the Jaccard similarity of the shingles themselves, so no link is false.
+tallied (equal bytes) and measured (differing bits), and their sets' parities
+are compared: 1,024 classes of shingles, in no more of which sets can differ
+than in shingles, so that no similar pair is lost by it.  What is left is
+verified by the Jaccard similarity of the shingles themselves, so no link is
+false.
 
 Equal sets of shingles are one entry throughout.  First a star is drawn
 through each posting of three equal bytes and the nearest pairs of each entry
 are verified, which connects most of a group of near copies.  Then every two
 entries of a posting that aren't connected by then are compared.  Where many
 of these are close (texts alike that stay below the similarity) the posting is
-dense: a few of its entries are compared with all others, four times as many
+dense: a few of its entries are compared with all others, eight times as many
 each round, until every pair is compared or connected.
 """
 
@@ -41,6 +44,9 @@ from lectern.llm.shared import drop, schema_of, survivors, written
 
 #: Fingerprint: 64-bit words, groups of byte positions, positions in a group.
 WORDS, GROUPS, WIDTH = 6, 8, 6
+#: 64-bit words of parities.
+PARITIES = 16
+FIELDS = ["n", *[f"w{j}" for j in range(WORDS)], *[f"p{j}" for j in range(PARITIES)]]
 #: Postings up to this length are paired with shifts of the whole batch.
 SHORT = 16
 #: A posting with more entries, or with more close pairs than LINKS an entry, is dense.
@@ -79,22 +85,23 @@ class Near:
 
 
 def _marks(df: DataFrame, p: Near) -> DataFrame:
-    """(_id, _row, set, n, w0..w5) of df's (_id, _row, _body): its set's name and size, its fingerprint."""
+    """(_id, _row, set, n, w0.., p0..) of df's (_id, _row, _body): its set's name and size, its fingerprint and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             name, size = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
-            bits = np.zeros((batch.num_rows, WORDS), np.uint64)
+            bits = np.zeros((batch.num_rows, WORDS + PARITIES), np.uint64)
             for first, flat, n in kernel.sets(list(raw_texts(batch.column(2))), p.shingle):
                 some = slice(first, first + len(n))
                 ends = np.cumsum(n)
                 name[some] = [xxhash.xxh64_intdigest(flat[b - m : b].tobytes()) for b, m in zip(ends, n, strict=True)]
                 size[some] = n
-                bits[some] = kernel.simhash(flat, n, WORDS)
-            made = [pa.array(name.view(np.int64)), pa.array(size), *[pa.array(np.ascontiguousarray(bits[:, j]).view(np.int64)) for j in range(WORDS)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["_id", "_row", "set", "n", *[f"w{j}" for j in range(WORDS)]])
+                bits[some, :WORDS] = kernel.simhash(flat, n, WORDS)
+                bits[some, WORDS:] = kernel.parities(flat, n, PARITIES)
+            made = [pa.array(name.view(np.int64)), pa.array(size), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in bits.T]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["_id", "_row", "set", *FIELDS])
 
-    schema = schema_of(df, ["_id", "_row"], dict.fromkeys(["set", "n", *[f"w{j}" for j in range(WORDS)]], "bigint"))
+    schema = schema_of(df, ["_id", "_row"], dict.fromkeys(["set", *FIELDS], "bigint"))
     return df.select("_id", "_row", "_body").mapInArrow(run, schema)
 
 
@@ -200,9 +207,9 @@ def _meet(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from close(*held)
 
 
-def _bits(left: str, right: str) -> Column:
-    """Bits in which two fingerprints differ."""
-    each = [F.bit_count(F.col(f"{left}.w{j}").bitwiseXOR(F.col(f"{right}.w{j}"))) for j in range(WORDS)]
+def _bits(left: str, right: str, word: str = "w", n: int = WORDS) -> Column:
+    """Bits in which two fingerprints (or parities, p) differ."""
+    each = [F.bit_count(F.col(f"{left}.{word}{j}").bitwiseXOR(F.col(f"{right}.{word}{j}"))) for j in range(n)]
     return sum(each[1:], each[0])
 
 
@@ -219,10 +226,11 @@ def _equal_bytes(left: str, right: str) -> Column:
 
 
 def _possible(left: str, right: str, p: Near) -> Column:
-    """Whether tally, distance and sizes leave the similarity possible."""
+    """Whether sizes, distance, tally and parities leave the similarity s possible: s allows (n + m) (1 - s) / (1 + s) differences."""
     n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
     sizes = 100 * F.least(n, m) >= p.percent * F.greatest(n, m)
-    return sizes & (_bits(left, right) <= p.bits(64 * WORDS)) & (_equal_bytes(left, right) >= p.bytes)
+    apart = (100 + p.percent) * _bits(left, right, "p", PARITIES) <= (100 - p.percent) * (n + m)
+    return sizes & (_bits(left, right) <= p.bits(64 * WORDS)) & (_equal_bytes(left, right) >= p.bytes) & apart
 
 
 def _shingles(df: DataFrame, kinds: DataFrame, needed: DataFrame, p: Near) -> DataFrame:
@@ -272,42 +280,42 @@ class _Links:
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """(a, b, bits) of the pairs whose fingerprints leave the similarity possible."""
-        full = lambda side: self.kinds.select(F.col("set").alias(side), F.struct("n", *[f"w{j}" for j in range(WORDS)]).alias(f"_{side}"))
+        full = lambda side: self.kinds.select(F.col("set").alias(side), F.struct(*FIELDS).alias(f"_{side}"))
         return pairs.join(full("a"), "a").join(full("b"), "b").where(_possible("_a", "_b", self.p)).select("a", "b", _bits("_a", "_b").alias("bits"))
 
     def settle(self, pairs: DataFrame, most: int | None = None) -> None:
-        """Verify pairs (a, b, bits), the nearest of each entry first: until each is verified or connected by others, or ``most`` of an entry are."""
+        """Verify pairs (a, b, bits): the nearest FIRST of each entry, then all others that these don't connect, unless ``most`` of an entry are enough."""
         place = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
         ranked = pairs.withColumn("_at", place)
         ranked = written(ranked if most is None else ranked.where(F.col("_at") <= most))
-        low, width = 0, FIRST
         longest = ranked.agg(F.max("_at")).first()[0] or 0
-        held = _shingles(self.df, self.kinds, ranked.select(F.col("a").alias("set")).union(ranked.select("b")).distinct(), self.p) if longest else None
-        while low < longest:
-            now = ranked.where((F.col("_at") > low) & (F.col("_at") <= low + width))
-            now = self.rooted(self.rooted(now, "a", "_ra"), "b", "_rb").where("_ra <> _rb") if low else now
-            found = written(_similar(now.select("a", "b"), held, self.p))
-            if not found.isEmpty():
-                self.links = written(self.links.union(found))
-                self.roots = written(components(self.links))
-            low, width = low + width, 4 * width
-        if held is not None:
+        if longest:
+            held = _shingles(self.df, self.kinds, ranked.select(F.col("a").alias("set")).union(ranked.select("b")).distinct(), self.p)
+            self._verify(ranked.where(F.col("_at") <= FIRST).select("a", "b"), held)
+            if longest > FIRST:
+                rest = self.rooted(self.rooted(ranked.where(F.col("_at") > FIRST), "a", "_ra"), "b", "_rb").where("_ra <> _rb")
+                self._verify(rest.select("a", "b"), held)
             drop(held)
         drop(ranked)
 
+    def _verify(self, pairs: DataFrame, held: DataFrame) -> None:
+        found = written(_similar(pairs, held, self.p))
+        if not found.isEmpty():
+            self.links = written(self.links.union(found))
+            self.roots = written(components(self.links))
+
 
 def cluster(df: DataFrame, near: Near | None = None) -> DataFrame:
     """(_id, _row, component) of df's (_id, _row, _body); texts without words are one component."""
     p = near or Near()
-    words = [f"w{j}" for j in range(WORDS)]
     limit, sketch = p.bits(64), F.col(f"w{WORDS - 1}").alias("x")
     marks = written(_marks(df, p))
-    kinds = written(marks.groupBy("set").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in words]))
+    kinds = written(marks.groupBy("set").agg(F.min("_row").alias("_row"), *[F.first(c).alias(c) for c in FIELDS]))
     links = _Links(df, kinds, p)
     stars = _postings(kinds.select("*", sketch), STARS, "set", "x").sortWithinPartitions("k", "set").mapInArrow(lambda b: _draw_stars(limit, b), "a bigint, b bigint")
     links.settle(links.possible(stars.distinct()), FIRST)
 
-    rooted = links.rooted(kinds, "set", "root").select(*words, sketch, "root")
+    rooted = links.rooted(kinds, "set", "root").select(*[f"w{j}" for j in range(WORDS)], sketch, "root")
     found = written(_postings(rooted, KEYS, "x", "root").sortWithinPartitions("k").mapInArrow(lambda b: _meet(limit, b), "k bigint, a bigint, b bigint"))
     names = lambda out, at: kinds.select(F.col("set").alias(out), sketch.alias(at))
     met = found.where("k IS NULL").select(F.col("a").alias("xa"), F.col("b").alias("xb")).distinct()
@@ -331,7 +339,6 @@ def _settle_dense(dense: DataFrame, links: _Links, p: Near) -> None:
     sizes = written(dense.groupBy("k").agg(F.count("*").alias("size")))
     longest = sizes.agg(F.max("size")).first()[0] or 0
     low, width = 0, 4
-    words = ["n", *[f"w{j}" for j in range(WORDS)]]
     while low < longest:
         rooted = links.rooted(dense, "set", "root")
         several = rooted.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("k")
@@ -339,13 +346,13 @@ def _settle_dense(dense: DataFrame, links: _Links, p: Near) -> None:
         if left.isEmpty():
             break
         at = rooted.join(left, "k").withColumn("_at", place(17) * F.col("size")).withColumn("_ways", F.ceil(F.col("size") / SHARE).cast("int"))
-        entries = at.select("k", F.floor(place(18) * F.col("_ways")).cast("int").alias("salt"), F.struct("set", "root", *words).alias("e"))
+        entries = at.select("k", F.floor(place(18) * F.col("_ways")).cast("int").alias("salt"), F.struct("set", "root", *FIELDS).alias("e"))
         pivots = at.where((F.col("_at") >= low) & (F.col("_at") < low + width))
-        pivots = pivots.select("k", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("salt"), F.struct("set", "root", *words).alias("v"))
+        pivots = pivots.select("k", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("salt"), F.struct("set", "root", *FIELDS).alias("v"))
         met = entries.join(pivots.hint("shuffle_hash"), ["k", "salt"]).where((F.col("e.root") != F.col("v.root")) & _possible("e", "v", p))
         links.settle(met.select(F.col("v.set").alias("a"), F.col("e.set").alias("b"), _bits("v", "e").alias("bits")).distinct())
         drop(left)
-        low, width = low + width, 4 * width
+        low, width = low + width, 8 * width
     drop(sizes)
 
 

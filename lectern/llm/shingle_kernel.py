@@ -132,3 +132,22 @@ def simhash(shingles: np.ndarray, n: np.ndarray, lanes: int) -> np.ndarray:
         np.add.at(total, doc[at:to], sums.view(np.uint8).reshape(to - at, 64 * lanes))
         at = to
     return np.packbits(2 * total > n[:, None], axis=1).view(np.uint64)
+
+
+def parities(shingles: np.ndarray, n: np.ndarray, lanes: int) -> np.ndarray:
+    """Whether each set has an odd number of shingles in each of 64 x lanes classes, as ``lanes`` integers.
+
+    Two sets differ in no fewer shingles than parities.
+    """
+    out = np.empty((len(n), lanes), np.uint64)
+    classes = 64 * lanes
+    at, first = 0, 0
+    while first < len(n):
+        last = first + max(1, int(np.searchsorted(np.cumsum(n[first:]), 1 << 18)))
+        some = n[first:last]
+        names = shingles[at : at + int(some.sum())]
+        place = np.repeat(np.arange(len(some)) * classes, some) + (names >> U64(32)).astype(np.int64) % classes
+        odd = np.bincount(place, minlength=len(some) * classes).reshape(len(some), classes) & 1
+        out[first:last] = np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
+        at, first = at + len(names), last
+    return out

@@ -100,6 +100,15 @@ def test_kernel_counts_shingles_of_any_cut(monkeypatch):
     assert (first == fps[:6]).all() and not fps[0].any()
 
 
+def test_parities_bound_the_differences_from_below():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(0, 1500)), dtype=np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 60)), dtype=np.uint64))))
+        x = shingle_kernel.parities(np.concatenate((a, b)), np.array([len(a), len(b)]), neardup.PARITIES)
+        assert np.bitwise_count(x[0] ^ x[1]).sum() <= len(np.setxor1d(a, b))
+
+
 def test_null_and_repeated_ids_and_clashing_names(spark):
     a = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     b = "one two three four five six seven eight nine ten eleven twelve"
