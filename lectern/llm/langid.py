@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.ngrams import Counter, letters_only, raw_texts
-from lectern.llm.shared import map_arrow, others, quoted, schema_of, unused
+from lectern.llm.shared import map_arrow, others, quoted, same_name, schema_of
 
 UNKNOWN = "und"
 
@@ -169,9 +169,10 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     table; columns named like an output are replaced.
     """
     made = {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}
-    body = unused(df, "_body")
-    keep = others(df, *made)
-    base = df.select(*[quoted(c) for c in keep], quoted(text).alias(body))
+    keep, same = others(df, *made), same_name(df.sparkSession)
+    place = next((i for i, c in enumerate(keep) if same(c) == same(text)), len(keep))
+    extra = [quoted(text).alias("_body")] if place == len(keep) else []  # a text named like an output goes along to be read
+    base = df.select(*[quoted(c) for c in keep], *extra)
     held = df.sparkSession.sparkContext.broadcast(model)
     names = [*keep, *made]
 
@@ -193,7 +194,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 todo.clear()
                 x.clear()
 
-            for i, raw in enumerate(raw_texts(batch.column(len(keep)))):
+            for i, raw in enumerate(raw_texts(batch.column(place))):
                 if m and _has_letter(raw):
                     todo.append(i)
                     x.append(features(count(raw)))
@@ -201,6 +202,6 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                         settle()
             if x:
                 settle()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score), pa.array(unclear)], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(best, pa.string()), pa.array(score), pa.array(unclear)], names=names)
 
     return map_arrow(base, run, schema_of(df, keep, made))
