@@ -139,3 +139,26 @@ def pieces(lengths, window: int):
             at += step
     if held:
         yield held
+
+
+def doubled_ranks(data: np.ndarray, window: int) -> np.ndarray:
+    """Exact ranks of the windows at every start, by doubling: equal ranks are equal bytes.
+
+    The first ranks are bytes, eight of them read as a number.  Pairs (rank
+    at i, rank at i + offset) are sorted and numbered at offsets of 8, 16,
+    32 and so on, the last one at what the window's length leaves.
+    """
+    n = len(data) - window + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    length = min(8, window)
+    rank = np.zeros(len(data) - length + 1, U64)
+    for j in range(length):
+        rank = (rank << U64(8)) | data[j : len(data) - length + 1 + j].astype(U64)
+    rank = np.unique(rank, return_inverse=True)[1]
+    while length < window:
+        offset = min(length, window - length)
+        pairs = (rank[: len(rank) - offset].astype(U64) << U64(32)) | rank[offset:].astype(U64)
+        rank = np.unique(pairs, return_inverse=True)[1]
+        length += offset
+    return rank

@@ -2,26 +2,28 @@
 
 The suffix starts are the sparse but complete set of repeat_kernel: each
 window of ``window`` bytes designates one of them, so the verdict on a window
-is found at its designated start.  Spark sorts (rank, position) pairs round
-by round, each round's rank naming a longer run of bytes at the start:
-
-1. the designated gram (32 bytes).  A start whose gram is unique is settled:
-   all its windows are.  Starts whose whole stretch of windows is equal to an
-   earlier one's are settled too: all their windows repeat.
-2. two thirds of the window, at the offset that the windows' place to either
-   side of the gram asks for.  Unique ones are settled.
-3. the whole window: past the threshold, the first position of each rank
-   stays, every other window repeats.
-
-Round 3 runs within the sorted groups of round 2; where one group is large
-its windows are sorted by Spark under their own ranks, so no group is
-gathered in one task.  Grams that a share of all documents hold (found in a
-bounded sample, which decides nothing but the route) don't meet under their
-rank at all: their stretches are dealt by their whole bytes, then their
-windows by theirs.  Ranks are names
-of bytes (64 bits where a clash only costs work, 128 bits where it would
-decide), so every task gives equal bytes equal ranks without talking to the
-others.  Before each exchange a task keeps only its first of equal entries.
+is found at its designated start.  Spark sorts ranks and positions, new ranks
+are taken from the sorted order, and what is unique is settled:
+
+1. Starts are sorted by their gram (32 bytes); a gram's rank is its place.  A
+   unique one settles all windows of its start.  So does a stretch of windows
+   that equals an earlier one's as a whole: all of them repeat.
+2. Open starts are sorted by the pair (rank of the gram at the start, gram at
+   an offset of 32 bytes): to the right of it for windows that begin at most
+   36 bytes before the start, to its left for the others.  A pair's rank is
+   its place and stands for 64 bytes.  Unique ones are settled.
+3. Windows that begin in one of these groups are ranked by doubling their
+   prefixes, 8, 16, 32 and 64 bytes, pairs (rank at i, rank at i + offset)
+   being sorted each time, and last by the pair at an offset of 36, which
+   is past the threshold: the first position of each rank stays, every other
+   window repeats.  Ranks are exact, as the first are the bytes themselves.
+
+Large groups of round 2 aren't gathered: their windows are sorted by Spark
+under 128-bit names of their bytes.  So are grams that a share of all
+documents hold (found in a bounded sample, which decides nothing but the
+route); they don't meet under their rank at all, their stretches are dealt by
+their whole bytes.  Before each exchange a task keeps only its first of equal
+entries.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -51,26 +54,32 @@ NULL_ID = -(1 << 63)
 
 @dataclass(frozen=True)
 class Params:
-    """A gram is hot if this share of the sampled documents, and at least so many, hold it.
+    """A gram is hot if so large a share of the sampled documents hold it, and ``hot_least`` of them.
 
-    A document has about 3 designated grams in 100 bytes, so the hot grams
-    are at most its average number over ``hot_share``, however large the
-    corpus.
+    By default the share is a quarter of a task's part of all documents, so
+    no gram's entries are much of a task's, at any size.  A document has
+    about 3 designated grams in 100 bytes, so the hot grams are at most its
+    average number over the share, however large the corpus.  The sample has
+    as many documents as make ``hot_least`` of the share, at most ``sample``.
     """
 
     window: int = 100
     gram: int = 32
-    hot_share: float = 0.02
+    hot_share: float | None = None
     hot_least: int = 64
-    sample: int = 20_000
+    sample: int = 1_000_000
 
     @property
     def reach(self) -> int:
         return self.window - self.gram
 
     @property
-    def half(self) -> int:
-        return self.reach // 2
+    def offset(self) -> int:
+        """Of round 2's second gram: no window has room for less than one of its two sides."""
+        return min(self.gram, (self.reach + 1) // 2)
+
+    def share(self, tasks: int) -> float:
+        return min(0.02, 1 / (4 * tasks)) if self.hot_share is None else self.hot_share
 
 
 def _concat(parts: list[np.ndarray]) -> np.ndarray:
@@ -121,11 +130,13 @@ def _grams(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def hot_grams(keyed: DataFrame, p: Params) -> np.ndarray:
     """Names of the grams that a share of the documents hold, from a bounded sample drawn by hash."""
+    share = p.share(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = min(p.sample, max(20_000, int(p.hot_least / share))) if share else p.sample
     n = keyed.count()
     place = F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = keyed.select("_key", "_body") if n <= p.sample else keyed.select("_key", "_body").where(place < p.sample / n)
+    drawn = keyed.select("_key", "_body") if n <= most else keyed.select("_key", "_body").where(place < most / n)
     counts = drawn.mapInArrow(lambda b: _grams(p, b), "k bigint").groupBy("k").agg(F.count("*").alias("n"))
-    least = max(p.hot_least, int(p.hot_share * min(n, p.sample)))
+    least = max(p.hot_least, int(share * min(n, most)))
     return np.sort(np.array([r.k for r in counts.where(F.col("n") >= least).collect()], np.int64))
 
 
@@ -182,32 +193,39 @@ def _starts(p: Params, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> It
     yield from combined()
 
 
-RANGES = ["doc", "lo", "hi", "at"]
+RANGES = ["doc", "lo", "hi", "at", "rank"]
 
 
 def _rank_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Settled ranges (at = -1) and open stretches (at = designated start, marked if hot) from sorted starts."""
+    """Settled ranges (at = -1) and open stretches (at = designated start, marked if hot) from sorted starts.
+
+    An open stretch has its gram's rank: its place among the partition's grams.
+    """
+    context = TaskContext.get()
+    rank = (context.partitionId() if context else 0) << 40
     last_k = last_f = last_doc = last_lo = None
     pending = None  # the first stretch of the current gram, until another one shows up
 
     for batch in batches:
         k, f, doc, lo, ext = (batch.column(i).to_numpy() for i in range(5))
-        out = [[], [], [], []]
+        out = [[], [], [], [], []]
         done = ext < 0
         if done.any():
-            for held, x in zip(out, (doc[done], lo[done], lo[done] - 1 - ext[done], np.full(done.sum(), -1)), strict=True):
+            for held, x in zip(out, (doc[done], lo[done], lo[done] - 1 - ext[done], np.full(done.sum(), -1), np.zeros(done.sum(), np.int64)), strict=True):
                 held.append(x)
             k, f, doc, lo, ext = (x[~done] for x in (k, f, doc, lo, ext))
         if len(k):
             new_k = np.concatenate(([k[0] != last_k], k[1:] != k[:-1]))
             new_f = new_k | np.concatenate(([f[0] != last_f], f[1:] != f[:-1]))
+            ranks = rank + np.cumsum(new_k)
+            rank = int(ranks[-1])
             hi, at = lo + (ext & 0xFFFF), lo + (ext >> 16 & 0xFFFF) + (ext & HOT)
             # the position that a repeat is compared with: the first of its stretch
             where = np.maximum.accumulate(np.where(new_f, np.arange(len(k)), -1))
             head_doc = np.where(where >= 0, doc[where], last_doc if last_doc is not None else 0)
             head_lo = np.where(where >= 0, lo[where], last_lo if last_lo is not None else 0)
             repeat = ~new_f & ((doc != head_doc) | (lo != head_lo))
-            for held, x in zip(out, (doc[repeat], lo[repeat], hi[repeat], np.full(repeat.sum(), -1)), strict=True):
+            for held, x in zip(out, (doc[repeat], lo[repeat], hi[repeat], np.full(repeat.sum(), -1), np.zeros(repeat.sum(), np.int64)), strict=True):
                 held.append(x)
             heads = np.flatnonzero(new_f)
             if len(heads):
@@ -216,11 +234,11 @@ def _rank_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         held.append(np.array([x]))
                 follows = np.append(~new_k[heads[1:]], False)  # another stretch of this gram comes next
                 open_ = ~new_k[heads] | follows | (ext[heads] >= HOT)
-                for held, x in zip(out, (doc, lo, hi, at), strict=True):
+                for held, x in zip(out, (doc, lo, hi, at, ranks), strict=True):
                     held.append(x[heads[open_]])
                 h = heads[-1]
                 if new_k[h] and not open_[-1]:
-                    pending = (doc[h], lo[h], hi[h], at[h])
+                    pending = (doc[h], lo[h], hi[h], at[h], ranks[h])
                 else:
                     pending = None
                 last_doc, last_lo = doc[h], lo[h]
@@ -231,43 +249,48 @@ def _rank_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- rounds 2 and 3 -------------------------------------------------------
 
+HALVES = ["k", "n", "doc", "lo", "hi"]
+
+
 def _open_stretches(p: Params, batches: Iterator[pa.RecordBatch], key: int = 0, text: int = 1) -> Iterator[pa.RecordBatch]:
-    """(rank of two thirds, document, first window, last window, bytes) of the halves of open stretches.
+    """(rank at the start, gram at the offset, document, first window, last window, bytes) of the halves of open stretches.
 
+    The rank is turned to below zero where the second gram lies to the left.
     Halves of hot stretches are marked in ``hi`` and dealt evenly.
     """
-    names = ["k", "doc", "lo", "hi", "raw"]
+    names = [*HALVES, "raw"]
     for batch in batches:
         ids = batch.column(key).to_numpy()
         listed = batch.column(batch.num_columns - 1)
         offsets, fields = listed.offsets.to_numpy(), listed.values
-        lo_all, hi_all, at_all = (fields.field(i).to_numpy() for i in range(3))
+        lo_all, hi_all, at_all, rank_all = (fields.field(i).to_numpy() for i in range(4))
         out: list[list] = [[] for _ in names]
         size = 0
         for i, raw in enumerate(raw_texts(batch.column(text))):
             some = slice(offsets[i], offsets[i + 1])
-            lo, hi, at = lo_all[some], hi_all[some], at_all[some]
+            lo, hi, at, rank = lo_all[some], hi_all[some], at_all[some], rank_all[some]
             many, at = at >= HOT, at % HOT
-            for a, b, core_a, core_b in (
-                (np.maximum(lo, at - p.half), np.minimum(hi, at), at, at + p.window - p.half),
-                (np.maximum(lo, at - p.reach), np.minimum(hi, at - p.half - 1), at - p.half - 1, at + p.window - p.reach),
+            for a, b, second, k in (
+                (np.maximum(lo, at - (p.reach - p.offset)), np.minimum(hi, at), at + p.offset, rank),
+                (np.maximum(lo, at - p.reach), np.minimum(hi, at - (p.reach - p.offset) - 1), at - p.offset, -1 - rank),
             ):
                 real = np.flatnonzero(a <= b)
                 if not len(real):
                     continue
                 # names of substrings of this document alone, whatever its length
-                names_of = _names_at(raw, core_a[real], core_b[real])
-                out[1].append(np.full(len(real), ids[i]))
-                out[0].append(np.where(many[real], _spread(out[1][-1], a[real]), names_of))
-                out[2].append(a[real])
-                out[3].append(b[real] + np.where(many[real], HOT, 0))
-                out[4] += [raw[x : y + p.window].tobytes() for x, y in zip(a[real], b[real], strict=True)]
+                gram = _names_at(raw, second[real], second[real] + p.gram)
+                out[2].append(np.full(len(real), ids[i]))
+                out[0].append(np.where(many[real], _spread(out[2][-1], a[real]), k[real]))
+                out[1].append(gram)
+                out[3].append(a[real])
+                out[4].append(b[real] + np.where(many[real], HOT, 0))
+                out[5] += [raw[x : y + p.window].tobytes() for x, y in zip(a[real], b[real], strict=True)]
                 size += len(real)
             if size > 20_000:
-                yield pa.RecordBatch.from_arrays([*[pa.array(_concat(x)) for x in out[:4]], pa.array(out[4], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.array(_concat(x)) for x in out[:5]], pa.array(out[5], pa.binary())], names=names)
                 out, size = [[] for _ in names], 0
         if size:
-            yield pa.RecordBatch.from_arrays([*[pa.array(_concat(x)) for x in out[:4]], pa.array(out[4], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.array(_concat(x)) for x in out[:5]], pa.array(out[5], pa.binary())], names=names)
 
 
 def _names_at(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -285,14 +308,18 @@ def _names_at(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 WINDOWS = ["n1", "n2", "doc", "lo", "hi"]
 
 
-def _windows(p: Params, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, raws: list[bytes]):
-    """(name, name, document, start) of every window of the stretches."""
+def _windows(p: Params, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, raws: list[bytes], exact: bool):
+    """(name, name, document, start) of every window of the stretches; an exact name is a rank, the second one 0."""
     data = np.frombuffer(b"".join(raws), np.uint8)
     n = hi - lo + 1
     begin = np.cumsum(np.concatenate(([0], (n + p.window - 1)[:-1])))
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(begin, n) + step
-    n1, n2 = (kernel.Names(data, w).at(at, at + p.window).view(np.int64) for w in (0, 1))
+    if exact:
+        n1 = kernel.doubled_ranks(data, p.window)[at]
+        n2 = np.zeros(len(n1), np.int64)
+    else:
+        n1, n2 = (kernel.Names(data, w).at(at, at + p.window).view(np.int64) for w in (0, 1))
     return n1, n2, np.repeat(doc, n), np.repeat(lo, n) + step
 
 
@@ -309,6 +336,7 @@ def _rank_windows(n1, n2, doc, at):
 def _rank_stretches(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeating windows of round 2's sorted groups; windows of large groups, to be sorted by themselves."""
     hot = None
+    rank, last = 0, None  # of the current pair (rank, gram at the offset): its place
 
     def settle(k, doc, lo, hi, raws, whole: bool) -> Iterator[pa.RecordBatch]:
         """whole: the groups are complete, so the first of each rank is settled too."""
@@ -322,7 +350,7 @@ def _rank_stretches(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             doc, lo, hi, raws = doc[pick], lo[pick], hi[pick], [raws[i] for i in pick]
         for at in range(0, len(doc), GROUP) if not whole else (0,):
             some = slice(at, at + GROUP) if not whole else slice(None)
-            (n1, n2, d, w), first, repeat = _rank_windows(*_windows(p, doc[some], lo[some], hi[some], raws[some]))
+            (n1, n2, d, w), first, repeat = _rank_windows(*_windows(p, doc[some], lo[some], hi[some], raws[some], whole))
             a, x, y = merged(d[repeat], w[repeat], w[repeat])
             if len(a):
                 yield _batch(WINDOWS, [_spread(a, x), np.zeros(len(a)), a, x, y])
@@ -332,8 +360,13 @@ def _rank_stretches(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     parts: list[tuple] = []
     size = 0
     for batch in batches:
-        k, doc, lo, hi = (batch.column(i).to_numpy() for i in range(4))
-        raws = batch.column(4).to_pylist()
+        k, n, doc, lo, hi = (batch.column(i).to_numpy() for i in range(5))
+        raws = batch.column(5).to_pylist()
+        if not len(k):
+            continue
+        new = np.concatenate(([last != (k[0], n[0])], (k[1:] != k[:-1]) | (n[1:] != n[:-1])))
+        last, k = (k[-1], n[-1]), rank + np.cumsum(new)
+        rank = int(k[-1])
         many = hi >= HOT
         if many.any():
             yield from settle(k[many], doc[many], lo[many], hi[many] - HOT, [r for r, m in zip(raws, many, strict=True) if m], False)
@@ -417,17 +450,17 @@ def repeated_ranges(keyed: DataFrame, p: Params, text: str) -> DataFrame:
     ``keyed`` has a bigint _key.  Round 2 carries all its columns, so that
     its shuffle of the texts is the one that the result needs as well.
     """
-    longs = lambda names: ", ".join(f"{n} bigint" for n in names)
+    longs = lambda names: ", ".join(f"`{n}` bigint" for n in names)
     bare = keyed.select("_key", F.col(text).alias("_body"))
     hot = hot_grams(bare, p)
     starts = bare.mapInArrow(lambda b: _starts(p, hot, b), longs(ROUND1))
     ranked = starts.repartition("k").sortWithinPartitions("k", "f", "doc", "lo").mapInArrow(_rank_grams, longs(RANGES))
     ranked = written(ranked)
-    listed = ranked.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("_open"))
+    listed = ranked.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "at", "rank")).alias("_open"))
     some = keyed.join(listed.hint("shuffle_hash"), F.col("_key") == F.col("doc")).select(*keyed.columns, "_open")
     places = keyed.columns.index("_key"), keyed.columns.index(text)
-    halves = some.mapInArrow(lambda b: _open_stretches(p, b, *places), "k bigint, doc bigint, lo bigint, hi bigint, raw binary")
-    windows = halves.repartition("k").sortWithinPartitions("k", "doc", "lo").mapInArrow(lambda b: _rank_stretches(p, b), longs(WINDOWS))
+    halves = some.mapInArrow(lambda b: _open_stretches(p, b, *places), longs(HALVES) + ", raw binary")
+    windows = halves.repartition("k", "n").sortWithinPartitions("k", "n", "doc", "lo").mapInArrow(lambda b: _rank_stretches(p, b), longs(WINDOWS))
     late = windows.repartition("n1").sortWithinPartitions("n1", "n2", "doc", "lo").mapInArrow(_rank_hot_windows, longs(RANGES[:3]))
     return ranked.where("at < 0").select("doc", "lo", "hi").union(late)
 

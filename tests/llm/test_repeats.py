@@ -65,11 +65,11 @@ def test_equals_brute_force(monkeypatch, seed, group, share):
     grouped = {}
     for r in ranked:
         if r["at"] >= 0:
-            grouped.setdefault(r["doc"], []).append({"lo": r["lo"], "hi": r["hi"], "at": r["at"]})
-    listed = pa.list_(pa.struct([("lo", i64), ("hi", i64), ("at", i64)]))
+            grouped.setdefault(r["doc"], []).append({c: r[c] for c in ("lo", "hi", "at", "rank")})
+    listed = pa.list_(pa.struct([(c, i64) for c in ("lo", "hi", "at", "rank")]))
     some = [{"doc": d, "raw": texts[d], "open": g} for d, g in grouped.items()]
     halves = rows(repeats._open_stretches(p, batches(some, ["doc", "raw", "open"], [i64, pa.string(), listed], ["doc"])))
-    windows = rows(repeats._rank_stretches(p, batches(halves, ["k", "doc", "lo", "hi", "raw"], [i64] * 4 + [pa.binary()], ["k", "doc", "lo"], 4)))
+    windows = rows(repeats._rank_stretches(p, batches(halves, [*repeats.HALVES, "raw"], [i64] * 5 + [pa.binary()], ["k", "n", "doc", "lo"], 4)))
     late = rows(repeats._rank_hot_windows(batches(windows, repeats.WINDOWS, [i64] * 5, ["n1", "n2", "doc", "lo"])))
     got = {i: bytearray(len(t.encode())) for i, t in docs}
     for r in [r for r in ranked if r["at"] < 0] + late:
@@ -78,6 +78,18 @@ def test_equals_brute_force(monkeypatch, seed, group, share):
         assert bytes(c for c, g in zip(t.encode(), got[i]) if not g) == want[i][3], (i, t)
 
 
+@pytest.mark.parametrize("window", [3, 8, 10, 16, 33, 100])
+def test_doubled_ranks_are_exact(window):
+    rng = np.random.default_rng(window)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    data[150:290] = data[:140]
+    ranks = repeat_kernel.doubled_ranks(data, window)
+    seen = {}
+    for i, r in enumerate(ranks.tolist()):
+        assert seen.setdefault(r, data[i : i + window].tobytes()) == data[i : i + window].tobytes()
+    assert len(ranks) == 400 - window + 1 and len(seen) == len(set(seen.values())) and len(repeat_kernel.doubled_ranks(data[:2], 3)) == 0
+
+
 @pytest.mark.parametrize("hot_least", [64, 2])
 def test_operator_equals_brute_force(spark, hot_least):
     docs = corpus(3)
