@@ -13,6 +13,8 @@ import random
 import time
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -87,6 +89,34 @@ def harvest(source: str, calls: dict[str, Callable[[], tuple[int, dict, str]]],
     return failed
 
 
+def download_pdf(url: str, path: str, get: Callable[[str], tuple[int, dict, bytes]]) -> dict:
+    """Save what a url gives under ``path``, with the folders that it needs: saved_to, size_mb and url, or error and url.
+
+    ``get`` returns (status, headers, body).  What doesn't call itself a PDF
+    is refused, unless the path ends in .pdf.
+    """
+    try:
+        status, headers, body = get(url)
+    except (OSError, TimeoutError) as e:
+        return {"error": str(e), "url": url}
+    kind = {k.lower(): v for k, v in headers.items()}.get("content-type", "")
+    if status >= 400:
+        return {"error": f"HTTP {status}", "url": url}
+    if "pdf" not in kind and not path.endswith(".pdf"):
+        return {"error": f"not a PDF but {kind or 'of no stated type'}", "url": url}
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(body)
+    return {"saved_to": path, "size_mb": round(len(body) / (1 << 20), 2), "url": url}
+
+
+def guides(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of the Markdown files under a folder, each as a whole; the name is the file's."""
+    texts = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.md$", 1)
+    return texts.select(name.alias("name"), F.col("value").alias("text"))
+
+
 def with_retries(call: Callable[[], tuple[int, dict, str]], sleep: Callable[[float], None], tries: int = 3, first: float = 1.0, most: float = 30.0, jitter: float = 2.0) -> str:
     """Body of a response; 429, server errors and timeouts are tried again with growing waits.
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.schema import PAPER
+from lectern.settings import Settings
 from lectern.sources import rankings, snapshots, works
 
 WORK = {
@@ -200,6 +201,29 @@ def test_pace_and_harvest(tmp_path):
     assert [p.name for p in (tmp_path / "crossref").iterdir()] == ["a.json"] and (tmp_path / "crossref" / "a.json").read_text() == "body"
 
 
+def test_pdfs_are_saved_or_refused(tmp_path):
+    path = str(tmp_path / "new" / "a.bin")
+    got = snapshots.download_pdf("u", path, lambda u: (200, {"Content-Type": "application/pdf"}, b"%PDF" * (1 << 18)))
+    assert got == {"saved_to": path, "size_mb": 1.0, "url": "u"} and (tmp_path / "new" / "a.bin").read_bytes()[:4] == b"%PDF"
+    assert "error" in snapshots.download_pdf("u", path + "x", lambda u: (200, {"content-type": "text/html"}, b"<html>"))
+    assert snapshots.download_pdf("u", path + ".pdf", lambda u: (200, {}, b"%PDF"))["size_mb"] == 0.0
+    assert snapshots.download_pdf("u", path, lambda u: (404, {}, b""))["error"] == "HTTP 404"
+
+
+def test_guides(spark, tmp_path):
+    (tmp_path / "one.md").write_text("# One\n\ntext\n")
+    (tmp_path / "two.txt").write_text("no")
+    assert [tuple(r) for r in snapshots.guides(spark, str(tmp_path)).collect()] == [("one", "# One\n\ntext\n")]
+
+
+def test_settings():
+    s = Settings.of({"POLITE_EMAIL": " ann@uni.edu ", "LOG_LEVEL": "debug", "CACHE_ENABLED": "false", "OTHER": "x"})
+    assert (s.polite_email, s.log_level, s.cache_enabled, s.user_agent) == ("ann@uni.edu", "DEBUG", False, "lectern (mailto:ann@uni.edu)")
+    for wrong in ({}, {"POLITE_EMAIL": "nobody"}, {"POLITE_EMAIL": "ann@example.com"}, {"POLITE_EMAIL": "NoReply@uni.edu"}, {"POLITE_EMAIL": "a@b.c", "LOG_LEVEL": "loud"}, {"POLITE_EMAIL": "a@b.c", "LOG_FORMAT": "xml"}):
+        with pytest.raises(ValueError):
+            Settings.of(wrong)
+
+
 def test_a_folder_of_files_is_read_in_order(spark, tmp_path):
     for i in (1, 0):
         (tmp_path / f"{i}.csv").write_text("issn,journal,subject,ajg_abs2024\n" + "".join(f"0001-4273,J{i}{n},S,{i}\n" for n in range(3)))
