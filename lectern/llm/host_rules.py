@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.expr import let
-from lectern.llm.shared import attach, written
+from lectern.llm.shared import attach, quoted, written
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -79,7 +79,7 @@ def figures(text: Column) -> Column:
 def measure(df: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, failed."""
     out = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    x = df.drop(*[c for c in [*out, "base_failed", "failed", "_f"] if c != text]).withColumn("_f", figures(F.col(text)))
+    x = df.drop(*[c for c in [*out, "base_failed", "failed", "_f"] if c != text]).withColumn("_f", figures(quoted(text)))
     x = x.withColumns({c: F.col(f"_f.l.{c}" if "line" in c else "_f.n_symbols" if c == "n_symbols" else f"_f.w.{c}") for c in out}).drop("_f")
     base = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     more = (100 * F.col("n_symbols") > rules.max_symbol_percent * F.col("word_chars")) | (100 * F.col("n_dup_lines") > rules.max_dup_line_percent * F.col("n_lines"))
@@ -93,7 +93,7 @@ def host_verdicts(measured: DataFrame, rules: Rules, host: str = "source") -> tu
     binomial noise.  With one host, or no such variance, its weight is the
     largest allowed.
     """
-    hosts = measured.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("bigint")).alias("n_failed"))
+    hosts = measured.where(quoted(host).isNotNull()).groupBy(quoted(host).alias(host)).agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("bigint")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n")
     s = hosts.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("n_failed").alias("f"), F.avg(rate).alias("m"), F.var_samp(rate).alias("v"), F.avg(1 / F.col("n")).alias("inverse")).first()
     if not s.k:
@@ -119,6 +119,6 @@ def judge(df: DataFrame, rules: Rules | None = None, text: str = "text", host: s
     rules = rules or Rules()
     held = written(measure(df, rules, text).drop(text, "host_rejected", "kept"))
     hosts, n = host_verdicts(held, rules, host)
-    out = attach(held, hosts.select(host, "host_rejected"), host, n)
+    out = attach(held, hosts.select(quoted(host), "host_rejected"), host, n)
     out = out.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
