@@ -164,6 +164,21 @@ def test_more_complete_papers_of_one_first_author(spark):
     assert sorted(tuple(r) for r in dedup.by_first_author(df, "id").collect()) == [(1, 2), (4, 2)]
 
 
+def test_no_folder_of_one_machine_on_a_cluster(tmp_path):
+    from types import SimpleNamespace as Of
+
+    from lectern.folders import shared_folder
+
+    made = []
+    context = lambda master, own: Of(master=master, setCheckpointDir=made.append, _jsc=Of(sc=lambda: Of(getCheckpointDir=lambda: Of(isDefined=lambda: bool(own or made), get=lambda: own or made[-1]))))
+    session = lambda at, master="yarn", own=None: Of(conf=Of(get=lambda name, other: at), sparkContext=context(master, own))
+    assert shared_folder(session("hdfs:///shared/")) == "hdfs:///shared" and shared_folder(session(None, own="s3://x/y")) == "s3://x/y"
+    for master in ("yarn", "spark://a:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(None, master))
+    assert shared_folder(session(None, "local[4]")) == made[0]
+
+
 def test_title_fragment_is_tested_alone(spark):
     works = spark.createDataFrame([(1, "AI Adoption in Government", 2023, "Ann Doe", "10.1/x")], "work_id long, title string, year int, authors string, doi string")
     asked = [(1, "", "AI Adoption", 2023), (2, "Doe", "AI Adoption", 2023), (3, "Doe", "AI Adoption", 2022), (4, "Doe", "Public Sector", 2023), (5, "Doe", "Public Sector", 2022), (6, "Poe", "Forests", 2023)]
