@@ -26,7 +26,7 @@ each round, until every pair is compared or connected.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import shingle_kernel as kernel
 from lectern.llm.components import components
+from lectern.llm.expr import let
 from lectern.llm.ngrams import raw_texts
 from lectern.llm.shared import drop, schema_of, survivors, written
 
@@ -46,7 +47,8 @@ from lectern.llm.shared import drop, schema_of, survivors, written
 WORDS, GROUPS, WIDTH = 6, 8, 6
 #: 64-bit words of parities.
 PARITIES = 16
-FIELDS = ["n", *[f"w{j}" for j in range(WORDS)], *[f"p{j}" for j in range(PARITIES)]]
+#: What a set is compared by: its size, fingerprint and parities.
+FIELDS = {"n": "bigint", "w": "array<bigint>", "p": "array<bigint>"}
 #: Postings up to this length are paired with shifts of the whole batch.
 SHORT = 16
 #: A posting with more entries, or with more close pairs than LINKS an entry, is dense.
@@ -85,38 +87,33 @@ class Near:
 
 
 def _marks(df: DataFrame, p: Near) -> DataFrame:
-    """(_id, _row, set, n, w0.., p0..) of df's (_id, _row, _body): its set's name and size, its fingerprint and parities."""
+    """(_id, _row, set, n, w, p) of df's (_id, _row, _body): its set's name and size, its fingerprint and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             name, size = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
-            bits = np.zeros((batch.num_rows, WORDS + PARITIES), np.uint64)
+            bits, odd = np.zeros((batch.num_rows, WORDS), np.uint64), np.zeros((batch.num_rows, PARITIES), np.uint64)
             for first, flat, n in kernel.sets(list(raw_texts(batch.column(2))), p.shingle):
                 some = slice(first, first + len(n))
                 ends = np.cumsum(n)
                 name[some] = [xxhash.xxh64_intdigest(flat[b - m : b].tobytes()) for b, m in zip(ends, n, strict=True)]
                 size[some] = n
-                bits[some, :WORDS] = kernel.simhash(flat, n, WORDS)
-                bits[some, WORDS:] = kernel.parities(flat, n, PARITIES)
-            made = [pa.array(name.view(np.int64)), pa.array(size), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in bits.T]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["_id", "_row", "set", *FIELDS])
+                bits[some] = kernel.simhash(flat, n, WORDS)
+                odd[some] = kernel.parities(flat, n, PARITIES)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel().view(np.int64))) for x in (bits, odd)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name.view(np.int64)), pa.array(size), *lists], names=["_id", "_row", "set", *FIELDS])
 
-    schema = schema_of(df, ["_id", "_row"], dict.fromkeys(["set", *FIELDS], "bigint"))
-    return df.select("_id", "_row", "_body").mapInArrow(run, schema)
-
-
-def _key(at: int, places: tuple[int, ...]) -> Column:
-    """Number of a posting: which positions, and the bytes there."""
-    out = F.lit(at << 24).cast("bigint")
-    for i, p in enumerate(places):
-        byte = F.shiftrightunsigned(F.col(f"w{p // 8}"), 8 * (p % 8)).bitwiseAND(F.lit(255).cast("bigint"))
-        out = out.bitwiseOR(F.shiftleft(byte, 8 * i))
-    return out
+    return df.select("_id", "_row", "_body").mapInArrow(run, schema_of(df, ["_id", "_row"], {"set": "bigint"} | FIELDS))
 
 
 def _postings(kinds: DataFrame, positions: list[tuple[int, ...]], *columns: str) -> DataFrame:
-    """Entries under each of the positions, dealt by posting."""
-    return kinds.select(F.explode(F.array(*[_key(at, places) for at, places in enumerate(positions)])).alias("k"), *columns).repartition("k")
+    """Entries under each of the positions, dealt by posting: which positions, and the bytes there."""
+    chosen = F.array(*[F.array(*[F.lit(p) for p in places]) for places in positions])  # folded to one constant
+    word = lambda p: F.get("w", F.floor(p / 8).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(8 * WORDS - 1)), lambda p: F.call_function("shiftrightunsigned", word(p), 8 * (p % 8)).bitwiseAND(F.lit(255).cast("bigint")))
+    key = lambda held, places, at: F.aggregate(places, at.cast("bigint"), lambda k, p: k * 256 + F.get(held, p))
+    keys = let(every, lambda held: F.transform(chosen, lambda places, at: key(held, places, at)))
+    return kinds.select(F.explode(keys).alias("k"), *columns).repartition("k")
 
 
 def _draw_stars(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,29 +204,33 @@ def _meet(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from close(*held)
 
 
-def _bits(left: str, right: str, word: str = "w", n: int = WORDS) -> Column:
+def _total(left: str, right: str, field: str, of: Callable[[Column], Column]) -> Column:
+    """Sum of ``of`` each word in which two sets' bits differ."""
+    each = F.zip_with(F.col(f"{left}.{field}"), F.col(f"{right}.{field}"), lambda x, y: of(x.bitwiseXOR(y)))
+    return F.aggregate(each, F.lit(0), lambda a, n: a + n)
+
+
+def _bits(left: str, right: str, field: str = "w") -> Column:
     """Bits in which two fingerprints (or parities, p) differ."""
-    each = [F.bit_count(F.col(f"{left}.{word}{j}").bitwiseXOR(F.col(f"{right}.{word}{j}"))) for j in range(n)]
-    return sum(each[1:], each[0])
+    return _total(left, right, field, F.bit_count)
 
 
 def _equal_bytes(left: str, right: str) -> Column:
     """Tally of the positions at which two fingerprints have the same byte."""
 
-    def unequal(j: int) -> Column:
-        x = F.col(f"{left}.w{j}").bitwiseXOR(F.col(f"{right}.w{j}"))
+    def equal(x: Column) -> Column:
         for by in (4, 2, 1):  # the lowest bit of each byte gathers its others
             x = x.bitwiseOR(F.shiftrightunsigned(x, by))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+        return F.lit(8) - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
-    return sum((-unequal(j) for j in range(WORDS)), F.lit(8 * WORDS))
+    return _total(left, right, "w", equal)
 
 
 def _possible(left: str, right: str, p: Near) -> Column:
     """Whether sizes, distance, tally and parities leave the similarity s possible: s allows (n + m) (1 - s) / (1 + s) differences."""
     n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
     sizes = 100 * F.least(n, m) >= p.percent * F.greatest(n, m)
-    apart = (100 + p.percent) * _bits(left, right, "p", PARITIES) <= (100 - p.percent) * (n + m)
+    apart = (100 + p.percent) * _bits(left, right, "p") <= (100 - p.percent) * (n + m)
     return sizes & (_bits(left, right) <= p.bits(64 * WORDS)) & (_equal_bytes(left, right) >= p.bytes) & apart
 
 
@@ -308,14 +309,14 @@ class _Links:
 def cluster(df: DataFrame, near: Near | None = None) -> DataFrame:
     """(_id, _row, component) of df's (_id, _row, _body); texts without words are one component."""
     p = near or Near()
-    limit, sketch = p.bits(64), F.col(f"w{WORDS - 1}").alias("x")
+    limit, sketch = p.bits(64), F.get("w", WORDS - 1).alias("x")
     marks = written(_marks(df, p))
     kinds = written(marks.groupBy("set").agg(F.min("_row").alias("_row"), *[F.first(c).alias(c) for c in FIELDS]))
     links = _Links(df, kinds, p)
     stars = _postings(kinds.select("*", sketch), STARS, "set", "x").sortWithinPartitions("k", "set").mapInArrow(lambda b: _draw_stars(limit, b), "a bigint, b bigint")
     links.settle(links.possible(stars.distinct()), FIRST)
 
-    rooted = links.rooted(kinds, "set", "root").select(*[f"w{j}" for j in range(WORDS)], sketch, "root")
+    rooted = links.rooted(kinds, "set", "root").select("w", sketch, "root")
     found = written(_postings(rooted, KEYS, "x", "root").sortWithinPartitions("k").mapInArrow(lambda b: _meet(limit, b), "k bigint, a bigint, b bigint"))
     names = lambda out, at: kinds.select(F.col("set").alias(out), sketch.alias(at))
     met = found.where("k IS NULL").select(F.col("a").alias("xa"), F.col("b").alias("xb")).distinct()
