@@ -778,12 +778,12 @@ def influence_tiebreak(spark, d):
     + ", "
     + ctes("works").removeprefix("WITH ")
     + f""", records AS (SELECT DISTINCT {norm("lpad(CAST(p_partkey * 7 AS VARCHAR), 8, '0')")} AS issn FROM part)
-SELECT DISTINCT issn FROM works WHERE issn NOT IN (SELECT issn FROM sjr) AND issn NOT IN (SELECT issn FROM qualis) AND issn NOT IN (SELECT issn FROM jql) AND issn NOT IN (SELECT issn FROM records)"""
+SELECT DISTINCT issn FROM works WHERE issn NOT IN (SELECT issn FROM sjr WHERE quartile <> 'Q0') AND issn NOT IN (SELECT issn FROM qualis) AND issn NOT IN (SELECT issn FROM jql) AND issn NOT IN (SELECT issn FROM records)"""
 )
 def predatory_screen(spark, d):
-    """Journals that neither a ranking nor the sources' own records know."""
+    """Journals that no ranking grades and the sources' own records don't know (Q0 stands for a journal without a quartile)."""
     records = spark.read.parquet(f"{d}/part.parquet").select(identifiers.normalize_issn(F.lpad((F.col("p_partkey") * 7).cast("string"), 8, "0")).alias("issn"))
-    return curation.unlisted(works(spark, d).select("issn").distinct(), sjr(spark, d), qualis(spark, d), jql(spark, d), records)
+    return curation.unlisted(works(spark, d).select("issn").distinct(), sjr(spark, d).where("quartile <> 'Q0'"), qualis(spark, d), jql(spark, d), records)
 
 
 @query(

@@ -33,7 +33,7 @@ def test_sources_are_one_scan_with_limits_before_the_shuffle(table):
 
 
 #: Joins of single rows.
-SINGLE_ROWS = {"cohens_kappa", "dedup_summary", "krippendorffs_alpha"}
+SINGLE_ROWS = {"citation_network_counts", "cohens_kappa", "dedup_summary", "krippendorffs_alpha"}
 #: Workbooks are zip files, which only Python opens.
 WORKBOOKS = {"read_qualis_workbook"}
 
