@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class Harvest(DataSource):
-    """Options: path (a folder of <source>/<key>.json or .xml files that all executors see), source."""
+    """Options: path (a folder of <source>/<key>.json or .xml files that all executors see), source, files (a partition's, 200 by default)."""
 
     @classmethod
     def name(cls) -> str:
@@ -34,16 +34,21 @@ class Harvest(DataSource):
 
 class HarvestReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root, self.only = options["path"], options.get("source")
+        self.root, self.only, self.files = options["path"], options.get("source"), max(1, int(options.get("files", 200)))
 
     def partitions(self) -> list[InputPartition]:
         names = [self.only] if self.only else sorted(os.listdir(self.root))
-        return [InputPartition((n, f)) for n in names for f in sorted(os.listdir(os.path.join(self.root, n)))]
+        out = []
+        for n in names:
+            files = sorted(os.listdir(os.path.join(self.root, n)))
+            out += [InputPartition((n, files[i : i + self.files])) for i in range(0, len(files), self.files)]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        source, name = partition.value
-        with open(os.path.join(self.root, source, name), encoding="utf-8") as f:
-            yield source, os.path.splitext(name)[0], f.read()
+        source, names = partition.value
+        for name in names:
+            with open(os.path.join(self.root, source, name), encoding="utf-8") as f:
+                yield source, os.path.splitext(name)[0], f.read()
 
 
 # Requests a second that each source asks its users to keep to; answers that are worth another try.

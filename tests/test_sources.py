@@ -171,6 +171,7 @@ def test_harvest_source(spark, tmp_path):
     spark.dataSource.register(snapshots.Harvest)
     df = spark.read.format("harvest").option("path", str(tmp_path)).load()
     assert {(r.source, r.n) for r in df.groupBy("source").agg(F.count("*").alias("n")).collect()} == {("openalex", 2), ("arxiv", 1)}
+    assert df.rdd.getNumPartitions() == 2 and spark.read.format("harvest").option("path", str(tmp_path)).option("files", "1").load().rdd.getNumPartitions() == 3
     one = spark.read.format("harvest").option("path", str(tmp_path)).option("source", "openalex").load()
     assert works.read_openalex(one).count() == 2
 
