@@ -15,12 +15,13 @@ verified by the Jaccard similarity of the shingles themselves, so no link is
 false.
 
 Equal sets of shingles are one entry throughout.  First a star is drawn
-through each posting of three equal bytes and the nearest pairs of each entry
-are verified, which connects most of a group of near copies.  Then every two
-entries of a posting that aren't connected by then are compared.  Where many
-of these are close (texts alike that stay below the similarity) the posting is
-dense: a few of its entries are compared with all others, eight times as many
-each round, until every pair is compared or connected.
+through each posting of three equal bytes; what its close pairs connect is a
+family: near copies, or texts alike that stay below the similarity.  Within a
+family every two sets are compared, in blocks of a bounded size, and those
+that could be similar are verified unless the block's links connect them
+already, so a large group of near copies makes few links.  Then the index is
+searched for pairs of different families.  Where a posting has many of these,
+its families are joined, until none has.
 """
 
 from __future__ import annotations
@@ -34,13 +35,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm import shingle_kernel as kernel
 from lectern.llm.components import components
 from lectern.llm.expr import let
 from lectern.llm.ngrams import raw_texts
+from lectern.llm.simhash import _roots
 from lectern.llm.shared import drop, schema_of, survivors, written
 
 #: Fingerprint: 64-bit words, groups of byte positions, positions in a group.
@@ -51,15 +52,13 @@ PARITIES = 16
 FIELDS = {"n": "bigint", "w": "array<bigint>", "p": "array<bigint>"}
 #: Postings up to this length are paired with shifts of the whole batch.
 SHORT = 16
-#: A posting with more entries, or with more close pairs than LINKS an entry, is dense.
-MEDIUM, LINKS = 2048, 4
-#: Entries of a dense posting that one task compares with its pivots.
-SHARE = 4096
+#: Close pairs of different families that a posting may have for each entry, else its families are joined.
+LINKS = 4
+#: Sets, and shingles, in a share of a family; a block has two shares.
+SHARE, SHINGLES = 4096, 1 << 21
 KEYS = [places for g in range(GROUPS) for places in combinations(range(g * WIDTH, (g + 1) * WIDTH), 2)]
 #: Positions of the stars' postings.
 STARS = [(p, p + 1, p + 2) for p in range(0, GROUPS * WIDTH, 3)]
-#: Pairs of an entry that are verified first.
-FIRST = 2
 
 
 @dataclass(frozen=True)
@@ -132,76 +131,71 @@ def _draw_stars(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 
 def _meet(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close pairs (null, x, x) of postings (k, x, root) that come sorted by key, of different roots; entries (key, x, null) of dense ones.
+    """(joined, x, x) of postings (k, x, family) that come sorted by key: close pairs of different families.
 
-    At most MEDIUM entries of one posting, and a batch, are held.
+    Where there are many in a posting, ``joined`` is true and the pairs are
+    as many as connect what they connect.  The commonest family of a posting
+    is compared with the others only.
     """
-    names = ["k", "a", "b"]
+    names = ["joined", "a", "b"]
 
-    def dense(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(x.view(np.int64)), pa.nulls(len(k), pa.int64())], names=names)
+    def rows(joined: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        a, b = a.view(np.int64), b.view(np.int64)
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], joined)), pa.array(pairs[0]), pa.array(pairs[1])], names=names)
 
-    def close(k: np.ndarray, x: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def close(k: np.ndarray, x: np.ndarray, family: np.ndarray) -> Iterator[pa.RecordBatch]:
         begins = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         sizes = np.diff(np.append(begins, len(k)))
         left, right = [], []
         for at, n in zip(begins[sizes > SHORT], sizes[sizes > SHORT], strict=True):
-            own, of, found = x[at : at + n], root[at : at + n], 0
-            if (of == of[0]).all():
+            own, of = x[at : at + n], family[at : at + n]
+            known, place, many = np.unique(of, return_inverse=True, return_counts=True)
+            if len(known) == 1:
                 continue
-            pairs = []
-            for row in range(0, n, 256) if n <= MEDIUM else ():
-                i, j = np.nonzero((np.bitwise_count(own[row : row + 256, None] ^ own[None, row:]) <= limit) & (of[row : row + 256, None] != of[None, row:]))
-                ahead = j > i
-                pairs.append((i[ahead] + row + at, j[ahead] + row + at))
-                found += len(pairs[-1][0])
-                if found > LINKS * n:
-                    break
-            if n > MEDIUM or found > LINKS * n:
-                yield dense(k[at : at + n], own)
-                continue
-            for i, j in pairs:
-                left.append(x[i])
-                right.append(x[j])
+            main = place == many.argmax()
+            rest = np.flatnonzero(~main)
+            i, j = [], []
+            for row in range(0, len(rest), 256):
+                some = rest[row : row + 256]
+                p, q = np.nonzero((np.bitwise_count(own[some, None] ^ own[None]) <= limit) & (of[some, None] != of[None]))
+                ahead = main[q] | (q > some[p])
+                i.append(some[p[ahead]])
+                j.append(q[ahead])
+            i, j = np.concatenate(i), np.concatenate(j)
+            if len(i) > LINKS * n:
+                root = _roots(n, i, j)
+                linked = np.flatnonzero(root != np.arange(n))
+                yield rows(True, own[linked], own[root[linked]])
+            else:
+                left.append(own[i])
+                right.append(own[j])
         small = np.repeat(sizes <= SHORT, sizes)
-        k, x, root = k[small], x[small], root[small]
+        k, x, family = k[small], x[small], family[small]
         for shift in range(1, int(sizes[sizes <= SHORT].max(initial=0))):
             i = np.flatnonzero(k[shift:] == k[:-shift])
             if not len(i):
                 break
-            i = i[(np.bitwise_count(x[i] ^ x[i + shift]) <= limit) & (root[i] != root[i + shift])]
+            i = i[(np.bitwise_count(x[i] ^ x[i + shift]) <= limit) & (family[i] != family[i + shift])]
             left.append(x[i])
             right.append(x[i + shift])
-        if left:
-            a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names=names)
-
-    held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
-    known = None  # the key of a posting that is known to be dense and goes on
+        if left and any(map(len, left)):
+            yield rows(False, np.concatenate(left), np.concatenate(right))
+
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         now = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
-        if known is not None and len(now[0]):
-            n = int(np.searchsorted(now[0], known, side="right"))
-            if n:
-                yield dense(now[0][:n], now[1][:n])
-            if n == len(now[0]):
-                continue
-            now, known = [c[n:] for c in now], None
-        held = [np.concatenate(c) for c in zip(held, now, strict=True)]
-        if not len(held[0]):
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # sorted: the last posting may go on
+        if cut == 0 and held and held[-1][0][-1] == now[0][0]:
+            held.append(now)
             continue
-        cut = int(np.searchsorted(held[0], held[0][-1]))
-        if cut:
-            yield from close(*[c[:cut] for c in held])
-        held = [c[cut:] for c in held]
-        if len(held[0]) > MEDIUM:
-            known = held[0][0]
-            yield dense(held[0], held[1])
-            held = [c[:0] for c in held]
-    if len(held[0]):
-        yield from close(*held)
+        held.append([c[:cut] for c in now])
+        yield from close(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        held = [[c[cut:] for c in now]]
+    if held:
+        yield from close(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
 def _total(left: str, right: str, field: str, of: Callable[[Column], Column]) -> Column:
@@ -267,43 +261,67 @@ def _similar(pairs: DataFrame, held: DataFrame, p: Near) -> DataFrame:
     return joined.mapInArrow(check, "a bigint, b bigint")
 
 
-class _Links:
-    """Verified links, and the components that they make."""
-
-    def __init__(self, df: DataFrame, kinds: DataFrame, p: Near):
-        self.df, self.kinds, self.p = df, kinds, p
-        self.links = df.sparkSession.createDataFrame([], "a bigint, b bigint")
-        self.roots = df.sparkSession.createDataFrame([], "node bigint, root bigint")
-
-    def rooted(self, df: DataFrame, of: str, out: str) -> DataFrame:
-        roots = self.roots.select(F.col("node").alias(of), F.col("root").alias("_r"))
-        return df.join(roots, of, "left").withColumn(out, F.coalesce("_r", of)).drop("_r")
-
-    def possible(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, bits) of the pairs whose fingerprints leave the similarity possible."""
-        full = lambda side: self.kinds.select(F.col("set").alias(side), F.struct(*FIELDS).alias(f"_{side}"))
-        return pairs.join(full("a"), "a").join(full("b"), "b").where(_possible("_a", "_b", self.p)).select("a", "b", _bits("_a", "_b").alias("bits"))
-
-    def settle(self, pairs: DataFrame, most: int | None = None) -> None:
-        """Verify pairs (a, b, bits): the nearest FIRST of each entry, then all others that these don't connect, unless ``most`` of an entry are enough."""
-        place = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
-        ranked = pairs.withColumn("_at", place)
-        ranked = written(ranked if most is None else ranked.where(F.col("_at") <= most))
-        longest = ranked.agg(F.max("_at")).first()[0] or 0
-        if longest:
-            held = _shingles(self.df, self.kinds, ranked.select(F.col("a").alias("set")).union(ranked.select("b")).distinct(), self.p)
-            self._verify(ranked.where(F.col("_at") <= FIRST).select("a", "b"), held)
-            if longest > FIRST:
-                rest = self.rooted(self.rooted(ranked.where(F.col("_at") > FIRST), "a", "_ra"), "b", "_rb").where("_ra <> _rb")
-                self._verify(rest.select("a", "b"), held)
-            drop(held)
-        drop(ranked)
-
-    def _verify(self, pairs: DataFrame, held: DataFrame) -> None:
-        found = written(_similar(pairs, held, self.p))
-        if not found.isEmpty():
-            self.links = written(self.links.union(found))
-            self.roots = written(components(self.links))
+BLOCK = ["family", "block", "share", "set", "n", "w", "p", "h"]
+
+
+def _link_blocks(near: Near, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links (a, b) of blocks that come sorted: as many as connect each block's similar sets."""
+    limit = near.bits(64 * WORDS)
+    held: list[pa.RecordBatch] = []
+
+    def links(block: pa.Table) -> pa.RecordBatch:
+        column = lambda c: block.column(c).combine_chunks()
+        name, n, share = (column(c).to_numpy() for c in ("set", "n", "share"))
+        w, p = (column(c).flatten().to_numpy().view(np.uint64).reshape(len(name), -1) for c in ("w", "p"))
+        sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in block.column("h")]
+        two, label = share.min() != share.max(), np.arange(len(name))
+        a, b = [], []
+        for i in range(len(name) - 1):
+            j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            if two:  # each share has a block of its own for its own pairs
+                j = j[share[j] != share[i]]
+            j = j[100 * np.minimum(n[j], n[i]) >= near.percent * np.maximum(n[j], n[i])]
+            j = j[np.bitwise_count(w[j] ^ w[i]).sum(1, dtype=np.int64) <= limit]
+            j = j[(100 + near.percent) * np.bitwise_count(p[j] ^ p[i]).sum(1, dtype=np.int64) <= (100 - near.percent) * (n[j] + n[i])]
+            while len(j):
+                both = len(np.intersect1d(sets[i], sets[j[0]], assume_unique=True))
+                if 100 * both >= near.percent * (n[i] + n[j[0]] - both):
+                    a.append(name[i])
+                    b.append(name[j[0]])
+                    label[label == label[j[0]]] = label[i]
+                j = j[1:][label[j[1:]] != label[i]]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        begins = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
+        if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != tuple(key[:, 0].tolist()):
+            yield links(pa.Table.from_batches(held))
+            held = []
+        for at, end in zip(begins, begins[1:], strict=False):
+            yield links(pa.Table.from_batches([*held, batch.slice(at, end - at)]))
+            held = []
+        held.append(batch.slice(begins[-1]))
+    if held:
+        yield links(pa.Table.from_batches(held))
+
+
+def _family_links(df: DataFrame, kinds: DataFrame, families: DataFrame, p: Near) -> DataFrame:
+    """Verified links within families (set, family): shares meet in blocks, each with itself and with each other."""
+    members = families.join(kinds, "set")
+    sizes = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    shares = F.greatest(F.ceil(F.col("m") / SHARE), F.ceil(F.col("s") / SHINGLES)).cast("int")
+    sizes = sizes.where("m > 1").select("family", shares.alias("shares"))
+    held = _shingles(df, kinds, members.select("set"), p)
+    dealt = members.join(sizes, "family").withColumn("share", F.pmod(F.xxhash64("set", F.lit(5)), F.col("shares")).cast("int"))
+    block = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda u: F.least(u, F.col("share")) * F.col("shares") + F.greatest(u, F.col("share")))
+    dealt = dealt.join(held, "set").withColumn("block", F.explode(block)).select(*BLOCK)
+    found = dealt.repartition("family", "block").sortWithinPartitions("family", "block", "set").mapInArrow(lambda b: _link_blocks(p, b), "a bigint, b bigint")
+    found = written(found)
+    drop(held)
+    return found
 
 
 def cluster(df: DataFrame, near: Near | None = None) -> DataFrame:
@@ -312,49 +330,31 @@ def cluster(df: DataFrame, near: Near | None = None) -> DataFrame:
     limit, sketch = p.bits(64), F.get("w", WORDS - 1).alias("x")
     marks = written(_marks(df, p))
     kinds = written(marks.groupBy("set").agg(F.min("_row").alias("_row"), *[F.first(c).alias(c) for c in FIELDS]))
-    links = _Links(df, kinds, p)
-    stars = _postings(kinds.select("*", sketch), STARS, "set", "x").sortWithinPartitions("k", "set").mapInArrow(lambda b: _draw_stars(limit, b), "a bigint, b bigint")
-    links.settle(links.possible(stars.distinct()), FIRST)
-
-    rooted = links.rooted(kinds, "set", "root").select("w", sketch, "root")
-    found = written(_postings(rooted, KEYS, "x", "root").sortWithinPartitions("k").mapInArrow(lambda b: _meet(limit, b), "k bigint, a bigint, b bigint"))
-    names = lambda out, at: kinds.select(F.col("set").alias(out), sketch.alias(at))
-    met = found.where("k IS NULL").select(F.col("a").alias("xa"), F.col("b").alias("xb")).distinct()
-    pairs = met.join(names("a", "xa"), "xa").join(names("b", "xb"), "xb").where("a <> b").select("a", "b")
-    links.settle(links.possible(pairs))
-    dense = written(found.where("k IS NOT NULL").select("k", F.col("a").alias("x")).distinct().join(kinds.select("*", sketch).drop("_row"), "x").drop("x"))
-    drop(found)
-    _settle_dense(dense, links, p)
-    out = links.rooted(marks.select("_id", "_row", "set"), "set", "component")
-    return out.select("_id", "_row", "component")
-
-
-def _settle_dense(dense: DataFrame, links: _Links, p: Near) -> None:
-    """Compare every two entries of a dense posting, unless they are connected by then.
-
-    An entry's place in a posting of n is a hash of its set; those below w / n
-    are pivots, about w of them.  A posting is dealt in shares, its pivots to
-    each of them.
-    """
-    place = lambda seed: F.pmod(F.xxhash64("set", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    sizes = written(dense.groupBy("k").agg(F.count("*").alias("size")))
-    longest = sizes.agg(F.max("size")).first()[0] or 0
-    low, width = 0, 4
-    while low < longest:
-        rooted = links.rooted(dense, "set", "root")
-        several = rooted.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("k")
-        left = written(sizes.join(several, "k", "left_semi"))
-        if left.isEmpty():
+    named = lambda out, at: kinds.select(F.col("set").alias(out), sketch.alias(at))
+    sets = lambda found: found.select(F.col("a").alias("xa"), F.col("b").alias("xb")).distinct().join(named("a", "xa"), "xa").join(named("b", "xb"), "xb").where("a <> b").select("a", "b")
+    rooted = lambda df, roots, out: df.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn(out, F.coalesce("root", "set")).drop("root")
+
+    alike = written(_postings(kinds.select("*", sketch), STARS, "set", "x").sortWithinPartitions("k", "set").mapInArrow(lambda b: _draw_stars(limit, b), "a bigint, b bigint").distinct())
+    while True:
+        families = written(components(alike))
+        entries = rooted(kinds, families, "family").select("w", sketch, "family")
+        found = written(_postings(entries, KEYS, "x", "family").sortWithinPartitions("k").mapInArrow(lambda b: _meet(limit, b), "joined boolean, a bigint, b bigint"))
+        if found.where("joined").isEmpty():
             break
-        at = rooted.join(left, "k").withColumn("_at", place(17) * F.col("size")).withColumn("_ways", F.ceil(F.col("size") / SHARE).cast("int"))
-        entries = at.select("k", F.floor(place(18) * F.col("_ways")).cast("int").alias("salt"), F.struct("set", "root", *FIELDS).alias("e"))
-        pivots = at.where((F.col("_at") >= low) & (F.col("_at") < low + width))
-        pivots = pivots.select("k", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("salt"), F.struct("set", "root", *FIELDS).alias("v"))
-        met = entries.join(pivots.hint("shuffle_hash"), ["k", "salt"]).where((F.col("e.root") != F.col("v.root")) & _possible("e", "v", p))
-        links.settle(met.select(F.col("v.set").alias("a"), F.col("e.set").alias("b"), _bits("v", "e").alias("bits")).distinct())
-        drop(left)
-        low, width = low + width, 8 * width
-    drop(sizes)
+        alike = written(alike.union(sets(found.where("joined"))))
+        drop(found)
+    links = _family_links(df, kinds, families.select(F.col("node").alias("set"), F.col("root").alias("family")), p)
+
+    full = lambda side: kinds.select(F.col("set").alias(side), F.struct(*FIELDS).alias(f"_{side}"))
+    pairs = written(sets(found).join(full("a"), "a").join(full("b"), "b").where(_possible("_a", "_b", p)).select("a", "b"))
+    if not pairs.isEmpty():
+        held = _shingles(df, kinds, pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), p)
+        links = written(links.union(_similar(pairs, held, p)))
+        drop(held)
+    out = rooted(marks.select("_id", "_row", "set"), written(components(links)), "component")
+    for table in (alike, families, found, pairs):
+        drop(table)
+    return out.select("_id", "_row", "component")
 
 
 def deduplicate(df: DataFrame, near: Near | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

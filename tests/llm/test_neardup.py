@@ -39,11 +39,12 @@ def test_stage_equals_brute_force(spark, sf_dir):
     assert got == want
 
 
-@pytest.mark.parametrize(("short", "medium", "share"), [(16, 2048, 4096), (2, 4, 3), (2, 2048, 4096)])
-def test_edited_copies_equal_brute_force(spark, monkeypatch, short, medium, share):
+@pytest.mark.parametrize(("short", "links", "share", "stars"), [(16, 4, 4096, 16), (2, 0, 5, 2), (2, 4, 7, 0)])
+def test_edited_copies_equal_brute_force(spark, monkeypatch, short, links, share, stars):
     monkeypatch.setattr(neardup, "SHORT", short)
-    monkeypatch.setattr(neardup, "MEDIUM", medium)
+    monkeypatch.setattr(neardup, "LINKS", links)
     monkeypatch.setattr(neardup, "SHARE", share)
+    monkeypatch.setattr(neardup, "STARS", neardup.STARS[:stars] or [tuple(range(6))])
     rng = random.Random(7)
     line = " ".join(f"common{i}" for i in range(30))
     rows = [(1000, ""), (1001, None), (1002, "One"), (1003, "one"), (1004, "a b c d"), (1005, "a b c d e f g h i"), (1006, "a b c d e f g h")]
