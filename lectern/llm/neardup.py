@@ -7,27 +7,26 @@ Here a fingerprint has 48 bytes in eight groups of six positions.  The index
 has a posting for each two positions of a group, with the bytes there: two
 fingerprints with two equal bytes in one group share a posting.  At
 similarity 0.8 bytes are equal with probability 0.27, and a pair is missed
-with probability 0.003, less the more similar it is.  Pairs that meet are
-tallied (equal bytes) and measured (differing bits), and their sets' parities
-are compared: 1,024 classes of shingles, in no more of which sets can differ
-than in shingles, so that no similar pair is lost by it.  What is left is
-verified by the Jaccard similarity of the shingles themselves, so no link is
-false.
+with probability 0.003, less the more similar it is.
 
 Equal sets of shingles are one entry throughout.  First a star is drawn
-through each posting of three equal bytes; what its close pairs connect is a
-family: near copies, or texts alike that stay below the similarity.  Within a
-family every two sets are compared, in blocks of a bounded size, and those
-that could be similar are verified unless the block's links connect them
-already, so a large group of near copies makes few links.  Then the index is
-searched for pairs of different families.  Where a posting has many of these,
-its families are joined, until none has.
+through each posting of three equal bytes; what its close pairs (by 128 bits)
+connect is a family.  Then each posting of two equal bytes joins its families
+by as many close pairs as connect what they connect.  A family holds near
+copies, and texts alike that stay below the similarity; all similar pairs of
+the index lie within one.  There every two sets are compared, in blocks of a
+bounded size: their equal bytes are tallied, their differing bits counted,
+and their sets' parities compared (1,024 classes of shingles, in no more of
+which sets can differ than in shingles, so that no similar pair is lost by
+it).  What is left is verified by the Jaccard similarity of the shingles
+themselves, unless the block's links connect it already, so no link is false
+and a large group of near copies makes few.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -52,8 +51,6 @@ PARITIES = 16
 FIELDS = {"n": "bigint", "w": "array<bigint>", "p": "array<bigint>"}
 #: Postings up to this length are paired with shifts of the whole batch.
 SHORT = 16
-#: Close pairs of different families that a posting may have for each entry, else its families are joined.
-LINKS = 4
 #: Sets, and shingles, in a share of a family; a block has two shares.
 SHARE, SHINGLES = 4096, 1 << 21
 KEYS = [places for g in range(GROUPS) for places in combinations(range(g * WIDTH, (g + 1) * WIDTH), 2)]
@@ -115,36 +112,39 @@ def _postings(kinds: DataFrame, positions: list[tuple[int, ...]], *columns: str)
     return kinds.select(F.explode(keys).alias("k"), *columns).repartition("k")
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of integers differ."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def _sketches(batch: pa.RecordBatch) -> np.ndarray:
+    """The last two columns of a batch as rows of two integers."""
+    return np.stack([batch.column(c).to_numpy().view(np.uint64) for c in (-2, -1)], axis=1)
+
+
 def _draw_stars(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close pairs (first entry, entry) of postings (k, set, x) that come sorted; one entry is held."""
+    """Close pairs (first entry, entry) of postings (k, set, x, y) that come sorted; one entry is held."""
     last = None
     for batch in batches:
-        k, s, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+        k, s, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _sketches(batch)
         if not len(k):
             continue
         if last is not None:
-            k, s, x = (np.concatenate(([v], c)) for v, c in zip(last, (k, s, x), strict=True))
+            k, s, x = (np.concatenate((v, c)) for v, c in zip(last, (k, s, x), strict=True))
         head = np.maximum.accumulate(np.where(np.concatenate(([True], k[1:] != k[:-1])), np.arange(len(k)), 0))
-        last = (k[head[-1]], s[head[-1]], x[head[-1]])
-        near = (head != np.arange(len(k))) & (np.bitwise_count(x ^ x[head]) <= limit)
+        h = head[-1:]
+        last = (k[h], s[h], x[h])
+        near = (head != np.arange(len(k))) & (_apart(x, x[head]) <= limit)
         yield pa.RecordBatch.from_arrays([pa.array(s[head[near]]), pa.array(s[near])], names=["a", "b"])
 
 
 def _meet(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(joined, x, x) of postings (k, x, family) that come sorted by key: close pairs of different families.
+    """Pairs (family, family) of postings (k, family, x, y) that come sorted by key: as many as connect what close pairs connect.
 
-    Where there are many in a posting, ``joined`` is true and the pairs are
-    as many as connect what they connect.  The commonest family of a posting
-    is compared with the others only.
+    The commonest family of a posting is compared with the others only.
     """
-    names = ["joined", "a", "b"]
-
-    def rows(joined: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        a, b = a.view(np.int64), b.view(np.int64)
-        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], joined)), pa.array(pairs[0]), pa.array(pairs[1])], names=names)
 
-    def close(k: np.ndarray, x: np.ndarray, family: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def close(k: np.ndarray, family: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         begins = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         sizes = np.diff(np.append(begins, len(k)))
         left, right = [], []
@@ -155,36 +155,32 @@ def _meet(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 continue
             main = place == many.argmax()
             rest = np.flatnonzero(~main)
-            i, j = [], []
-            for row in range(0, len(rest), 256):
-                some = rest[row : row + 256]
-                p, q = np.nonzero((np.bitwise_count(own[some, None] ^ own[None]) <= limit) & (of[some, None] != of[None]))
+            for row in range(0, len(rest), 128):
+                some = rest[row : row + 128]
+                p, q = np.nonzero((_apart(own[some, None], own[None]) <= limit) & (of[some, None] != of[None]))
                 ahead = main[q] | (q > some[p])
-                i.append(some[p[ahead]])
-                j.append(q[ahead])
-            i, j = np.concatenate(i), np.concatenate(j)
-            if len(i) > LINKS * n:
-                root = _roots(n, i, j)
-                linked = np.flatnonzero(root != np.arange(n))
-                yield rows(True, own[linked], own[root[linked]])
-            else:
-                left.append(own[i])
-                right.append(own[j])
-        small = np.repeat(sizes <= SHORT, sizes)
-        k, x, family = k[small], x[small], family[small]
+                left.append(some[p[ahead]] + at)
+                right.append(q[ahead] + at)
+        small = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))
         for shift in range(1, int(sizes[sizes <= SHORT].max(initial=0))):
-            i = np.flatnonzero(k[shift:] == k[:-shift])
-            if not len(i):
+            i, j = small[:-shift], small[shift:]
+            same = k[i] == k[j]
+            if not same.any():
                 break
-            i = i[(np.bitwise_count(x[i] ^ x[i + shift]) <= limit) & (family[i] != family[i + shift])]
-            left.append(x[i])
-            right.append(x[i + shift])
+            i, j = i[same], j[same]
+            near = (family[i] != family[j]) & (_apart(x[i], x[j]) <= limit)
+            left.append(i[near])
+            right.append(j[near])
         if left and any(map(len, left)):
-            yield rows(False, np.concatenate(left), np.concatenate(right))
+            # one node a family: what they connect is all that counts
+            known, place = np.unique(family, return_inverse=True)
+            root = _roots(len(known), place[np.concatenate(left)], place[np.concatenate(right)])
+            linked = np.flatnonzero(root != np.arange(len(known)))
+            yield pa.RecordBatch.from_arrays([pa.array(known[root[linked]]), pa.array(known[linked])], names=["a", "b"])
 
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _sketches(batch)]
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1]))  # sorted: the last posting may go on
@@ -198,36 +194,6 @@ def _meet(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from close(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def _total(left: str, right: str, field: str, of: Callable[[Column], Column]) -> Column:
-    """Sum of ``of`` each word in which two sets' bits differ."""
-    each = F.zip_with(F.col(f"{left}.{field}"), F.col(f"{right}.{field}"), lambda x, y: of(x.bitwiseXOR(y)))
-    return F.aggregate(each, F.lit(0), lambda a, n: a + n)
-
-
-def _bits(left: str, right: str, field: str = "w") -> Column:
-    """Bits in which two fingerprints (or parities, p) differ."""
-    return _total(left, right, field, F.bit_count)
-
-
-def _equal_bytes(left: str, right: str) -> Column:
-    """Tally of the positions at which two fingerprints have the same byte."""
-
-    def equal(x: Column) -> Column:
-        for by in (4, 2, 1):  # the lowest bit of each byte gathers its others
-            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
-        return F.lit(8) - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-
-    return _total(left, right, "w", equal)
-
-
-def _possible(left: str, right: str, p: Near) -> Column:
-    """Whether sizes, distance, tally and parities leave the similarity s possible: s allows (n + m) (1 - s) / (1 + s) differences."""
-    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    sizes = 100 * F.least(n, m) >= p.percent * F.greatest(n, m)
-    apart = (100 + p.percent) * _bits(left, right, "p") <= (100 - p.percent) * (n + m)
-    return sizes & (_bits(left, right) <= p.bits(64 * WORDS)) & (_equal_bytes(left, right) >= p.bytes) & apart
-
-
 def _shingles(df: DataFrame, kinds: DataFrame, needed: DataFrame, p: Near) -> DataFrame:
     """(set, h): the shingles of the needed sets, read from one text of each."""
     rows = kinds.join(needed, "set", "left_semi").select(F.col("_row").alias("r"))
@@ -243,24 +209,6 @@ def _shingles(df: DataFrame, kinds: DataFrame, needed: DataFrame, p: Near) -> Da
     return written(drawn.mapInArrow(run, "set bigint, h binary").dropDuplicates(["set"]))
 
 
-def _similar(pairs: DataFrame, held: DataFrame, p: Near) -> DataFrame:
-    """The pairs (a, b) whose shingles have the similarity."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= p.percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = held.select(F.col("set").alias("a"), F.col("h").alias("x"))
-    right = held.select(F.col("set").alias("b"), F.col("h").alias("y"))
-    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(check, "a bigint, b bigint")
-
-
 BLOCK = ["family", "block", "share", "set", "n", "w", "p", "h"]
 
 
@@ -281,8 +229,9 @@ def _link_blocks(near: Near, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             if two:  # each share has a block of its own for its own pairs
                 j = j[share[j] != share[i]]
             j = j[100 * np.minimum(n[j], n[i]) >= near.percent * np.maximum(n[j], n[i])]
-            j = j[np.bitwise_count(w[j] ^ w[i]).sum(1, dtype=np.int64) <= limit]
-            j = j[(100 + near.percent) * np.bitwise_count(p[j] ^ p[i]).sum(1, dtype=np.int64) <= (100 - near.percent) * (n[j] + n[i])]
+            j = j[((w[j] ^ w[i]).view(np.uint8) == 0).sum(1) >= near.bytes]
+            j = j[_apart(w[j], w[i]) <= limit]
+            j = j[(100 + near.percent) * _apart(p[j], p[i]) <= (100 - near.percent) * (n[j] + n[i])]
             while len(j):
                 both = len(np.intersect1d(sets[i], sets[j[0]], assume_unique=True))
                 if 100 * both >= near.percent * (n[i] + n[j[0]] - both):
@@ -327,32 +276,20 @@ def _family_links(df: DataFrame, kinds: DataFrame, families: DataFrame, p: Near)
 def cluster(df: DataFrame, near: Near | None = None) -> DataFrame:
     """(_id, _row, component) of df's (_id, _row, _body); texts without words are one component."""
     p = near or Near()
-    limit, sketch = p.bits(64), F.get("w", WORDS - 1).alias("x")
+    limit, sketch = p.bits(128), (F.get("w", WORDS - 2).alias("x"), F.get("w", WORDS - 1).alias("y"))
     marks = written(_marks(df, p))
     kinds = written(marks.groupBy("set").agg(F.min("_row").alias("_row"), *[F.first(c).alias(c) for c in FIELDS]))
-    named = lambda out, at: kinds.select(F.col("set").alias(out), sketch.alias(at))
-    sets = lambda found: found.select(F.col("a").alias("xa"), F.col("b").alias("xb")).distinct().join(named("a", "xa"), "xa").join(named("b", "xb"), "xb").where("a <> b").select("a", "b")
     rooted = lambda df, roots, out: df.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn(out, F.coalesce("root", "set")).drop("root")
 
-    alike = written(_postings(kinds.select("*", sketch), STARS, "set", "x").sortWithinPartitions("k", "set").mapInArrow(lambda b: _draw_stars(limit, b), "a bigint, b bigint").distinct())
-    while True:
-        families = written(components(alike))
-        entries = rooted(kinds, families, "family").select("w", sketch, "family")
-        found = written(_postings(entries, KEYS, "x", "family").sortWithinPartitions("k").mapInArrow(lambda b: _meet(limit, b), "joined boolean, a bigint, b bigint"))
-        if found.where("joined").isEmpty():
-            break
-        alike = written(alike.union(sets(found.where("joined"))))
-        drop(found)
-    links = _family_links(df, kinds, families.select(F.col("node").alias("set"), F.col("root").alias("family")), p)
-
-    full = lambda side: kinds.select(F.col("set").alias(side), F.struct(*FIELDS).alias(f"_{side}"))
-    pairs = written(sets(found).join(full("a"), "a").join(full("b"), "b").where(_possible("_a", "_b", p)).select("a", "b"))
-    if not pairs.isEmpty():
-        held = _shingles(df, kinds, pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), p)
-        links = written(links.union(_similar(pairs, held, p)))
-        drop(held)
+    stars = _postings(kinds.select("*", *sketch), STARS, "set", "x", "y").sortWithinPartitions("k", "set")
+    alike = written(stars.mapInArrow(lambda b: _draw_stars(limit, b), "a bigint, b bigint").distinct())
+    families = written(components(alike))
+    entries = rooted(kinds, families, "family").select("w", "family", *sketch)
+    met = _postings(entries, KEYS, "family", "x", "y").sortWithinPartitions("k").mapInArrow(lambda b: _meet(limit, b), "a bigint, b bigint")
+    whole = written(components(written(alike.union(met.distinct()))))
+    links = _family_links(df, kinds, whole.select(F.col("node").alias("set"), F.col("root").alias("family")), p)
     out = rooted(marks.select("_id", "_row", "set"), written(components(links)), "component")
-    for table in (alike, families, found, pairs):
+    for table in (alike, families, whole):
         drop(table)
     return out.select("_id", "_row", "component")
 
