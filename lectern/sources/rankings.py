@@ -224,20 +224,34 @@ def row_groups(spans: DataFrame, gap: float = 3.0) -> DataFrame:
 
     A span starts a new row if it is more than ``gap`` from the first span of
     the current one, so the grouping is a fold over a page in order, not a
-    difference between neighbours.  A page is one array.
+    difference between neighbours.  Spans are ordered by rounded height, so
+    within one height only those above all earlier ones can start a row (if
+    ``gap`` is at least the rounding's width of 1; else any of them can): the
+    fold reads these alone, and spans meet by page and height.
     """
-    held = F.sort_array(F.collect_list(F.struct(F.bround("y", 0).alias("h"), F.col("x"), F.col("y"), F.trim("text").alias("text"))))
-    pages = spans.where(F.trim("text") != "").groupBy("page").agg(held.alias("spans"))
-    zero = F.struct(F.lit(-100.0).alias("y"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
-
-    def step(a: Column, s: Column) -> Column:
-        new = F.abs(s["y"] - a["y"]) > gap
-        row = F.when(new, a["row"] + 1).otherwise(a["row"])
-        return F.struct(F.when(new, s["y"]).otherwise(a["y"]).alias("y"), row.alias("row"), F.array_append(a["rows"], row).alias("rows"))
-
-    numbered = pages.withColumn("rows", F.aggregate("spans", zero, step, lambda a: a["rows"]))
-    out = numbered.select("page", F.posexplode(F.arrays_zip("rows", "spans")).alias("at", "s"))
-    return out.select("page", F.col("s.rows").alias("row"), "at", F.col("s.spans.x").alias("x"), F.col("s.spans.text").alias("text"))
+    own = W.partitionBy("page", "h").orderBy("x", "y", "text")
+    s = spans.where(F.trim("text") != "").select("page", F.bround("y", 0).alias("h"), "x", "y", F.trim("text").alias("text")).withColumn("n", F.row_number().over(own))
+    highest = F.max("y").over(own.rowsBetween(W.unboundedPreceding, -1))
+    s = s.withColumn("some", (F.col("n") == 1) | (F.coalesce(F.col("y") > highest, F.lit(False)) if gap >= 1 else F.lit(True)))
+    marks = s.where("some").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("h", "n", F.col("y").cast("double").alias("y")))).alias("marks"))
+    starts = F.filter("marks", lambda m: F.lit(False))
+    zero = F.struct(F.lit(None).cast("double").alias("y"), F.lit(True).alias("first"), starts.alias("starts"))
+
+    def step(a: Column, m: Column) -> Column:
+        new = a["first"] | (m["y"].isNotNull() & F.coalesce(F.abs(m["y"] - a["y"]) > gap, F.lit(True)))
+        return F.struct(F.when(new, m["y"]).otherwise(a["y"]).alias("y"), F.lit(False).alias("first"), F.when(new, F.array_append(a["starts"], m)).otherwise(a["starts"]).alias("starts"))
+
+    begins = marks.select("page", F.explode(F.aggregate("marks", zero, step, lambda a: a["starts"])).alias("m")).groupBy("page", "m.h").agg(F.collect_list("m.n").alias("starts"))
+    heights = s.groupBy("page", "h").agg(F.count("*").alias("spans"))
+    none = F.array().cast("array<int>")
+    same = lambda a, b: a["page"].eqNullSafe(b["page"]) & a["h"].eqNullSafe(b["h"])
+    heights = heights.join(begins, same(heights, begins), "left").select(heights["page"], heights["h"], "spans", F.coalesce("starts", none).alias("starts"))
+    before = W.partitionBy("page").orderBy("h").rowsBetween(W.unboundedPreceding, -1)
+    held = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
+    places = heights.select(F.col("page").alias("p"), F.col("h").alias("g"), "starts", held(F.col("spans")).alias("at0"), held(F.size("starts")).alias("row0"))
+    out = s.join(places, F.col("page").eqNullSafe(F.col("p")) & F.col("h").eqNullSafe(F.col("g")))
+    row = F.col("row0") + F.size(F.filter("starts", lambda i: i <= F.col("n"))) - 1
+    return out.select("page", row.alias("row"), (F.col("at0") + F.col("n") - 1).alias("at"), "x", "text")
 
 
 def jql_from_spans(spans: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -266,3 +267,19 @@ def test_snapshots_are_rewritten(spark, tmp_path):
     path.write_text("issn,journal,subject,ajg_abs2024\n0001-4273,AMJ,Management,3\n")
     rankings.update_snapshots(spark, folder, jql=str(path))
     assert [r.abs for r in spark.read.parquet(f"{folder}/jql").collect()] == ["3"]
+
+
+@pytest.mark.parametrize("gap", [3.0, 1.0, 0.3])
+def test_row_groups_equal_the_fold(spark, gap):
+    rng = random.Random(4)
+    rows = [(page, rng.choice([1.0, 2.0, 3.5]), round(rng.uniform(-99, -80 + 20 * page), 1), rng.choice(["a", "b ", " "])) for page in (1, 2) for _ in range(400)]
+    got = rankings.row_groups(spark.createDataFrame(rows, "page int, x double, y double, text string"), gap).collect()
+    want = []
+    for page in (1, 2):
+        anchor, row = None, -1
+        spans = sorted((round(y), x, y, t.strip()) for p, x, y, t in rows if p == page and t.strip())
+        for at, (_, x, y, t) in enumerate(spans):
+            if anchor is None or abs(y - anchor) > gap:
+                anchor, row = y, row + 1
+            want.append((page, row, at, x, t))
+    assert sorted(tuple(r) for r in got) == want
