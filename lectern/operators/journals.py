@@ -67,22 +67,26 @@ def by_partial_name(queries: DataFrame, titles: DataFrame, least: int = 10, gram
 
     A text that contains another holds the other's first ``gram`` characters
     (all of them, if it is shorter), so both sides meet by equality there.
+    Equal queries are looked up once, of equal titles the first counts.  The
+    lists of grams are many times the tables, whatever Spark estimates, so
+    they are never broadcast.
     """
-    q = queries.select("qid", "q", F.lower(F.trim("q")).alias("n")).where(F.length("n") > least)
-    t = titles.select(F.lower("title").alias("t"), F.col("issn"), "pos").where("t <> ''")
+    asked = queries.select("qid", "q", F.lower(F.trim("q")).alias("n")).where(F.length("n") > least).distinct()
+    q = asked.select("n").distinct()
+    t = titles.select(F.lower("title").alias("t"), F.struct("pos", "issn").alias("place")).where("t <> ''").groupBy("t").agg(F.min("place").alias("place"))
 
     def grams(c: str, n: Column) -> Column:
         places = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1))
         return F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col(c), i, n))))
 
     g = min(gram, least)
-    longer = q.withColumn("k", F.substring("n", 1, g)).join(t.select("*", grams("t", F.lit(g)).alias("k")), "k").where(F.col("t").contains(F.col("n")))
+    longer = q.withColumn("k", F.substring("n", 1, g)).join(t.select("*", grams("t", F.lit(g)).alias("k")).hint("merge"), "k").where(F.col("t").contains(F.col("n")))
     size = F.least(F.length("t"), F.lit(g))
     sizes = t.select(size.alias("size")).distinct()  # at most g rows
-    held = q.withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(g)))).join(F.broadcast(sizes), "size").select("qid", "q", "n", "size", grams("n", F.col("size")).alias("k"))
-    shorter = held.join(t.withColumn("size", size).withColumn("k", F.substring("t", 1, g)), ["size", "k"]).where(F.col("n").contains(F.col("t")))
-    met = longer.select("qid", "q", "issn", "pos").union(shorter.select("qid", "q", "issn", "pos"))
-    return met.groupBy("qid", "q").agg(F.min_by("issn", "pos").alias("issn"))
+    held = q.withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(g)))).join(F.broadcast(sizes), "size").select("n", "size", grams("n", F.col("size")).alias("k"))
+    shorter = held.join(t.withColumn("size", size).withColumn("k", F.substring("t", 1, g)).hint("merge"), ["size", "k"]).where(F.col("n").contains(F.col("t")))
+    met = longer.select("n", "place").union(shorter.select("n", "place")).groupBy("n").agg(F.min("place").alias("place"))
+    return asked.join(met.hint("merge"), "n").select("qid", "q", "place.issn")
 
 
 def rank(queries: DataFrame, table: DataFrame, names: DataFrame) -> DataFrame:

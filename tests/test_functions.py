@@ -157,6 +157,15 @@ def test_partial_names_equal_brute_force(spark):
     assert got == want
 
 
+def test_partial_names_broadcast_no_grams(spark, tmp_path):
+    spark.createDataFrame([("soil letters", "i1", 1), ("acta", "i2", 2)], "title string, issn string, pos int").write.parquet(str(tmp_path / "t"))
+    q = spark.createDataFrame([(1, "the soil letters quarterly"), (2, "the soil letters quarterly"), (2, "the soil letters quarterly")], "qid int, q string")
+    x = journals.by_partial_name(q, spark.read.parquet(str(tmp_path / "t")))
+    joins = x._jdf.queryExecution().sparkPlan().toString()
+    assert joins.count("BroadcastHashJoin") == 1 and "BroadcastHashJoin [size" in joins  # the sizes, at most g rows
+    assert sorted((r.qid, r.issn) for r in x.collect()) == [(1, "i1"), (2, "i1")]
+
+
 def test_more_complete_papers_of_one_first_author(spark):
     title = "the long title of a paper on frozen soil"
     rows = [(1, title, 2001, " Maar ", "", 0), (2, title + "s", 2001, "maar", "10.1/x", 3), (3, title, 2001, "Okoro", "10.1/y", 9), (4, title, None, "MAAR", "", 0), (5, title, 2002, "Maar", "", 0), (6, title, 2001, None, "", 0)]
