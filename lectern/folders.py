@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,4 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    # held meanwhile, as the checkpoint is a job of its own that would compute all again
+    held = df.persist(StorageLevel.DISK_ONLY)
+    out = held.checkpoint()
+    held.unpersist()
+    return out

@@ -187,6 +187,60 @@ def test_partial_names_broadcast_no_grams(spark, tmp_path):
     assert sorted((r.qid, r.issn) for r in x.collect()) == [(1, "i1"), (2, "i1")]
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_similar_pairs_equal_brute_force(spark, own):
+    rng = random.Random(11)
+    stems = ["".join(rng.choice("abcdeéó ") for _ in range(n)) + "x" for n in (12, 40, 160, 170, 300)]
+
+    def rows(first):
+        out = []
+        for i in range(first, first + 70):
+            t = list(rng.choice(stems))
+            for at in rng.sample(range(len(t)), rng.randint(0, len(t) // 9)):
+                t[at] = rng.choice(["", "z", t[at] + "q"])
+            out.append((i, "".join(t).strip() if rng.random() > 0.05 else "", rng.choice([None, 0, 2001, 2001, 2002])))
+        return out + [(first + 70 + i, *out[i][1:]) for i in range(9)]  # copies
+
+    left = rows(0)
+    right = left if own else rows(500)
+    frame = lambda x: spark.createDataFrame(x, "id int, t string, year int")
+    a = frame(left)
+    got = [tuple(r) for r in dedup.similar_pairs(a, a if own else frame(right), F.col("b") < F.col("a") if own else F.lit(True)).collect()]
+    octets = lambda t: t.encode().decode("latin-1")
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, d in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    want = []
+    for i, t, y in left:
+        for j, u, z in right:
+            n = len(t) + len(u)
+            if t and u and (j < i or not own) and not (y and z and y != z) and abs(len(t) - len(u)) <= n // 10:
+                if t == u or 200 * lcs(t, u) > 90 * n and edits(octets(t), octets(u)) <= 10 * n // 100:
+                    want.append((i, j))
+    assert want and sorted(got) == sorted(want)
+
+
+def test_unlike_texts_are_told_apart_before_the_edit_distance(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefghij ") for _ in range(200)), 2001) for i in range(30)]
+    a = spark.createDataFrame(rows, "id int, t string, year int")
+    p = dedup.similar_pairs(a, a, F.col("b") < F.col("a"))
+    assert p.count() == 0
+    text = dedup._lettered(dedup._texts(a, ()))
+    names = text.columns
+    both = text.select(*[F.col(c).alias(f"{c}a") for c in names]).crossJoin(text.select(*[F.col(c).alias(f"{c}b") for c in names])).where("ta < tb")
+    apart = sum((F.abs(F.col(f"c{i}a") - F.col(f"c{i}b")) for i in range(len(dedup.LETTERS) + 1)), F.lit(0))
+    grams = F.size("gramsa") + F.size("gramsb") - 2 * F.size(F.array_intersect("gramsa", "gramsb"))
+    assert both.where((100 * apart < 10 * 400) & (100 * grams < 7 * 10 * 400)).count() == 0
+
+
 def test_more_complete_papers_of_one_first_author(spark):
     title = "the long title of a paper on frozen soil"
     rows = [(1, title, 2001, " Maar ", "", 0), (2, title + "s", 2001, "maar", "10.1/x", 3), (3, title, 2001, "Okoro", "10.1/y", 9), (4, title, None, "MAAR", "", 0), (5, title, 2002, "Maar", "", 0), (6, title, 2001, None, "", 0)]
