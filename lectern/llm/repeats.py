@@ -19,11 +19,12 @@ are taken from the sorted order, and what is unique is settled:
    window repeats.  Ranks are exact, as the first are the bytes themselves.
 
 Large groups of round 2 aren't gathered: their windows are sorted by Spark
-under 128-bit names of their bytes.  So are grams that a share of all
-documents hold (found in a bounded sample, which decides nothing but the
-route); they don't meet under their rank at all, their stretches are dealt by
-their whole bytes.  Before each exchange a task keeps only its first of equal
-entries.
+under 128-bit names of their bytes.  Grams that a share of all documents hold
+(found in a bounded sample, which decides nothing but the route) don't meet
+under their rank at all: in round 1 their stretches are dealt by their whole
+bytes, in round 2 they meet by the names of both grams, and only pairs that
+are large themselves (found likewise) are dealt evenly, as windows.  Before
+each exchange a task keeps only its first of equal entries.
 """
 
 from __future__ import annotations
@@ -252,11 +253,40 @@ def _rank_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 HALVES = ["k", "n", "doc", "lo", "hi"]
 
 
-def _open_stretches(p: Params, batches: Iterator[pa.RecordBatch], key: int = 0, text: int = 1) -> Iterator[pa.RecordBatch]:
+def _pair_names(k: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    return kernel.mix(k.view(np.uint64) ^ kernel.mix(gram.view(np.uint64))).view(np.int64)
+
+
+def large_pairs(bare: DataFrame, ranked: DataFrame, p: Params) -> np.ndarray:
+    """Names of the pairs of hot grams with more halves than one task should gather, from a sample drawn by hash.
+
+    That is ``GROUP`` halves, or a task's part of all open stretches if that
+    is less.  The sample has as many documents as make ``hot_least`` of them,
+    so what is found is at most the larger of the tasks and of the halves
+    over ``GROUP``, but for a factor below 2.
+    """
+    tasks = int(bare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, p.hot_least, min(GROUP, ranked.where("at >= 0").count() // tasks))
+    drawn = lambda key: F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) < int(max(1, p.hot_least) / most * (1 << 30))
+    some = _with_open(bare.where(drawn("_key")), ranked.where(f"at >= {HOT}").where(drawn("doc")))
+    halves = some.mapInArrow(lambda b: _open_stretches(p, b), ", ".join(f"`{n}` bigint" for n in HALVES) + ", raw binary")
+    found = halves.groupBy("k", "n").agg(F.count("*").alias("c")).where(F.col("c") >= p.hot_least).collect()
+    return np.sort(_pair_names(np.array([r.k for r in found], np.int64), np.array([r.n for r in found], np.int64)))
+
+
+def _with_open(keyed: DataFrame, stretches: DataFrame) -> DataFrame:
+    """keyed's documents that have some of the stretches, which _open lists."""
+    listed = stretches.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "at", "rank")).alias("_open"))
+    return keyed.join(listed.hint("shuffle_hash"), F.col("_key") == F.col("doc")).select(*keyed.columns, "_open")
+
+
+def _open_stretches(p: Params, batches: Iterator[pa.RecordBatch], key: int = 0, text: int = 1, large: np.ndarray = np.empty(0, np.int64)) -> Iterator[pa.RecordBatch]:
     """(rank at the start, gram at the offset, document, first window, last window, bytes) of the halves of open stretches.
 
     The rank is turned to below zero where the second gram lies to the left.
-    Halves of hot stretches are marked in ``hi`` and dealt evenly.
+    A hot stretch has its gram's name in place of the rank; should it equal a
+    rank, two groups are ranked as one.  Halves of ``large`` pairs (sorted
+    names) are marked in ``hi`` and dealt evenly.
     """
     names = [*HALVES, "raw"]
     for batch in batches:
@@ -270,6 +300,9 @@ def _open_stretches(p: Params, batches: Iterator[pa.RecordBatch], key: int = 0,
             some = slice(offsets[i], offsets[i + 1])
             lo, hi, at, rank = lo_all[some], hi_all[some], at_all[some], rank_all[some]
             many, at = at >= HOT, at % HOT
+            if many.any():
+                rank = rank.copy()
+                rank[many] = _names_at(raw, at[many], at[many] + p.gram)
             for a, b, second, k in (
                 (np.maximum(lo, at - (p.reach - p.offset)), np.minimum(hi, at), at + p.offset, rank),
                 (np.maximum(lo, at - p.reach), np.minimum(hi, at - (p.reach - p.offset) - 1), at - p.offset, -1 - rank),
@@ -279,11 +312,15 @@ def _open_stretches(p: Params, batches: Iterator[pa.RecordBatch], key: int = 0,
                     continue
                 # names of substrings of this document alone, whatever its length
                 gram = _names_at(raw, second[real], second[real] + p.gram)
+                dealt = many[real] & (len(large) > 0)
+                if dealt.any():
+                    pair = _pair_names(k[real], gram)
+                    dealt &= large[np.minimum(np.searchsorted(large, pair), len(large) - 1)] == pair
                 out[2].append(np.full(len(real), ids[i]))
-                out[0].append(np.where(many[real], _spread(out[2][-1], a[real]), k[real]))
+                out[0].append(np.where(dealt, _spread(out[2][-1], a[real]), k[real]))
                 out[1].append(gram)
                 out[3].append(a[real])
-                out[4].append(b[real] + np.where(many[real], HOT, 0))
+                out[4].append(b[real] + np.where(dealt, HOT, 0))
                 out[5] += [raw[x : y + p.window].tobytes() for x, y in zip(a[real], b[real], strict=True)]
                 size += len(real)
             if size > 20_000:
@@ -456,10 +493,10 @@ def repeated_ranges(keyed: DataFrame, p: Params, text: str) -> DataFrame:
     starts = bare.mapInArrow(lambda b: _starts(p, hot, b), longs(ROUND1))
     ranked = starts.repartition("k").sortWithinPartitions("k", "f", "doc", "lo").mapInArrow(_rank_grams, longs(RANGES))
     ranked = written(ranked)
-    listed = ranked.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "at", "rank")).alias("_open"))
-    some = keyed.join(listed.hint("shuffle_hash"), F.col("_key") == F.col("doc")).select(*keyed.columns, "_open")
+    large = large_pairs(bare, ranked, p) if len(hot) else hot
+    some = _with_open(keyed, ranked.where("at >= 0"))
     places = keyed.columns.index("_key"), keyed.columns.index(text)
-    halves = some.mapInArrow(lambda b: _open_stretches(p, b, *places), longs(HALVES) + ", raw binary")
+    halves = some.mapInArrow(lambda b: _open_stretches(p, b, *places, large), longs(HALVES) + ", raw binary")
     windows = halves.repartition("k", "n").sortWithinPartitions("k", "n", "doc", "lo").mapInArrow(lambda b: _rank_stretches(p, b), longs(WINDOWS))
     late = windows.repartition("n1").sortWithinPartitions("n1", "n2", "doc", "lo").mapInArrow(_rank_hot_windows, longs(RANGES[:3]))
     return ranked.where("at < 0").select("doc", "lo", "hi").union(late)

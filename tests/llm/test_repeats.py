@@ -78,6 +78,65 @@ def test_equals_brute_force(monkeypatch, seed, group, share):
         assert bytes(c for c, g in zip(t.encode(), got[i]) if not g) == want[i][3], (i, t)
 
 
+@pytest.mark.parametrize("large", [0, 2, 1])
+def test_windows_of_a_hot_gram_are_rows_only_if_its_pair_is_large(large):
+    line = "stands everywhere"
+    rng = random.Random(9)
+    # round the line: six texts, each in 8 documents that differ beside it, and 60 of their own
+    ends = ["".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(66)]
+    docs = [(i, (f"{i:03d}" + ends[i % 6] + line + ends[i % 6] + f"{i:03d}") if i < 48 else ends[i - 42] + line + ends[i - 42][::-1]) for i in range(102)]
+    want = brute([(i, t.encode()) for i, t in docs], 30)
+    p = repeats.Params(window=30, gram=8)
+
+    def batches(rows, schema, by):
+        rows = sorted(rows, key=lambda r: tuple(r[c] for c in by))
+        for i in range(0, len(rows), 7):
+            yield pa.RecordBatch.from_pylist(rows[i : i + 7], schema)
+
+    def rows(found):
+        return [r for b in found for r in b.to_pylist()]
+
+    longs = lambda names, *more: pa.schema([*[(n, pa.int64()) for n in names], *more])
+    given = lambda: batches([{"doc": i, "raw": t} for i, t in docs], longs(["doc"], ("raw", pa.string())), ["doc"])
+    grams = Counter(r["k"] for r in rows(repeats._grams(p, given())))
+    hot = np.sort(np.array([k for k, n in grams.items() if n >= 60], np.int64))
+    assert len(hot)
+    ranked = rows(repeats._rank_grams(batches(rows(repeats._starts(p, hot, given())), longs(repeats.ROUND1), ["k", "f", "doc", "lo"])))
+    opened = {}
+    for r in ranked:
+        if r["at"] >= 0:
+            opened.setdefault(r["doc"], []).append({c: r[c] for c in ("lo", "hi", "at", "rank")})
+    listed = pa.list_(pa.struct([(c, pa.int64()) for c in ("lo", "hi", "at", "rank")]))
+    some = [{"doc": d, "raw": dict(docs)[d], "open": g} for d, g in opened.items()]
+    halves = lambda *given: rows(repeats._open_stretches(p, batches(some, longs(["doc"], ("raw", pa.string()), ("open", listed)), ["doc"]), 0, 1, *given))
+    pairs = Counter((r["k"], r["n"]) for r in halves())
+    found = [pair for pair, n in pairs.items() if large and n >= large]
+    large_names = np.sort(repeats._pair_names(np.array([k for k, _ in found], np.int64), np.array([n for _, n in found], np.int64)))
+    windows = rows(repeats._rank_stretches(p, batches(halves(large_names), longs(repeats.HALVES, ("raw", pa.binary())), ["k", "n", "doc", "lo"])))
+    assert any(r["hi"] < 0 for r in windows) == (large > 0)
+    late = rows(repeats._rank_hot_windows(batches(windows, longs(repeats.WINDOWS), ["n1", "n2", "doc", "lo"])))
+    got = {i: bytearray(len(t)) for i, t in docs}
+    for r in [r for r in ranked if r["at"] < 0] + late:
+        got[r["doc"]][r["lo"] : r["hi"] + 30] = b"\1" * (r["hi"] + 30 - r["lo"])
+    assert sum(n for _, n, _, _ in want.values()) and {i: sum(g) for i, g in got.items()} == {i: w[1] for i, w in want.items()}
+
+
+def test_large_pairs_are_found_and_lose_no_window(spark, monkeypatch):
+    line, rng = "this one line stands in every document of them all", random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(12))
+    docs = [(i, word() + line + word()) for i in range(200)]
+    p = repeats.Params(window=30, gram=8, hot_least=1, hot_share=0.5)
+    bare = spark.createDataFrame(docs, "_key long, _body string")
+    seen = []
+    found = repeats.large_pairs
+    monkeypatch.setattr(repeats, "large_pairs", lambda *given: seen.append(found(*given)) or seen[-1])
+    for group in (20_000, 20):
+        monkeypatch.setattr(repeats, "GROUP", group)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove(bare.toDF("doc_id", "text"), p).collect()}
+        assert got == brute([(i, t.encode()) for i, t in docs], 30)
+    assert len(seen) == 2 and len(seen[1])
+
+
 @pytest.mark.parametrize("window", [3, 8, 10, 16, 33, 100])
 def test_doubled_ranks_are_exact(window):
     rng = np.random.default_rng(window)
